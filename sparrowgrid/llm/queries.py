@@ -1,7 +1,22 @@
 """The queries of this subpackage by name, and the SQL that states the same result where SQL can."""
 
+from .bpe import op6_bpe
+from .fingerprint import op4_fingerprints
+from .lines import OP2_SQL, op2_lines
 from .mixing import OP1_SQL, op1_mix_sources
 from .search import OP8_SQL, op8_topk
+from .sharding import op10_shards
+from .simhash import op7_simhash
+from .suffixes import op3_suffixes
 
-QUERIES = {"op1_mix_sources": op1_mix_sources, "op8_topk": op8_topk}
-ORACLES = {"op1_mix_sources": OP1_SQL, "op8_topk": OP8_SQL}
+QUERIES = {
+    "op1_mix_sources": op1_mix_sources,
+    "op2_lines": op2_lines,
+    "op3_suffixes": op3_suffixes,
+    "op4_fingerprints": op4_fingerprints,
+    "op6_bpe": op6_bpe,
+    "op7_simhash": op7_simhash,
+    "op8_topk": op8_topk,
+    "op10_shards": op10_shards,
+}
+ORACLES = {"op1_mix_sources": OP1_SQL, "op2_lines": OP2_SQL, "op8_topk": OP8_SQL}
