@@ -201,6 +201,17 @@ def dedup_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS)
     return out.select(*[text.alias(c) if c == "text" else docs[c] for c in docs.columns if c not in ("n_lines", "n_exact", "n_near")], *counts)
 
 
+def dedup_documents(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
+    """docs with their repeated lines cut out, columns unchanged (n_chars follows the text). A document that had
+    lines with text and keeps none of them goes; one that had none to begin with stays."""
+    plain = [c for c in docs.columns if c not in ("n_lines", "n_exact", "n_near")]
+    d = dedup_lines(docs.select(*plain), edits, min_chars)
+    d = d.filter((F.col("n_exact") + F.col("n_near") == 0) | (F.trim(F.replace("text", F.lit("\n"), F.lit(""))) != ""))
+    if "n_chars" in plain:
+        d = d.withColumn("n_chars", F.when(F.col("n_exact") + F.col("n_near") == 0, F.col("n_chars")).otherwise(F.char_length("text")).cast(docs.schema["n_chars"].dataType))
+    return d.select(*plain)
+
+
 def op2_lines(spark, sf_dir: str) -> DataFrame:
     d = dedup_lines(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     kept = F.coalesce("text", F.lit(""))

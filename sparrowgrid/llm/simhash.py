@@ -48,16 +48,16 @@ def simhash(text: str | None, words: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
-    """doc_id, text -> doc_id, fp (the fingerprint's bits as a signed long)."""
+    """doc_id, text -> doc_id, th (hash of the text), fp (the fingerprint's bits as a signed long)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for b in slices(whole, "text", 8_000_000):
                 fp = np.array([simhash(t, words) for t in b.column("text").to_pylist()], np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fp)], ["doc_id", "fp"])
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("th"), pa.array(fp)], ["doc_id", "th", "fp"])
 
-    d = docs.select(F.col("doc_id").cast("long"), "text")
-    return d.mapInArrow(run, "doc_id long, fp long")
+    d = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("th"), "text")
+    return d.mapInArrow(run, "doc_id long, th long, fp long")
 
 
 def masks(radius: int, bits: list[int]) -> list[int]:
@@ -135,30 +135,31 @@ def near_links(distinct: DataFrame, radius: int = 2) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 2) -> DataFrame:
-    """doc_id, text -> doc_id, fp, component_id; a row for each row of docs.
+    """doc_id, text -> doc_id, th (hash of the text), fp, component_id, stays; a row for each row of docs.
 
     component_id is the smallest doc_id among the documents that links reach, the document itself included; rows
-    with a null doc_id take part and do not name a component (null if it has no other). Null, empty and blank
-    texts have fingerprint 0 and are linked with one another. Repeated rows are linked like others. An empty
-    table gives an empty result. Other columns are not read."""
+    with a null doc_id take part and do not name a component (null if it has no other). `stays` marks the rows with
+    the smallest doc_id (null last), then the smallest text hash, of a component. Null, empty and blank texts have
+    fingerprint 0 and are linked with one another. Repeated rows are linked like others. An empty table gives an
+    empty result. Other columns are not read."""
     fps = stash(fingerprints(docs, words), "simhash")
-    per = stash(fps.groupBy("fp").agg(F.min("doc_id").alias("low")), "simhash-distinct")
+    me = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")
+    per = stash(fps.groupBy("fp").agg(F.min(me).alias("low")), "simhash-distinct")
     roots = components(near_links(per.select("fp"), radius), "simhash-links")
-    named = per.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    named = named.select("fp", F.col("root"), "low")
-    lows = named.groupBy("root").agg(F.min("low").alias("component_id"))
-    classes = named.join(lows, "root").select("fp", "component_id")
-    return fps.join(classes, "fp").select("doc_id", "fp", "component_id")
+    named = per.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "low")
+    lows = named.groupBy("root").agg(F.min("low").alias("first"))
+    classes = named.join(lows, "root").select("fp", "first")
+    return fps.join(classes, "fp").select("doc_id", "th", "fp", F.col("first.doc_id").alias("component_id"), (me == F.col("first")).alias("stays"))
 
 
 def keep_one(docs: DataFrame, words: int = 5, radius: int = 3) -> DataFrame:
-    """docs without the near duplicates: of each component the row with the smallest doc_id stays, columns unchanged.
-
-    Of rows that share that doc_id one stays. Components whose documents have no doc_id stay whole."""
-    c = near_duplicates(docs, words, radius)
-    gone = c.filter("doc_id <> component_id").select(F.col("doc_id").alias("__id")).distinct()
-    left = docs.join(gone, docs["doc_id"] == F.col("__id"), "left_anti")
-    return left.filter("doc_id IS NULL").unionByName(left.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"]))
+    """docs less the near duplicates: of each component the row that `stays` is kept, columns unchanged. Rows that
+    agree in doc_id and text are one document and leave one row."""
+    c = stash(near_duplicates(docs, words, radius), "simhash-classes")
+    gone = c.filter("NOT stays").select(F.col("doc_id").alias("__id"), F.col("th").alias("__th")).distinct()
+    left = docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(docs["text"]) == F.col("__th")), "left_anti")
+    again = c.filter("stays").groupBy("doc_id", "th").count().filter("count > 1")
+    return left if again.isEmpty() else left.dropDuplicates(["doc_id", "text"])
 
 
 def op7_simhash(spark, sf_dir: str) -> DataFrame:
