@@ -1,0 +1,213 @@
+"""Clusterings and their agreement. Agreement indices are joins over labels; k-means, fuzzy c-means and spectral
+zones are bounded kernels (or iterated aggregations) with a fixed start, so that reruns agree."""
+
+from __future__ import annotations
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .graph import kernel, normalised_matrix, saved
+
+
+def _choose2(c):
+    return F.col(c) * (F.col(c) - 1) / 2
+
+
+def adjusted_rand(labels: DataFrame, a: str, b: str) -> DataFrame:
+    """ari of two labellings of the same rows, from the sums of pairs over their contingency table."""
+    t = labels.groupBy(a, b).agg(F.count("*").alias("n"))
+    both = t.agg(F.sum(_choose2("n")).alias("s"), F.sum("n").alias("n"))
+    rows = t.groupBy(a).agg(F.sum("n").alias("m")).agg(F.sum(_choose2("m")).alias("ra"))
+    cols = t.groupBy(b).agg(F.sum("n").alias("m")).agg(F.sum(_choose2("m")).alias("rb"))
+    e = F.col("ra") * F.col("rb") / (F.col("n") * (F.col("n") - 1) / 2)
+    return both.crossJoin(rows).crossJoin(cols).select(((F.col("s") - e) / ((F.col("ra") + F.col("rb")) / 2 - e)).alias("ari"))
+
+
+def coassociation(labels: DataFrame, item: str, run: str, label: str) -> DataFrame:
+    """Share of runs in which two items (a < b) have the same label; pairs that never meet are absent."""
+    l = labels.select(F.col(item).alias("x"), F.col(run).alias("r"), F.col(label).alias("l"))
+    total = l.agg(F.countDistinct("r").alias("runs"))
+    j = l.withColumnRenamed("x", "a").join(l.withColumnRenamed("x", "b"), ["r", "l"]).filter("a < b")
+    return j.groupBy("a", "b").agg(F.count("*").alias("n")).crossJoin(total).select("a", "b", (F.col("n") / F.col("runs")).alias("share"))
+
+
+def shared_counts(groups: DataFrame, item: str, group: str, items: DataFrame) -> DataFrame:
+    """Number of groups that hold both items, for every pair a < b of `items` (0 included)."""
+    g = groups.select(F.col(item).alias("x"), F.col(group).alias("g")).distinct()
+    met = g.withColumnRenamed("x", "a").join(g.withColumnRenamed("x", "b"), "g").filter("a < b").groupBy("a", "b").agg(F.count("*").alias("n"))
+    x = items.select(F.col(item).alias("a"))
+    every = x.join(x.withColumnRenamed("a", "b"), F.col("a") < F.col("b"))  # the index is over all pairs of a stated set
+    return every.join(met, ["a", "b"], "left").select("a", "b", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def omega_index(one: DataFrame, two: DataFrame, item: str, group: str, items: DataFrame) -> DataFrame:
+    """Chance-corrected agreement of two overlapping clusterings (item, group)."""
+    p = shared_counts(one, item, group, items).withColumnRenamed("n", "n1").join(shared_counts(two, item, group, items).withColumnRenamed("n", "n2"), ["a", "b"])
+    t = p.groupBy("n1", "n2").agg(F.count("*").alias("c"))
+    total = t.agg(F.sum("c").alias("t"))
+    seen = t.agg(F.sum(F.when(F.col("n1") == F.col("n2"), F.col("c")).otherwise(0)).alias("same"))
+    m1 = t.groupBy(F.col("n1").alias("k")).agg(F.sum("c").alias("c1"))
+    m2 = t.groupBy(F.col("n2").alias("k")).agg(F.sum("c").alias("c2"))
+    chance = m1.join(m2, "k").agg(F.coalesce(F.sum(F.col("c1") * F.col("c2")), F.lit(0)).alias("e"))
+    o, e = F.col("same") / F.col("t"), F.col("e") / (F.col("t") * F.col("t"))
+    return seen.crossJoin(total).crossJoin(chance).select(((o - e) / F.nullif(1 - e, F.lit(0.0))).alias("omega"))
+
+
+def best_match_f1(found: DataFrame, truth: DataFrame, item: str, group: str) -> DataFrame:
+    """Mean over true groups of the best F1 with a found group."""
+    f, t = (d.select(F.col(item).alias("x"), F.col(group).alias("g")).distinct() for d in (found, truth))
+    fs, ts = f.groupBy("g").agg(F.count("*").alias("nf")), t.groupBy("g").agg(F.count("*").alias("nt"))
+    met = f.withColumnRenamed("g", "gf").join(t.withColumnRenamed("g", "gt"), "x").groupBy("gf", "gt").agg(F.count("*").alias("n"))
+    s = met.join(fs.withColumnRenamed("g", "gf"), "gf").join(ts.withColumnRenamed("g", "gt"), "gt").withColumn("f1", 2 * F.col("n") / (F.col("nf") + F.col("nt")))
+    best = s.groupBy(F.col("gt").alias("g")).agg(F.max("f1").alias("f1"))
+    return ts.join(best, "g", "left").agg(F.avg(F.coalesce("f1", F.lit(0.0))).alias("f1"))
+
+
+def threshold_groups(factors: DataFrame, item: str, line: str, value: str, least: float) -> DataFrame:
+    """Overlapping groups: for each line the items with a factor of at least `least`; lines with equal members are one
+    group, named by its first line."""
+    g = factors.filter(F.abs(value) >= least).groupBy(line).agg(F.array_sort(F.collect_set(item)).alias("members"))
+    one = g.groupBy("members").agg(F.min(line).alias("grp"))
+    return one.select("grp", F.explode("members").alias(item))
+
+
+def fuzzy_cmeans(points: DataFrame, k: int, rounds: int = 8, m: float = 2.0) -> DataFrame:
+    """id, x array<double> -> id, cluster, u (memberships of a point add up to 1). Centres start at the k points with
+    the least id; each round is one aggregation over points by cluster."""
+    p = points.select("id", F.posexplode("x").alias("i", "v"))
+    start = [r["id"] for r in points.select("id").orderBy("id").limit(k).collect()]
+    order = F.array_position(F.array(*map(F.lit, start)), F.col("id")) - 1
+    centres = p.filter(F.col("id").isin(start)).select(order.cast("int").alias("cluster"), "i", F.col("v").alias("c"))
+    for r in range(rounds):
+        d = p.join(F.broadcast(centres), "i").groupBy("id", "cluster").agg(F.greatest(F.lit(1e-12), F.sum((F.col("v") - F.col("c")) * (F.col("v") - F.col("c")))).alias("d"))
+        inv = d.withColumn("w", F.pow("d", F.lit(-1 / (m - 1))))
+        u = inv.join(inv.groupBy("id").agg(F.sum("w").alias("t")), "id").select("id", "cluster", (F.col("w") / F.col("t")).alias("u"))
+        if r < rounds - 1:
+            centres = saved(p.join(u, "id").groupBy("cluster", "i").agg((F.sum(F.pow("u", F.lit(m)) * F.col("v")) / F.sum(F.pow("u", F.lit(m)))).alias("c")))
+    return u
+
+
+def k_means(x: np.ndarray, k: int, restarts: int = 10, rounds: int = 50, seed: int = 1) -> np.ndarray:
+    """Labels of the best of some seeded starts; starts that empty a cluster are rejected."""
+    rng, best, least = np.random.default_rng(seed), np.zeros(len(x), int), np.inf
+    for _ in range(restarts):
+        c = x[rng.choice(len(x), k, replace=False)]
+        for _ in range(rounds):
+            d = ((x[:, None] - c[None]) ** 2).sum(axis=2)
+            l = d.argmin(axis=1)
+            if len(set(l.tolist())) < k:
+                break
+            new = np.array([x[l == j].mean(axis=0) for j in range(k)])
+            if np.allclose(new, c):
+                break
+            c = new
+        if len(set(l.tolist())) == k and d.min(axis=1).sum() < least - 1e-12:
+            best, least = l, d.min(axis=1).sum()
+    _, first = np.unique(best, return_index=True)
+    names = {best[i]: j for j, i in enumerate(sorted(first))}  # numbered by first appearance
+    return np.array([names[v] for v in best])
+
+
+def spectral_zones(adj: DataFrame, k: int) -> DataFrame:
+    """node, zone from k-means on the row-normalised lowest eigenvectors of the normalised Laplacian."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        nodes, lap = normalised_matrix(pdf)
+        x = np.linalg.eigh(lap)[1][:, :k]
+        x = x / np.maximum(1e-12, np.linalg.norm(x, axis=1, keepdims=True))
+        return pd.DataFrame({"node": nodes, "zone": k_means(x, k)})
+
+    return kernel(adj, run, "node long, zone long")
+
+
+def bisection(adj: DataFrame) -> DataFrame:
+    """node, side, fiedler: the sweep cut of least conductance along the Fiedler vector."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        nodes, lap = normalised_matrix(pdf)
+        v = np.linalg.eigh(lap)[1][:, 1]
+        v = v * (1 if v[np.argmax(np.abs(v))] > 0 else -1)
+        at = {n: i for i, n in enumerate(nodes)}
+        w = np.zeros_like(lap)
+        for a, b, x in zip(pdf["a"], pdf["b"], pdf["w"]):
+            w[at[a], at[b]] = x
+        order, best, cut_at = np.argsort(v, kind="stable"), np.inf, 1
+        vol = w.sum()
+        for s in range(1, len(nodes)):
+            inside = order[:s]
+            a = w[inside].sum()
+            phi = (a - w[np.ix_(inside, inside)].sum()) / max(1e-12, min(a, vol - a))
+            if phi < best - 1e-12:
+                best, cut_at = phi, s
+        side = np.ones(len(nodes), int)
+        side[order[:cut_at]] = 0
+        return pd.DataFrame({"node": nodes, "side": side, "fiedler": v})
+
+    return kernel(adj, run, "node long, side long, fiedler double")
+
+
+def assignment(gain: np.ndarray) -> list[int]:
+    """Column for each row of a square matrix with the greatest sum, by shortest augmenting paths with potentials."""
+    n = len(gain)
+    cost = gain.max(initial=0) - gain
+    u, v, p, way = np.zeros(n + 1), np.zeros(n + 1), np.zeros(n + 1, int), np.zeros(n + 1, int)
+    for i in range(1, n + 1):
+        p[0], j0 = i, 0
+        low, used = np.full(n + 1, np.inf), np.zeros(n + 1, bool)
+        while True:
+            used[j0] = True
+            free = np.flatnonzero(~used[1:]) + 1
+            now = cost[p[j0] - 1, free - 1] - u[p[j0]] - v[free]
+            better = now < low[free]
+            low[free[better]], way[free[better]] = now[better], j0
+            j1 = free[np.argmin(low[free])]
+            d = low[j1]
+            u[p[used]] += d
+            v[used] -= d
+            low[free] -= d
+            j0 = j1
+            if p[j0] == 0:
+                break
+        while j0:
+            p[j0], j0 = p[way[j0]], way[j0]
+    out = [0] * n
+    for j in range(1, n + 1):
+        out[p[j] - 1] = j - 1
+    return out
+
+
+def aligned(labels: DataFrame, run: str, item: str, label: str) -> DataFrame:
+    """Labels renamed so that each run overlaps the one before as much as possible. One kernel over the runs."""
+
+    def go(pdf: pd.DataFrame) -> pd.DataFrame:
+        k, before, frames = int(pdf[label].max()) + 1, None, []
+        for r in sorted(pdf[run].unique()):
+            now = pdf[pdf[run] == r].set_index(item)[label]
+            if before is not None:
+                gain = np.zeros((k, k))
+                for x, l in now.items():
+                    if x in before.index:
+                        gain[l, before[x]] += 1
+                now = now.map(dict(enumerate(assignment(gain))))
+            frames.append(pd.DataFrame({"run": r, "item": now.index, "label": now.to_numpy()}))
+            before = now
+        return pd.concat(frames)
+
+    return kernel(labels, go, "run long, item long, label long")
+
+
+def lcs_ratio(a: str, b: str) -> float:
+    """Indel similarity from 0 to 100: twice the longest common subsequence over both lengths, bit-parallel."""
+    if not a or not b:
+        return 100.0 if a == b else 0.0
+    where: dict = {}
+    for i, c in enumerate(a):
+        where[c] = where.get(c, 0) | 1 << i
+    s = (1 << len(a)) - 1
+    for c in b:
+        u = s & where.get(c, 0)
+        s = (s + u) | (s - u)
+    return 200.0 * bin(~s & ((1 << len(a)) - 1)).count("1") / (len(a) + len(b))
+
