@@ -86,7 +86,7 @@ def runs(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
 def _key(docs: DataFrame) -> DataFrame:
     """A row's key: doc_id (null before all) and the hash of its text. Rows that agree in both are one document."""
     text = F.coalesce("text", F.lit(""))
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("id"), F.xxhash64(text).alias("th"), text.alias("text"))
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("id"), F.hash(text).alias("th"), text.alias("text"))
 
 
 def _longs(batch: pa.RecordBatch, name: str) -> np.ndarray:
@@ -99,13 +99,13 @@ def _batch(**columns) -> pa.RecordBatch:
 
 def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
-        for b in slices(whole, "text", 8_000_000):
+        for b in slices(whole, "text", 4_000_000):
             data, at = flat(b.column("text"))
             own, lo, _, p, h = runs(data, at)
             _, first, inverse, count = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
             is_first = np.zeros(len(h), bool)
             is_first[first] = True
-            route = np.where(is_first, h, mix64(h + p.astype(U64) * U64(0x9E3779B97F4A7C15)))
+            route = np.where(is_first, h, mix64(_longs(b, "id").astype(U64) + U64(1))[own])  # those need no neighbour
             yield _batch(route=route.view(np.int64), id=_longs(b, "id")[own], th=_longs(b, "th")[own], p=(p - at[own]).astype(np.int32), sure=count[inverse] > 1)
 
 
@@ -147,6 +147,17 @@ def _sampled_leads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             yield _batch(lead=_leads(data, runs(data, at)[3]))
 
 
+def _joined(found: list[tuple]) -> list[tuple]:
+    """Adjoining runs of windows of a document made one: (id, th, first window, windows after it, place)."""
+    out: list[tuple] = []
+    for r in sorted(found):
+        if out and out[-1][:2] == r[:2] and r[2] <= out[-1][2] + out[-1][3] + 1:
+            out[-1] = (*out[-1][:3], max(out[-1][3], r[2] + r[3] - out[-1][2]), out[-1][4])
+        else:
+            out.append(r)
+    return out
+
+
 def _segments(splitters: list[int]):
     cut = np.array(splitters, np.int64)
 
@@ -173,7 +184,7 @@ def _segments(splitters: list[int]):
                             best[s], me = me, other
                         if me[:3] != best[s][:3]:
                             sure.append(me)
-                rows = [*best.values(), *sure]
+                rows = [*best.values(), *_joined(sure)]
                 if not rows:
                     continue
                 i = np.array([r[4] for r in rows])
@@ -181,9 +192,9 @@ def _segments(splitters: list[int]):
                 bucket = np.searchsorted(cut, _leads(data, p[i]), side="right").astype(np.int32)
                 bucket[k:] = (mix64(i[k:].astype(U64)) % U64(len(cut) + 1)).astype(np.int32)
                 yield _batch(
-                    bucket=bucket, h=h[i].view(np.int64), id=pa.array([r[0] for r in rows], pa.int64()), th=pa.array([r[1] for r in rows], pa.int64()),
+                    bucket=bucket, h=h[i].view(np.int64), id=pa.array([r[0] for r in rows], pa.int64()), th=pa.array([r[1] for r in rows], pa.int32()),
                     lo=pa.array([r[2] for r in rows], pa.int32()), more=pa.array([r[3] for r in rows], pa.int32()), anchor=(p[i] - lo[i]).astype(np.int32),
-                    s=pa.array([*best, *[None] * len(sure)], pa.binary()),
+                    s=pa.array([*best, *[None] * (len(rows) - k)], pa.binary()),
                 )
 
     return run
@@ -263,7 +274,7 @@ def _compare(rows: list[tuple]) -> tuple[list[int], list[int], list[int], list[i
 def _sorted_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def made(columns) -> pa.RecordBatch:
         i, t, a, b = columns
-        return _batch(id=pa.array(i, pa.int64()), th=pa.array(t, pa.int64()), first=pa.array(a, pa.int32()), last=pa.array(b, pa.int32()))
+        return _batch(id=pa.array(i, pa.int64()), th=pa.array(t, pa.int32()), first=pa.array(a, pa.int32()), last=pa.array(b, pa.int32()))
 
     held: list[tuple] = []
     size = 0
@@ -289,7 +300,7 @@ def _unite(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
-        for b in slices(whole, "text", 8_000_000):
+        for b in slices(whole, "text", 4_000_000):
             data, at = flat(b.column("text"))
             found = b.column("runs")
             inner, offsets = found.values, found.offsets.to_numpy()
@@ -325,13 +336,13 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     rows = docs.count()
     lead = d.sample(fraction=min(1.0, SAMPLED / max(rows, 1)), seed=3).select("text").mapInArrow(_sampled_leads, "lead long")
     marks = lead.agg(F.percentile_approx("lead", [i / (4 * n) for i in range(1, 4 * n)], 10_000)).first()[0] or []
-    found = d.mapInArrow(_anchor_rows, "route long, id long, th long, p int, sure boolean").repartition(n, "route").sortWithinPartitions("route")
-    marked = found.mapInArrow(_repeated, "id long, th long, p int").groupBy("id", "th").agg(F.collect_list("p").alias("p"))
+    found = d.mapInArrow(_anchor_rows, "route long, id long, th int, p int, sure boolean").repartition(n, "route").sortWithinPartitions("route")
+    marked = found.mapInArrow(_repeated, "id long, th int, p int").groupBy("id", "th").agg(F.collect_list("p").alias("p"))
     segments = d.join(marked, ["id", "th"], "left").select("id", "th", "text", "p").mapInArrow(
-        _segments(sorted(set(marks))), "bucket int, h long, id long, th long, lo int, more int, anchor int, s binary"
+        _segments(sorted(set(marks))), "bucket int, h long, id long, th int, lo int, more int, anchor int, s binary"
     )
     segments = segments.repartition(n, "bucket").sortWithinPartitions("bucket", "h")
-    named = segments.mapInArrow(_with_sure, "id long, th long, first int, last int").groupBy("id", "th").agg(F.collect_list(F.struct("first", "last")).alias("runs"))
+    named = segments.mapInArrow(_with_sure, "id long, th int, first int, last int").groupBy("id", "th").agg(F.collect_list(F.struct("first", "last")).alias("runs"))
     out = d.join(named, ["id", "th"], "left").select("id", "th", "text", "runs").mapInArrow(
         _cut_out, "id long, n_bytes long, n_removed long, spans array<struct<`from`: bigint, `to`: bigint>>, kept binary"
     )
