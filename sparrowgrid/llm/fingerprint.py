@@ -18,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import U64, mix64, partitions, slices
@@ -162,6 +162,16 @@ def _compare(texts: list[str], following: list[str]) -> dict[str, pa.Array]:
     }
 
 
+def _below(marks: list[int], x: Column) -> Column:
+    """How many of the sorted marks are at most x: first among every g-th of them, then within the g that follow."""
+    g = max(1, round(len(marks) ** 0.5))
+    long = lambda part: F.array(*[F.lit(m).cast("long") for m in part])
+    coarse = F.size(F.filter(long(marks[::g]), lambda m: m <= x))
+    groups = F.array(*[long(marks[i : i + g]) for i in range(0, len(marks), g)])
+    fine = F.size(F.filter(F.get(groups, coarse - 1), lambda m: m <= x))
+    return F.when(x.isNotNull(), F.when(coarse > 0, (coarse - 1) * g + fine).otherwise(0))
+
+
 def versions(docs: DataFrame) -> DataFrame:
     """doc_id, text -> doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
 
@@ -176,8 +186,7 @@ def versions(docs: DataFrame) -> DataFrame:
     n = partitions(spark)
     marks = d.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)] or [0.5], 10_000)).first()[0] or []
     marks = sorted(set(marks))  # at most one number for each partition
-    place = F.size(F.filter(F.array(*[F.lit(m).cast("long") for m in marks]), lambda m: m <= F.col("doc_id"))) if marks else F.lit(0)
-    d = d.withColumn("part", F.greatest(F.lit(0), F.coalesce(place, F.lit(0))))
+    d = d.withColumn("part", F.coalesce(_below(marks, F.col("doc_id")), F.lit(0)) if marks else F.lit(0))
     # The first row of each range, known by its doc_id and the hash of its text, so that only few texts are looked up.
     d = d.withColumn("h", F.sha2("text", 256))
     firsts = d.groupBy("part").agg(F.min(F.struct("doc_id", "h")).alias("f")).collect()  # one small row for each range
