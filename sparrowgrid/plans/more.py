@@ -103,9 +103,9 @@ def snapped_components(spark, sf):
     return g.crossJoin(p.agg(F.count("*").alias("t"))).select("size", "components", r(F.col("size") * F.col("components") / F.col("t"), 6).alias("share"))  # one row
 
 
-@query(f"""WITH {PTS} SELECT id, 'diamond' AS name FROM pts WHERE abs(x - 5.05) + abs(y - 4.85) < 3 UNION ALL SELECT id, 'box' FROM pts WHERE x > 1.05 AND x < 3.05 AND y > 1.05 AND y < 8.05""")
+@query(f"""WITH {PTS} SELECT id, 'diamond' AS name FROM pts WHERE abs(x - 5.05) + abs(y - 4.85) < 2.95 UNION ALL SELECT id, 'box' FROM pts WHERE x > 1.05 AND x < 3.05 AND y > 1.05 AND y < 8.05""")
 def point_in_polygon(spark, sf):
-    shapes = {"diamond": [(2.05, 4.85), (5.05, 1.85), (8.05, 4.85), (5.05, 7.85)], "box": [(1.05, 1.05), (3.05, 1.05), (3.05, 8.05), (1.05, 8.05)]}
+    shapes = {"diamond": [(2.1, 4.85), (5.05, 1.9), (8.0, 4.85), (5.05, 7.8)], "box": [(1.05, 1.05), (3.05, 1.05), (3.05, 8.05), (1.05, 8.05)]}
     polygons = spark.createDataFrame([(n, [{"x": x, "y": y} for x, y in s]) for n, s in shapes.items()], "name string, ring array<struct<x: double, y: double>>")
     return P.in_polygon(points(spark, sf), polygons, 1.0)
 
