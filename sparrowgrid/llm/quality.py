@@ -2,10 +2,10 @@
 
 A labelled document has grade 0 (poor), 1 (sound but toxic) or 2 (good). The model has one weight for each hashed
 text feature, shared by all grades, and ordered thresholds: P(grade > k) = sigmoid(w x - t_k). It gives a document
-its expected grade and its tail probabilities; a document stays if P(grade = 2) reaches a half.
+its expected grade and its tail probabilities; a document stays if P(grade = 2) reaches `LEAST`.
 
 Features of a whole text: the hashed words that occur in it, and ratios of its characters and words (symbols,
-capitals, repetition and so on) in ranges. Words enter if their presence separates grades in the labelled sample.
+capitals, repetition and so on) in ranges. Words enter if their presence marks a lower grade in the labelled sample.
 The fit reads at most `SAMPLE` labelled documents, the ones with the least hash of their doc_id; scoring reads all.
 """
 
@@ -23,6 +23,7 @@ from .common import U64, flat, mix64, slices
 from .fingerprint import _powers
 
 SAMPLE = 8000
+LEAST = 0.7  # probability of the top grade from which a document stays
 BINS = 1 << 18
 RANGES = {
     "symbols": (0.001, 0.005, 0.02, 0.05, 0.1, 0.2),
@@ -34,7 +35,7 @@ RANGES = {
     "word length": (2.0, 3.0, 4.0, 6.0, 8.0, 12.0),
 }
 WIDTH = 8  # places kept for the ranges of one ratio
-STRENGTH = 4.0  # least z score of a word's presence between grades
+STRENGTH = 6.0  # least z score of a word's presence in a lower grade
 FEWEST = 5  # documents that a word must occur in
 KIND = np.zeros(256, np.uint8)  # 1 letter, 2 digit, 3 symbol, 4 bar, 5 exclamation mark
 KIND[[*range(65, 91), *range(97, 123), *range(128, 256)]] = 1
@@ -99,23 +100,24 @@ class Model:
 
 
 def _chosen(doc: np.ndarray, feature: np.ndarray, grade: np.ndarray) -> np.ndarray:
-    """The ratio ranges that occur, and the words whose presence separates grades."""
+    """The ratio ranges that occur, and the words whose presence marks one of the lower grades (words that good texts
+    share would only tell how long a text is)."""
     size, n = BINS + len(RANGES) * WIDTH, len(grade)
     seen = np.bincount(feature, minlength=size)
     best = np.zeros(size)
-    for g in (0, 1, 2):
+    for g in (0, 1):
         inside = grade == g
         n1, n0 = inside.sum(), n - inside.sum()
         if n1 and n0:
             in1 = np.bincount(feature[inside[doc]], minlength=size)
             p = seen / n
             spread = np.sqrt(np.maximum(p * (1 - p), 1e-12) * (1 / n1 + 1 / n0))
-            best = np.maximum(best, np.abs(in1 / n1 - (seen - in1) / n0) / spread)
+            best = np.maximum(best, (in1 / n1 - (seen - in1) / n0) / spread)
     words = np.flatnonzero((best[:BINS] >= STRENGTH) & (seen[:BINS] >= FEWEST))
     return np.concatenate([words, BINS + np.flatnonzero(seen[BINS:] > 0)])
 
 
-def fit(doc: np.ndarray, feature: np.ndarray, grade: np.ndarray, penalty: float = 1e-3, rounds: int = 600) -> Model:
+def fit(doc: np.ndarray, feature: np.ndarray, grade: np.ndarray, penalty: float = 1e-5, rounds: int = 2000) -> Model:
     """Maximum likelihood with a ridge penalty, by Adam on the whole sample. With one grade only: all are good."""
     if len(np.unique(grade)) < 2:
         return Model(np.empty(0, np.int64), np.empty(0), (-500.0, -500.0))
@@ -139,7 +141,7 @@ def fit(doc: np.ndarray, feature: np.ndarray, grade: np.ndarray, penalty: float
         g = -np.concatenate([x.T @ ds.astype(np.float32), [dt1.sum() + dt2.sum(), dt2.sum() * gap]]) / len(grade)
         g[:-2] += penalty * theta[:-2]
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-        theta -= 0.05 * (m / (1 - 0.9**r)) / (np.sqrt(v / (1 - 0.999**r)) + 1e-8)
+        theta -= 0.1 * (m / (1 - 0.9**r)) / (np.sqrt(v / (1 - 0.999**r)) + 1e-8)
     return Model(chosen, theta[:-2], (theta[-2], theta[-2] + np.exp(np.clip(theta[-1], -20, 20))))
 
 
@@ -188,12 +190,12 @@ def grade(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame
     Null and empty texts get the rating of a text without words. Repeated rows are rated alike; an empty table of
     documents gives no rows; without labels of two grades every document is good. Other columns are not read."""
     r = rated(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), train(docs, labels, sample))
-    return r.select("doc_id", (F.col("__p1") + F.col("__p2")).alias("expected_grade"), F.col("__p1").alias("p_sound"), F.col("__p2").alias("p_good"), (F.col("__p2") >= 0.5).alias("keep"))
+    return r.select("doc_id", (F.col("__p1") + F.col("__p2")).alias("expected_grade"), F.col("__p1").alias("p_sound"), F.col("__p2").alias("p_good"), (F.col("__p2") >= LEAST).alias("keep"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """The rows of docs that the classifier keeps, columns unchanged."""
-    return rated(docs, train(docs, labels, sample)).filter("__p2 >= 0.5").drop("__p1", "__p2")
+    return rated(docs, train(docs, labels, sample)).filter(F.col("__p2") >= LEAST).drop("__p1", "__p2")
 
 
 def op5_quality(spark, sf_dir: str) -> DataFrame:
