@@ -28,28 +28,20 @@ LETTERS = "etaonirshdlu"  # twelve frequent letters
 BROADCAST_KEYS = 100_000  # keys of 8 bytes that may be sent to every executor
 
 
-def _cut(n: Column, i: int, parts: int) -> tuple[Column, Column]:
-    """Start from 0 and length of segment i of n code points; the last n % parts segments are one longer."""
-    base, longer = F.floor(n / parts).cast("int"), n % parts
-    extra = F.greatest(F.lit(0), longer - (parts - i))
-    return base * i + extra, base + F.when(F.lit(i) >= parts - longer, 1).otherwise(0)
+def segment_keys(lines: DataFrame, edits: int = EDITS) -> DataFrame:
+    """h1, h2, side, k from h1, h2, line, n: side 0 is indexed and probes, 1 only probes.
 
-
-def segment_keys(line: str, n: Column, edits: int = EDITS) -> Column:
-    """array<struct<side, k>>: side 0 is indexed and probes, 1 only probes."""
-    out = []
+    Each line meets a constant list of windows (shorter by, segment, shift), and one small compiled expression works
+    out the window's place: of n code points the last n % parts segments are one longer than n div parts."""
+    parts, windows = edits + 1, []
     for less in range(edits + 1):
-        length = n - less
         for i in range(edits + 1):
-            start, size = _cut(length, i, edits + 1)
-            low, high = max(-i, less - (edits - i)), min(i, less + (edits - i))
-            for shift in range(low, high + 1):
-                own = less == 0 and shift == 0
-                at = start + shift
-                fits = (at >= 0) & (at + size <= n)
-                k = F.xxhash64(length, F.lit(i), F.substring(line, at + 1, size))
-                out.append(F.when(fits, F.struct(F.lit(0 if own else 1).alias("side"), k.alias("k"))))
-    return F.filter(F.array(*out), lambda x: x.isNotNull())
+            for shift in range(max(-i, less - (edits - i)), min(i, less + (edits - i)) + 1):
+                windows.append(f"struct({int(less > 0 or shift != 0)} AS side, {less} AS less, {i} AS i, {shift} AS shift)")
+    d = lines.withColumn("x", F.explode(F.expr(f"array({', '.join(windows)})"))).select("h1", "h2", "line", "n", "x.*").withColumn("m", F.expr("n - less"))
+    d = d.withColumn("at", F.expr(f"(m div {parts}) * i + greatest(0, m % {parts} - ({parts} - i)) + shift")).withColumn("size", F.expr(f"m div {parts} + if(i >= {parts} - m % {parts}, 1, 0)"))
+    d = d.filter("at >= 0 AND at + size <= n")
+    return d.select("h1", "h2", "side", F.expr("xxhash64(m, i, substring(line, cast(at + 1 AS int), cast(size AS int)))").alias("k"))
 
 
 def edit_distance_within(a: Column, b: Column, edits: int = EDITS) -> Column:
@@ -124,8 +116,7 @@ def _lines(docs: DataFrame) -> DataFrame:
 
 def _near(lines: DataFrame, edits: int) -> DataFrame:
     """(h1, h2) of the lines that have an earlier, different neighbour within the edits."""
-    spark = lines.sparkSession
-    keyed = lines.select("h1", "h2", F.explode(segment_keys("line", F.col("n"), edits)).alias("x")).select("h1", "h2", "x.side", "x.k")
+    keyed = segment_keys(lines, edits)
     live = keyed.groupBy("k").agg(F.min("h1").alias("a"), F.max("h1").alias("b"), F.min("side").alias("s")).filter("a <> b AND s = 0").select("k")
     live = stash(live, "line-keys")
     few = live.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
