@@ -9,6 +9,7 @@ whole, until all joins agree. Nothing is shuffled and the tables are bounded by
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,9 +19,10 @@ from pyspark.sql import functions as F
 
 from .common import U64, flat, slices
 
-CHUNK = 1024  # bytes, on average
-CHUNK_TABLE = 24_000_000  # bytes of text in one generation of the chunk table
-WORD_TABLE = 200_000  # words in one generation of the word table
+CHUNK = 4096  # bytes, on average
+CHUNK_TABLE = 12_000_000  # characters of text in one generation of the chunk table
+WORD_TABLE = 300_000  # words in one generation of the word table
+TAILS = ".,!?;:"
 BLANKS = np.zeros(256, bool)
 BLANKS[[0x20, 0x0A]] = True
 
@@ -38,7 +40,10 @@ def cuts(data: np.ndarray, every: int = CHUNK) -> np.ndarray:
 
 
 class Encoder:
-    """Encodes and decodes with one tokenizer file; keeps two generations of chunks and of words."""
+    """Encodes and decodes with one tokenizer file; keeps two generations of chunks and of words.
+
+    Ids are kept packed (little-endian, 32 bits) and decoded text beside them, so that a chunk is put together by two
+    joins over its words and a text by two joins over its chunks."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -46,12 +51,19 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.size = self.tokenizer.get_vocab_size()
+        vocabulary = {i: t for t, i in self.tokenizer.get_vocab(with_added_tokens=True).items()}
+        self.names = [vocabulary.get(i, "") for i in range(max(vocabulary) + 1)]
+        self.ends = np.array([t.endswith("</w>") for t in self.names])
+        self.joined = self._tokens_are_joined()
         self.split_safe = self._words_are_apart()
-        self.words: dict[str, tuple] = {}
-        self.old_words: dict[str, tuple] = {}
-        self.chunks: dict[str, list] = {}
-        self.old_chunks: dict[str, list] = {}
+        self.letters_apart = self._letters_are_apart()
+        self.ids: dict[str, bytes] = {}
+        self.text: dict[str, str] = {}
+        self._enter(list(TAILS), list(map(self.plain, TAILS)))
+        self.old_ids: dict[str, bytes] = {}
+        self.old_text: dict[str, str] = {}
+        self.chunks: dict[str, tuple[bytes, str]] = {}
+        self.old_chunks: dict[str, tuple[bytes, str]] = {}
         self.held = 0
         self.joins: dict[tuple[str, str], bool] = {}
 
@@ -61,37 +73,91 @@ class Encoder:
         ids = [self.plain(p) for p in probe]
         return all(self.plain(a + s + b) == x + y for a, x in zip(probe, ids) for b, y in zip(probe, ids) for s in (" ", "\n", "  \n"))
 
+    def _tokens_are_joined(self) -> bool:
+        """Whether decoding joins the tokens with blanks (no decoder in the file)."""
+        ids = self.plain("Words, 12 of them: don't \u00e9t\u00e9 <|endoftext|>")
+        return self.tokenizer.decoder is None and self.tokenizer.decode(ids, skip_special_tokens=False) == self._named(ids)
+
+    def _named(self, ids: list[int]) -> str:
+        return " ".join([self.names[i] for i in ids])
+
     def plain(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
-    def _chunk(self, text: str) -> list[int]:
-        """Ids of a chunk from the ids of its words, where the tokenizer keeps words apart."""
+    def _letters_are_apart(self) -> bool:
+        """Whether a run of letters is a piece of its own, ends in a marked token, and ignores the case of ASCII."""
+        if not (self.split_safe and self.joined):
+            return False
+        same = all(self.plain(a.upper() + t) == self.plain(a) + self.plain(t) for a in ("a", "word", "xylophones") for t in TAILS)
+        one = all(sum(self.ends[self.plain(a)]) == 1 and self.ends[self.plain(a)[-1]] for a in ("a", "word", "xylophones", "été"))
+        return same and one
+
+    def _enter(self, words: list[str], found: list[list[int]]) -> None:
+        for w, f in zip(words, found):
+            self.ids[w] = struct.pack(f"<{len(f)}I", *f)
+            self.text[w] = self._named(f) if self.joined else ""
+
+    def _letters(self, words: list[str]) -> None:
+        """Words of letters only, many to a string: the tokens that end a piece part them again. A string whose pieces
+        are not as many as its words (odd lower-case forms) is encoded word by word."""
+        parts = [words[i : i + 200] for i in range(0, len(words), 200)]
+        for part, e in zip(parts, self.tokenizer.encode_batch_fast(list(map(" ".join, parts)), add_special_tokens=False)):
+            found = e.ids
+            stops = (np.flatnonzero(self.ends[found]) + 1).tolist()
+            if len(stops) == len(part):
+                self._enter(part, [found[a:b] for a, b in zip([0, *stops], stops)])
+            else:
+                self._enter(part, [self.plain(w) for w in part])
+
+    def _learn(self, words: list[str]) -> None:
+        """Enters the words that the current table lacks, from the old one, from their letters, or by the tokenizer."""
+        ids, text, missing = self.ids, self.text, []
+        for w in dict.fromkeys(words):
+            if w not in ids:
+                old = self.old_ids.get(w)
+                if old is None:
+                    missing.append(w)
+                else:
+                    ids[w], text[w] = old, self.old_text[w]
+        if self.letters_apart:
+            stems, derived, others = {}, [], []
+            for w in missing:
+                stem, tail = (w[:-1], w[-1]) if w[-1] in TAILS else (w, "")
+                if not stem.isalpha():
+                    others.append(w)
+                    continue
+                key = stem.lower() if stem.isascii() else stem
+                if key not in ids:
+                    stems[key] = None
+                if key != w:
+                    derived.append((w, key, tail))
+            self._letters(list(stems))
+            for w, key, tail in derived:
+                ids[w] = ids[key] + ids[tail] if tail else ids[key]
+                text[w] = f"{text[key]} {text[tail]}" if tail else text[key]
+            missing = others
+        self._enter(missing, [e.ids for e in self.tokenizer.encode_batch_fast(missing, add_special_tokens=False)])
+
+    def _chunk(self, text: str) -> tuple[bytes, str]:
+        """A chunk from its words, where the tokenizer keeps words apart."""
         if not self.split_safe:
-            return self.plain(text)
-        words = [w for w in text.replace("\n", " ").split(" ") if w]
+            found = self.plain(text)
+            return struct.pack(f"<{len(found)}I", *found), self._named(found) if self.joined else ""
+        words = list(filter(None, text.replace("\n", " ").split(" ")))
         try:
-            parts = [self.words[w] for w in words]
+            ids = b"".join(map(self.ids.__getitem__, words))
         except KeyError:
-            new = [w for w in dict.fromkeys(words) if w not in self.words]
-            missing = []
-            for w in new:
-                if w in self.old_words:
-                    self.words[w] = self.old_words[w]
-                else:
-                    missing.append(w)
-            for w, e in zip(missing, self.tokenizer.encode_batch_fast(missing, add_special_tokens=False)):
-                self.words[w] = e.ids
-            parts = [self.words[w] for w in words]
-            if len(self.words) > WORD_TABLE:
-                self.old_words, self.words = self.words, {}
-        return [i for p in parts for i in p]
-
-    def chunk(self, text: str) -> np.ndarray:
+            if len(self.ids) > WORD_TABLE:
+                self.old_ids, self.old_text, self.ids, self.text = self.ids, self.text, {}, {}
+                self._enter(list(TAILS), list(map(self.plain, TAILS)))
+            self._learn(words)
+            ids = b"".join(map(self.ids.__getitem__, words))
+        return ids, " ".join(filter(None, map(self.text.__getitem__, words))) if self.joined else ""
+
+    def chunk(self, text: str) -> tuple[bytes, str]:
         found = self.chunks.get(text)
         if found is None:
-            found = self.old_chunks.get(text)
-            if found is None:
-                found = np.array(self._chunk(text), "<u4")
+            found = self.old_chunks.get(text) or self._chunk(text)
             self.chunks[text] = found
             self.held += len(text)
             if self.held > CHUNK_TABLE:
@@ -103,26 +169,27 @@ class Encoder:
         a = left[max(left.rfind(" "), left.rfind("\n"), 0) :]
         ends = [i for i in (right.find(" ", 1), right.find("\n", 1)) if i > 0]
         b = right[: min(ends, default=len(right))]
-        key = (a, b)
-        known = self.joins.get(key)
+        known = self.joins.get((a, b))
         if known is None:
-            known = self.plain(a + b) == self.plain(a) + self.plain(b)
+            both = self.plain(a + b)
+            known = struct.pack(f"<{len(both)}I", *both) == self._chunk(a)[0] + self._chunk(b)[0]
             if len(self.joins) > 50_000:
                 self.joins.clear()
-            self.joins[key] = known
+            self.joins[a, b] = known
         return known
 
-    def encode(self, pieces: list[str]) -> np.ndarray:
-        """pieces: the chunks of a text, in order, each but the first beginning with a blank."""
+    def encode(self, pieces: list[str]) -> tuple[bytes, str]:
+        """Packed ids and decoded text. pieces: the chunks of a text, in order, each but the first beginning with a blank."""
         done: list[str] = []
         for p in pieces:
             while done and not self.agree(done[-1], p):
                 p = done.pop() + p  # repaired: encoded as one, and its own left join is tested again
             done.append(p)
-        return np.concatenate([np.empty(0, "<u4"), *map(self.chunk, done)])
-
-    def decoded(self, ids: np.ndarray) -> str:
-        return self.tokenizer.decode(ids.tolist(), skip_special_tokens=False)
+        found = list(map(self.chunk, done))
+        ids = b"".join([f[0] for f in found])
+        if self.joined:
+            return ids, " ".join([f[1] for f in found if f[1]])
+        return ids, self.tokenizer.decode(np.frombuffer(ids, "<u4").tolist(), skip_special_tokens=False)
 
 
 _encoders: dict[str, Encoder] = {}
@@ -146,16 +213,17 @@ def pieces(data: np.ndarray, at: np.ndarray) -> Iterator[list[str]]:
 def encode(docs: DataFrame, path: str, decode: bool = True) -> DataFrame:
     """doc_id, text -> doc_id, ids, decoded; a row for each row, null text like an empty one.
 
-    `ids` is binary: the ids as little-endian unsigned 32-bit integers (token_ids() makes an array of them). `decoded` is decode(ids) of the tokenizer with special tokens kept. Repeated rows are encoded alike; an empty
-    table gives none; other columns are not read. A text of any length is encoded whole."""
+    `ids` is binary: the ids as little-endian unsigned 32-bit integers (token_ids() makes an array of them). `decoded`
+    is decode(ids) of the tokenizer with special tokens kept. Repeated rows are encoded alike; an empty table gives
+    none; other columns are not read. A text of any length is encoded whole."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(path)
         for whole in batches:
             for b in slices(whole, "text"):
-                ids = [e.encode(p) for p in pieces(*flat(b.column("text")))]
-                packed = pa.array([x.tobytes() for x in ids], pa.binary())
-                text = pa.array([e.decoded(x) if decode else None for x in ids], pa.string())
+                found = [e.encode(p) for p in pieces(*flat(b.column("text")))]
+                packed = pa.array([ids for ids, _ in found], pa.binary())
+                text = pa.array([t if decode else None for _, t in found], pa.string())
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), packed, text], ["doc_id", "ids", "decoded"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, ids binary, decoded string")
