@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -50,23 +50,14 @@ def nearest(left: DataFrame, right: DataFrame, k: int, size: float, rings: int =
     return out
 
 
-def inside(polygon: str, x: str, y: str) -> Column:
-    """Whether a point lies in a polygon, an array of structs with x and y: an odd number of edges crossed to its right."""
-    ring = F.col(polygon)
-
-    def crossed(p: Column, i: Column) -> Column:
-        q = F.get(ring, F.pmod(i + 1, F.size(ring)))
-        spans = (p["y"] > F.col(y)) != (q["y"] > F.col(y))
-        at = p["x"] + (F.col(y) - p["y"]) / F.nullif(q["y"] - p["y"], F.lit(0.0)) * (q["x"] - p["x"])
-        return F.when(spans & (F.col(x) < at), 1).otherwise(0)
-
-    return F.aggregate(F.transform(ring, crossed), F.lit(0), lambda a, v: a + v) % 2 == 1
-
-
 def in_polygon(points: DataFrame, polygons: DataFrame, size: float) -> DataFrame:
-    """Inner join of points (id, x, y) with polygons (name, ring): bounding boxes meet in cells, then the ray test."""
+    """Inner join of points (id, x, y) with polygons (name, ring): bounding boxes meet in cells, then a
+    point is inside if an odd number of edges is crossed to its right."""
     low = lambda c, f: f(F.transform("ring", lambda p: p[c]))
-    box = polygons.select("name", "ring", *[F.floor(low(c, f) / size).alias(f"__{n}{c}") for c in ("x", "y") for n, f in (("lo", F.array_min), ("hi", F.array_max))])
+    edge = lambda p, i: F.struct(p["x"].alias("px"), p["y"].alias("py"), F.get("ring", F.pmod(i + 1, F.size("ring")))["x"].alias("qx"), F.get("ring", F.pmod(i + 1, F.size("ring")))["y"].alias("qy"))
+    box = polygons.select("name", F.transform("ring", edge).alias("edges"), *[F.floor(low(c, f) / size).alias(f"__{n}{c}") for c in ("x", "y") for n, f in (("lo", F.array_min), ("hi", F.array_max))])
     box = box.withColumn("__cx", F.explode(F.sequence("__lox", "__hix"))).withColumn("__cy", F.explode(F.sequence("__loy", "__hiy")))
     j = _cells(points, "x", "y", size, False).join(box, ["__cx", "__cy"])
-    return j.filter(inside("ring", "x", "y")).select("id", "name")
+    e = j.select("id", "name", "x", "y", F.explode("edges").alias("e")).select("id", "name", "x", "y", "e.*")
+    crossed = F.expr("(py > y) <> (qy > y) AND x < px + (y - py) / nullif(qy - py, 0D) * (qx - px)")
+    return e.groupBy("id", "name").agg(F.count_if(crossed).alias("n")).filter("n % 2 = 1").select("id", "name")
