@@ -14,7 +14,7 @@ that links grow with the rows and not with the pairs.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import minhash
 from .common import components, partitions, slices, stash
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
@@ -30,20 +31,26 @@ SEED = 42
 SMALL = 1024
 
 
-def simhash(text: str | None, words: int = 3) -> int:
-    """The fingerprint as an unsigned 64-bit number; no words: 0."""
+def shingle_hashes(text: str | None, words: int) -> Iterator[np.ndarray]:
+    """The 64-bit hashes of a text's word shingles; a very long text's in parts."""
     w = WORDS.findall((text or "").translate(LOWER))
     if not w:
-        return 0
+        return
     if len(w) < words:
         shingles = [" ".join(w)]
     else:
         shingles = list(map(" ".join, zip(*[w[i:] for i in range(words)])))
-    total, n = np.zeros(64, np.int64), len(shingles)
     digest = xxhash.xxh64_intdigest
-    for i in range(0, n, 65536):  # a very long text is summed in parts
-        h = np.array([digest(s.encode(), SEED) for s in shingles[i : i + 65536]], dtype=">u8")
-        total += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    for i in range(0, len(shingles), 65536):
+        yield np.array([digest(s.encode(), SEED) for s in shingles[i : i + 65536]], np.uint64)
+
+
+def simhash(text: str | None, words: int = 3) -> int:
+    """The fingerprint as an unsigned 64-bit number; no words: 0."""
+    total, n = np.zeros(64, np.int64), 0
+    for h in shingle_hashes(text, words):
+        total += np.unpackbits(h.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+        n += len(h)
     return int.from_bytes(np.packbits(total * 2 > n).tobytes(), "big")
 
 
@@ -142,20 +149,30 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 2) -> DataFra
     the smallest doc_id (null last), then the smallest text hash, of a component. Null, empty and blank texts have
     fingerprint 0 and are linked with one another. Repeated rows are linked like others. An empty table gives an
     empty result. Other columns are not read."""
-    fps = stash(fingerprints(docs, words), "simhash")
+    return _classes(stash(fingerprints(docs, words), "simhash"), lambda distinct: near_links(distinct, radius))
+
+
+def _classes(fps: DataFrame, links: Callable[[DataFrame], DataFrame]) -> DataFrame:
     me = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")
     per = stash(fps.groupBy("fp").agg(F.min(me).alias("low")), "simhash-distinct")
-    roots = components(near_links(per.select("fp"), radius), "simhash-links")
+    roots = components(links(per.select("fp")), "simhash-links")
     named = per.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "low")
     lows = named.groupBy("root").agg(F.min("low").alias("first"))
     classes = named.join(lows, "root").select("fp", "first")
     return fps.join(classes, "fp").select("doc_id", "th", "fp", F.col("first.doc_id").alias("component_id"), (me == F.col("first")).alias("stays"))
 
 
-def keep_one(docs: DataFrame, words: int = 5, radius: int = 3) -> DataFrame:
-    """docs less the near duplicates: of each component the row that `stays` is kept, columns unchanged. Rows that
-    agree in doc_id and text are one document and leave one row."""
-    c = stash(near_duplicates(docs, words, radius), "simhash-classes")
+def similar_documents(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """As near_duplicates(), with links between texts whose sets of shingles have a Jaccard similarity of `percent`
+    hundredths or more; fp is a hash of the set. Texts without words are linked with one another."""
+    sets = stash(minhash.shingle_sets(docs, shingle_hashes, words), "shingle-sets")
+    return _classes(sets.select("doc_id", "th", "fp"), lambda distinct: minhash.similar_links(sets, percent))
+
+
+def keep_one(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """docs less the near duplicates that similar_documents() links: of each component the row that `stays` is kept,
+    columns unchanged. Rows that agree in doc_id and text are one document and leave one row."""
+    c = stash(similar_documents(docs, words, percent), "simhash-classes")
     gone = c.filter("NOT stays").select(F.col("doc_id").alias("__id"), F.col("th").alias("__th")).distinct()
     left = docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(docs["text"]) == F.col("__th")), "left_anti")
     again = c.filter("stays").groupBy("doc_id", "th").count().filter("count > 1")

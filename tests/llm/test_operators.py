@@ -339,6 +339,21 @@ def test_keep_one(docs, rows):
     assert max(texts.values()) == 1 and {r[1] for r in rows if r[1] and len(r[1]) > 40 and "tail" not in r[1]} <= set(texts)
 
 
+def test_keep_one_at_planted_similarities(spark):
+    rng = random.Random(12)
+    rows, want = [], set()
+    for i, (shingles, new) in enumerate([(90, 10), (90, 11), (87, 8), (97, 3), (189, 21), (189, 22), (900, 100), (39, 1)] * 12):
+        base = [f"w{rng.getrandbits(40)}" for _ in range(shingles + 4)]
+        rows += [(2 * i, " ".join(base)), (2 * i + 1, " ".join(base[:-new] + [f"v{rng.getrandbits(40)}" for _ in range(new)]))]
+        # the last `new` of the shingles differ
+        want |= {2 * i} | ({2 * i + 1} if (shingles - new) * 5 < (shingles + new) * 4 else set())
+    # a chain: neighbours alike, ends not
+    words = [f"c{rng.getrandbits(40)}" for _ in range(130)]
+    rows += [(1000 + k, " ".join(words[4 * k : 4 * k + 84])) for k in range(10)]
+    got = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r["doc_id"] for r in got.collect()} == want | {1000}
+
+
 # 8
 
 
