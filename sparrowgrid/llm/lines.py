@@ -156,12 +156,13 @@ def _near(lines: DataFrame, edits: int) -> DataFrame:
     return done.union(more)
 
 
-def line_flags(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
+def line_flags(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, short: bool = False) -> DataFrame:
     """id, th (a document's key: doc_id and the hash of its text), flags: for each line 0 (stays), 1 (repeats an
-    earlier line) or 2 (only close to an earlier line)."""
+    earlier line) or 2 (only close to an earlier line). `short`: shorter lines too, unless blank, repeat equal ones."""
     lines = _lines(docs)
-    long = lines.filter(F.col("n") >= min_chars)
-    near = _near(long, edits) if edits else None
+    near = _near(lines.filter(F.col("n") >= min_chars), edits) if edits else None
+    judged = (F.col("n") >= min_chars) | F.col("line").rlike(r"[^\x20\x09-\x0D]") if short else F.col("n") >= min_chars
+    long = lines.filter(judged)
     seen = long.groupBy("h1", "h2").agg(F.min(F.struct("id", "th", "no")).alias("first"), F.count("*").alias("times"))
     if near is not None:
         seen = seen.join(near.withColumn("near", F.lit(True)), ["h1", "h2"], "left").filter("times > 1 OR near")
@@ -170,17 +171,17 @@ def line_flags(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS)
     here = F.struct("id", "th", "no")
     kind = F.when(F.col("first").isNull(), 0).when(here != F.col("first"), 1).when(F.col("near"), 2).otherwise(0)
     rows = long.select("id", "th", "no", "h1", "h2").join(seen, ["h1", "h2"], "left").select("id", "th", "no", kind.alias("kind"))
-    rows = rows.union(lines.filter(F.col("n") < min_chars).select("id", "th", "no", F.lit(0)))
+    rows = rows.union(lines.filter(~judged).select("id", "th", "no", F.lit(0)))
     return rows.groupBy("id", "th").agg(F.transform(F.array_sort(F.collect_set(F.struct("no", "kind"))), lambda x: x["kind"]).alias("flags"))
 
 
-def dedup_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
+def dedup_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, short: bool = False) -> DataFrame:
     """docs with `text` less its repeated lines, further columns n_lines, n_exact, n_near; columns else unchanged.
 
     A row for each row of docs. Null text stays null with no lines; empty text has one empty line. Rows that agree
     in doc_id and text are one document and keep the same lines; a null doc_id comes before all others; rows that
     share a doc_id are ordered by the hash of their text. An empty table gives none."""
-    flags = line_flags(docs.filter("text IS NOT NULL"), edits, min_chars).select(F.col("id").alias("__id"), F.col("th").alias("__th"), F.col("flags").alias("__flags"))
+    flags = line_flags(docs.filter("text IS NOT NULL"), edits, min_chars, short).select(F.col("id").alias("__id"), F.col("th").alias("__th"), F.col("flags").alias("__flags"))
     key = (F.coalesce(docs["doc_id"].cast("long"), F.lit(NULL_ID)) == F.col("__id")) & (F.xxhash64(docs["text"]) == F.col("__th"))
     out = docs.join(flags, key, "left")
     flag = F.col("__flags")
@@ -194,9 +195,10 @@ def dedup_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS)
 
 def dedup_documents(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
     """docs with their repeated lines cut out, columns unchanged (n_chars follows the text). A document that had
-    lines with text and keeps none of them goes; one that had none to begin with stays."""
+    lines with text and keeps none of them goes; one that had none to begin with stays. Equality counts for lines of
+    any length, unless blank; the edits for lines of min_chars or more."""
     plain = [c for c in docs.columns if c not in ("n_lines", "n_exact", "n_near")]
-    d = dedup_lines(docs.select(*plain), edits, min_chars)
+    d = dedup_lines(docs.select(*plain), edits, min_chars, short=True)
     d = d.filter((F.col("n_exact") + F.col("n_near") == 0) | (F.trim(F.replace("text", F.lit("\n"), F.lit(""))) != ""))
     if "n_chars" in plain:
         d = d.withColumn("n_chars", F.when(F.col("n_exact") + F.col("n_near") == 0, F.col("n_chars")).otherwise(F.char_length("text")).cast(docs.schema["n_chars"].dataType))

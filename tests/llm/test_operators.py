@@ -168,6 +168,12 @@ def test_dedup_documents_keeps_columns_and_null_text(docs, rows):
     assert all(r["n_chars"] == len(r["text"]) for r in left if r["text"] is not None)
 
 
+def test_dedup_documents_cuts_short_equal_lines(spark):
+    d = spark.createDataFrame([(1, "one\n\nAll rights reserved.\n \none"), (2, "two\nAll rights reserved.\n\n "), (3, "one\ntwo"), (4, "onf\nAll rights reserved,")], "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in lines.dedup_documents(d).collect()}
+    assert got == {1: "one\n\nAll rights reserved.\n ", 2: "two\n\n ", 4: "onf\nAll rights reserved,"}
+
+
 # 3
 
 
