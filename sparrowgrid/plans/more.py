@@ -224,9 +224,9 @@ def _similar(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 @rows_only
 def token_sort_ratio(spark, sf):
-    """Best and second match of each name by the Indel ratio of sorted words, within one first letter."""
+    """Best and second match of each name by the Indel ratio of sorted words, among all names."""
     n = table(spark, sf, "part").select(F.col("p_name").alias("name")).distinct().withColumn("ka", S.token_sort_key("name"))
-    j = n.join(n.toDF("best", "kb"), (F.col("name") != F.col("best")) & (F.substring("ka", 1, 1) == F.substring("kb", 1, 1)))
+    j = n.join(n.toDF("best", "kb"), F.col("name") != F.col("best"))
     scored = j.select("name", "best", "ka", "kb").mapInPandas(_similar, "name string, best string, score double")
     return R.runner_up(scored, ["name"], [F.desc("score"), "best"], "score")
 

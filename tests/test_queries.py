@@ -35,3 +35,10 @@ def test_query(name, spark, sf_dir, con):
     found = [d[0] for d in r.description]
     assert sorted(found) == columns
     assert rows == sorted(([plain(x[found.index(c)]) for c in columns] for x in r.fetchall()), key=str)
+
+
+def test_token_sort_ratio_across_first_letters(spark, tmp_path):
+    names = ["blue steel pipe", "alue steel pipe", "blue rust", "green tin"]
+    spark.createDataFrame([(n,) for n in names], "p_name string").write.parquet(str(tmp_path / "part.parquet"))
+    got = {r["name"]: r["best"] for r in QUERIES["token_sort_ratio"](spark, str(tmp_path)).collect()}
+    assert got["blue steel pipe"] == "alue steel pipe" and got["alue steel pipe"] == "blue steel pipe" and set(got) == set(names)
