@@ -1,14 +1,17 @@
 """BPE encoding and decoding with reuse of content-defined chunks.
 
-A rolling hash over the bytes of a text chooses chunk ends among its blanks, so the same passage is cut alike in
-every document. A worker encodes a chunk once and keeps it in a bounded table; inside a new chunk, words that
-are known already are not encoded again. Each join of two chunks is then tested: the text around it is encoded
-as one piece and compared with what the two sides gave. Where they disagree, the chunks are merged and encoded
-whole, until all joins agree. Nothing is shuffled and the tables are bounded by bytes, not by the corpus.
+A rolling hash over the bytes of a text cuts it into chunks, anywhere between two code points, so the same passage
+is cut alike in every document, whatever stands before it. A worker encodes a chunk once and keeps it in a bounded
+table: its inside (between two blanks that the tokenizer never joins to what precedes them), and what hangs over at
+both ends. At each join the two overhangs, which were encoded by themselves, are encoded again as one; where that
+disagrees with what they gave apart (a word was cut in two), the join is repaired by the new ids. A chunk without such
+a blank has no inside and only widens the join, up to the next chunk that has one. Inside a new chunk, words that are
+known already are not encoded again. Nothing is shuffled and the tables are bounded by bytes, not by the corpus.
 """
 
 from __future__ import annotations
 
+import re
 import struct
 from collections.abc import Iterator
 
@@ -17,26 +20,29 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, flat, slices
+from .common import U64, flat, mix64, slices
 
-CHUNK = 4096  # bytes, on average
-CHUNK_TABLE = 12_000_000  # characters of text in one generation of the chunk table
-WORD_TABLE = 300_000  # words in one generation of the word table
+CHUNK = 512  # bytes, on average
+WINDOW = 16  # bytes of the rolling hash
+CHUNK_TABLE = 4_000_000  # characters of text in one generation of the chunk table
+WORD_TABLE = 80_000  # words in one generation of the word table
+SLICE = 1_000_000  # bytes of text that a worker takes at once
 TAILS = ".,!?;:"
-BLANKS = np.zeros(256, bool)
-BLANKS[[0x20, 0x0A]] = True
+BYTES = mix64(np.arange(1, 257, dtype=U64) * U64(0x9E3779B97F4A7C15))
+Found = tuple[bytes, str]  # packed ids, decoded text
 
 
 def cuts(data: np.ndarray, every: int = CHUNK) -> np.ndarray:
-    """Offsets of content-defined chunk starts in the bytes: blanks whose last eight bytes hash to 0 modulo the
-    average number of blanks in a chunk."""
-    at = np.flatnonzero(BLANKS[data]) if len(data) else np.empty(0, np.int64)
-    at = at[at >= 8]
-    h = np.zeros(len(at), U64)
-    for i in range(8):
-        h = h * U64(1099511628211) + data[at - 1 - i].astype(U64)
-    h = (h ^ (h >> U64(29))) * U64(0x9E3779B97F4A7C15)
-    return at[(h >> U64(40)) % U64(max(1, every // 7)) == 0]
+    """Offsets of content-defined chunk starts in the bytes: code points before which the hash of WINDOW bytes is 0
+    modulo `every`."""
+    if len(data) <= WINDOW:
+        return np.empty(0, np.int64)
+    h, n = BYTES[data], 1
+    while n < WINDOW:
+        h = h[:-n] * U64(pow(0x100000001B3, n, 1 << 64)) + h[n:]
+        n *= 2
+    at = np.flatnonzero((h[:-1] ^ (h[:-1] >> U64(29))) % U64(every) == 0) + WINDOW
+    return at[(data[at] & 0xC0) != 0x80]
 
 
 class Encoder:
@@ -56,16 +62,23 @@ class Encoder:
         self.ends = np.array([t.endswith("</w>") for t in self.names])
         self.joined = self._tokens_are_joined()
         self.split_safe = self._words_are_apart()
+        safe = "".join(filter(self._parts_before, " \n"))
+        self.parting = re.compile(f"(?<=\\S)[{safe}](?=\\S)") if safe else None
+        self.joins = self.repaired = self.asked = self.reused = 0  # joins, those that disagreed; characters, those from a known chunk
+        self.letters_apart = False
+        self.clear()
         self.letters_apart = self._letters_are_apart()
+
+    def clear(self) -> None:
+        """Empties the tables."""
         self.ids: dict[str, bytes] = {}
         self.text: dict[str, str] = {}
         self._enter(list(TAILS), list(map(self.plain, TAILS)))
         self.old_ids: dict[str, bytes] = {}
         self.old_text: dict[str, str] = {}
-        self.chunks: dict[str, tuple[bytes, str]] = {}
-        self.old_chunks: dict[str, tuple[bytes, str]] = {}
+        self.chunks: dict[str, tuple[str, bytes, Found | None, str, bytes]] = {}
+        self.old_chunks: dict[str, tuple[str, bytes, Found | None, str, bytes]] = {}
         self.held = 0
-        self.joins: dict[tuple[str, str], bool] = {}
 
     def _words_are_apart(self) -> bool:
         """Whether text between blanks can be encoded by itself: blanks separate words and leave no token."""
@@ -73,6 +86,11 @@ class Encoder:
         ids = [self.plain(p) for p in probe]
         return all(self.plain(a + s + b) == x + y for a, x in zip(probe, ids) for b, y in zip(probe, ids) for s in (" ", "\n", "  \n"))
 
+    def _parts_before(self, blank: str) -> bool:
+        """Whether a text may always be cut before this blank, if it stands alone."""
+        ends, starts = ("a", "word", "7", "don't", "x,", "!!", "é", ")"), ("a", "word", "7", "'s", ".", "!!", "É", "(", "\u0301")
+        return all(self.plain(a + blank + b) == self.plain(a) + self.plain(blank + b) for a in ends for b in starts)
+
     def _tokens_are_joined(self) -> bool:
         """Whether decoding joins the tokens with blanks (no decoder in the file)."""
         ids = self.plain("Words, 12 of them: don't \u00e9t\u00e9 <|endoftext|>")
@@ -123,7 +141,7 @@ class Encoder:
             stems, derived, others = {}, [], []
             for w in missing:
                 stem, tail = (w[:-1], w[-1]) if w[-1] in TAILS else (w, "")
-                if not stem.isalpha():
+                if not (stem.isalpha() and stem.lower().isalpha()):  # some letters have a lower-case form with a mark
                     others.append(w)
                     continue
                 key = stem.lower() if stem.isascii() else stem
@@ -138,8 +156,8 @@ class Encoder:
             missing = others
         self._enter(missing, [e.ids for e in self.tokenizer.encode_batch_fast(missing, add_special_tokens=False)])
 
-    def _chunk(self, text: str) -> tuple[bytes, str]:
-        """A chunk from its words, where the tokenizer keeps words apart."""
+    def whole(self, text: str) -> Found:
+        """A text as one piece; by its words, where the tokenizer keeps them apart."""
         if not self.split_safe:
             found = self.plain(text)
             return struct.pack(f"<{len(found)}I", *found), self._named(found) if self.joined else ""
@@ -154,38 +172,54 @@ class Encoder:
             ids = b"".join(map(self.ids.__getitem__, words))
         return ids, " ".join(filter(None, map(self.text.__getitem__, words))) if self.joined else ""
 
-    def chunk(self, text: str) -> tuple[bytes, str]:
+    def _parted(self, text: str) -> tuple[str, bytes, Found | None, str, bytes]:
+        """A chunk: what hangs over before its first parting blank, the inside, what hangs over from the last one."""
+        first = self.parting.search(text)
+        if not first:
+            return text, self.whole(text)[0], None, "", b""
+        a, b = first.start(), len(text) - 1
+        while not self.parting.match(text, b):
+            b -= 1
+        return text[:a], self.whole(text[:a])[0], self.whole(text[a:b]), text[b:], self.whole(text[b:])[0]
+
+    def chunk(self, text: str) -> tuple[str, bytes, Found | None, str, bytes]:
         found = self.chunks.get(text)
+        self.asked += len(text)
         if found is None:
-            found = self.old_chunks.get(text) or self._chunk(text)
+            found = self.old_chunks.get(text)
+            if found is None:
+                found = self._parted(text)
+            else:
+                self.reused += len(text)
             self.chunks[text] = found
             self.held += len(text)
             if self.held > CHUNK_TABLE:
                 self.old_chunks, self.chunks, self.held = self.chunks, {}, 0
+        else:
+            self.reused += len(text)
         return found
 
-    def agree(self, left: str, right: str) -> bool:
-        """Whether the text around a join encodes to what its sides encode to: the word before and the word after."""
-        a = left[max(left.rfind(" "), left.rfind("\n"), 0) :]
-        ends = [i for i in (right.find(" ", 1), right.find("\n", 1)) if i > 0]
-        b = right[: min(ends, default=len(right))]
-        known = self.joins.get((a, b))
-        if known is None:
-            both = self.plain(a + b)
-            known = struct.pack(f"<{len(both)}I", *both) == self._chunk(a)[0] + self._chunk(b)[0]
-            if len(self.joins) > 50_000:
-                self.joins.clear()
-            self.joins[a, b] = known
-        return known
-
-    def encode(self, pieces: list[str]) -> tuple[bytes, str]:
-        """Packed ids and decoded text. pieces: the chunks of a text, in order, each but the first beginning with a blank."""
-        done: list[str] = []
-        for p in pieces:
-            while done and not self.agree(done[-1], p):
-                p = done.pop() + p  # repaired: encoded as one, and its own left join is tested again
-            done.append(p)
-        found = list(map(self.chunk, done))
+    def _join(self, left: str, left_ids: bytes, right: str, right_ids: bytes) -> Found:
+        """The overhangs of two chunks encoded as one, whatever they gave apart."""
+        both = self.whole(left + right)
+        self.joins += 1
+        self.repaired += both[0] != left_ids + right_ids
+        return both
+
+    def encode(self, pieces: list[str]) -> Found:
+        """Packed ids and decoded text of a text, from its chunks in order."""
+        if self.parting is None:
+            found = [self.whole("".join(pieces))]
+        else:
+            found, text, ids = [], "", b""
+            for p in pieces:
+                head, head_ids, inside, tail, tail_ids = self.chunk(p)
+                if inside is None:
+                    text, ids = text + head, ids + head_ids
+                else:
+                    found += [self._join(text, ids, head, head_ids), inside]
+                    text, ids = tail, tail_ids
+            found.append(self.whole(text))
         ids = b"".join([f[0] for f in found])
         if self.joined:
             return ids, " ".join([f[1] for f in found if f[1]])
@@ -196,7 +230,7 @@ _encoders: dict[str, Encoder] = {}
 
 
 def encoder(path: str) -> Encoder:
-    """One encoder for each Python worker and file; its tables outlive a task and are bounded."""
+    """One encoder for each Python worker and file."""
     if path not in _encoders:
         _encoders[path] = Encoder(path)
     return _encoders[path]
@@ -219,12 +253,15 @@ def encode(docs: DataFrame, path: str, decode: bool = True) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(path)
-        for whole in batches:
-            for b in slices(whole, "text"):
-                found = [e.encode(p) for p in pieces(*flat(b.column("text")))]
-                packed = pa.array([ids for ids, _ in found], pa.binary())
-                text = pa.array([t if decode else None for _, t in found], pa.string())
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), packed, text], ["doc_id", "ids", "decoded"])
+        try:
+            for whole in batches:
+                for b in slices(whole, "text", SLICE):
+                    found = [e.encode(p) for p in pieces(*flat(b.column("text")))]
+                    packed = pa.array([ids for ids, _ in found], pa.binary())
+                    text = pa.array([t if decode else None for _, t in found], pa.string())
+                    yield pa.RecordBatch.from_arrays([b.column("doc_id"), packed, text], ["doc_id", "ids", "decoded"])
+        finally:
+            e.clear()  # an idle worker holds the tokenizer only
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, ids binary, decoded string")
 

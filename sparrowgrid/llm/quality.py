@@ -17,7 +17,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .common import U64, flat, mix64, slices
 from .fingerprint import _powers
@@ -25,6 +24,7 @@ from .fingerprint import _powers
 SAMPLE = 8000
 LEAST = 0.7  # probability of the top grade from which a document stays
 BINS = 1 << 18
+SLICE = 500_000  # bytes of text that a worker takes at once
 RANGES = {
     "symbols": (0.001, 0.005, 0.02, 0.05, 0.1, 0.2),
     "bars": (0.001, 0.005, 0.02, 0.05, 0.1, 0.2),
@@ -90,13 +90,17 @@ class Model:
     def __init__(self, chosen: np.ndarray, weights: np.ndarray, thresholds: tuple[float, float]):
         self.chosen, self.weights, self.thresholds = chosen, weights, thresholds
 
-    def tails(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """P(grade >= 1) and P(grade >= 2) of each text."""
+    def scorer(self):
+        """A function of the joined bytes of texts and their offsets: P(grade >= 1) and P(grade >= 2) of each text."""
         table = np.zeros(BINS + len(RANGES) * WIDTH)
         table[self.chosen] = self.weights
-        doc, f = features(data, at)
-        score = np.bincount(doc, weights=table[f], minlength=len(at) - 1)
-        return tuple(1 / (1 + np.exp(-np.clip(score - t, -500, 500))) for t in self.thresholds)
+
+        def tails(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            doc, f = features(data, at)
+            score = np.bincount(doc, weights=table[f], minlength=len(at) - 1)
+            return tuple(1 / (1 + np.exp(-np.clip(score - t, -500, 500))) for t in self.thresholds)
+
+        return tails
 
 
 def _chosen(doc: np.ndarray, feature: np.ndarray, grade: np.ndarray) -> np.ndarray:
@@ -155,7 +159,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for b in slices(whole, "text"):
+            for b in slices(whole, "text", SLICE):
                 data, at = flat(b.column("text"))
                 doc, f = features(data, at)
                 order = np.argsort(doc, kind="stable")
@@ -172,16 +176,19 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 
 
 def rated(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """docs with further columns __p1, __p2: P(grade >= 1) and P(grade >= 2). Null text is rated like an empty one."""
-    schema = T.StructType([*docs.schema.fields, T.StructField("__p1", T.DoubleType()), T.StructField("__p2", T.DoubleType())])
+    """docs with further columns __p1, __p2: P(grade >= 1) and P(grade >= 2). Null text is rated like an empty one.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for b in slices(whole, text):
-                p1, p2 = model.tails(*flat(b.column(text)))
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(p1), pa.array(p2)], [*b.schema.names, "__p1", "__p2"])
+    Only the text goes to the Python workers and only two numbers come back; the other columns stay where they are."""
+
+    @F.arrow_udf("struct<p1: double, p2: double>")
+    def score(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        weigh = model.scorer()
+        for whole in texts:
+            parts = [weigh(*flat(b.column("text"))) for b in slices(pa.RecordBatch.from_arrays([whole], ["text"]), "text", SLICE)]
+            p1, p2 = (np.concatenate([np.empty(0), *(p[i] for p in parts)]) for i in (0, 1))
+            yield pa.StructArray.from_arrays([pa.array(p1), pa.array(p2)], ["p1", "p2"])
 
-    return docs.mapInArrow(run, schema)
+    return docs.withColumn("__p", score(F.col(text))).select(*[docs[c] for c in docs.columns], F.col("__p.p1").alias("__p1"), F.col("__p.p2").alias("__p2"))
 
 
 def grade(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:

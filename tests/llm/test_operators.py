@@ -277,9 +277,9 @@ def test_bpe_chunks_are_repaired(name):
 
     e = bpe.Encoder(public_tokenizers.path(name))
     rng = random.Random(2)
-    odd = ["a", "  ", "\n", "é", "é", " ́x", "don't", "İ", "ſ", "<|endoftext|>", "12", " ", "🙂", "\x85", "Σ", "'s", " "]
-    for _ in range(60):
-        text = "".join(rng.choices(odd, k=400))
+    odd = ["a", "  ", "\n", "é", "e\u0301", " \u0301x", "don't", "İ", "ſ", "<|endoftext|>", "12", "\xa0", "🙂", "\x85", "Σ", "'s", " ", "!\n", "words and"]
+    for k in range(60):
+        text = "".join(rng.choices(odd, k=400)) if k % 2 else " ".join(rng.choices(["tokenisation", "of", "words", "été", "x1"], k=300))
         data = np.frombuffer(text.encode(), np.uint8)
         own = [0, *bpe.cuts(data, 40).tolist(), len(data)]
         parts = [data[a:b].tobytes().decode() for a, b in zip(own, own[1:]) if b > a]
@@ -287,6 +287,28 @@ def test_bpe_chunks_are_repaired(name):
         want = e.plain(text)
         assert len(parts) > 1 and list(struct.unpack(f"<{len(ids) // 4}I", ids)) == want
         assert decoded == e.tokenizer.decode(want, skip_special_tokens=False)
+    assert 0 < e.repaired <= e.joins
+
+
+def test_bpe_a_cut_word_is_repaired():
+    e = bpe.Encoder(bpe.vocabulary())
+    want = e.plain("some tokenisation here")
+    ids, _ = e.encode(["some token", "isation here"])
+    assert list(struct.unpack(f"<{len(ids) // 4}I", ids)) == want and e.repaired == 1
+    assert e.encode(["some token", "isat", "ion here"])[0] == ids and e.encode(["some t", "", "o", "kenisation here"])[0] == ids
+
+
+def test_bpe_shared_passages_share_chunks():
+    e = bpe.Encoder(bpe.vocabulary())
+    rng = random.Random(4)
+    say = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    passage = say(2000)
+    texts = [say(rng.randrange(50)) + " " + passage + say(30) for _ in range(5)]
+    for t in texts:
+        data = np.frombuffer(t.encode(), np.uint8)
+        for p in bpe.pieces(data, np.array([0, len(data)])):
+            assert list(struct.unpack(f"<{len(e.plain(t))}I", e.encode(p)[0])) == e.plain(t)
+    assert e.reused > 3.5 * len(passage)
 
 
 # 7
