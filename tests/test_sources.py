@@ -17,9 +17,36 @@ def write(tmp_path, text, name="a.raw"):
     return f"file://{p}"
 
 
-def test_split_fields():
-    assert cases.split_fields("1,'a, b ',3 / note") == ["1", "a, b ", "3"]
-    assert cases.split_fields("") == [""]
+def test_split_fields(spark):
+    # fixed values: lines and the fields that the format gives them
+    want = {
+        "1,'a, b ',3 / note": ["1", "a, b ", "3"], "": [""], ",": ["", ""], "  10,'F_M   ',  38.0,1": ["10", "F_M   ", "38.0", "1"], "\"it's\",1,": ["it's", "1", ""],
+        "0,  100.00, 35 / some, more": ["0", "100.00", "35"], "'open, end": ["open, end"], "1,/": ["1", ""], "a'b/c'd": ["ab/cd"], "'','x'": ["", "x"],
+    }
+    d = spark.createDataFrame([(k,) for k in want], "line string").select("line", cases.split_fields("line").alias("f"))
+    assert {r["line"]: r["f"] for r in d.collect()} == want
+
+
+def test_named_sections_and_all_tables(spark, tmp_path):
+    begin = lambda a, b: f"0 / END OF {a} DATA, BEGIN {b} DATA\r\n"
+    text = HEAD.replace("35,", "35.0,") + begin("SYSTEM-WIDE", "BUS") + BUSES.rsplit("0 /", 1)[0] + begin("BUS", "LOAD") + LOADS.rsplit("0 /", 1)[0] + begin("LOAD", "FIXED SHUNT") + "9,9\n" + begin("FIXED SHUNT", "GENERATOR")
+    text += "1,'W1',25.5,0,10,-10,1.01,0,0,40.0,0,1,0,0,1,1,100,40,0\n" + begin("GENERATOR", "BRANCH") + "1, 2,'1 ',0.01,0.1,0.02,'line',100,110,120\n" + begin("BRANCH", "TRANSFORMER")
+    text += "1,2,0,'1 ',1,1,1,0,0,2,'T1',1\n0.001,0.05,100\n1.0,110,30.0,50\n1.0,38\n1,2,3,'1 ',1\n0.1,0.2,100,0.3\n1\n2\n3,400\n" + begin("TRANSFORMER", "AREA") + "1,0,0,0,'EAST  '\n" + begin("AREA", "TWO-TERMINAL DC")
+    text += '"dc ",1,2.0956\n11,2,15\n22,4,18\n' + begin("TWO-TERMINAL DC", "ZONE") + "7,'Z7'\n0 / END OF ZONE DATA\nQ\n"
+    t = cases.read_case(spark, write(tmp_path, text))
+    row = lambda name, *cols: [tuple(r[c] for c in cols) for r in t[name].collect()]
+    assert sorted(row("bus", "I", "NAME")) == [(1, "A   "), (2, "B,x")] and len(row("load", "I")) == 2
+    assert row("generator", "I", "ID", "PG", "MBASE", "STAT", "PT", "WMOD") == [(1, "W1", 25.5, 40.0, 1, 40.0, None)]
+    assert row("branch", "I", "J", "CKT", "X", "NAME", "RATE1", "RATE3", "RATE4", "STAT") == [(1, 2, "1 ", 0.1, "line", 100.0, 120.0, None, None)]
+    assert sorted(row("transformer", "K", "X1_2", "NOMV1", "ANG1", "RATE1_1", "NOMV2", "WINDV3", "NOMV3", "WINDINGS")) == [(0, 0.05, 110.0, 30.0, 50.0, 38.0, None, None, 2), (3, 0.2, None, None, None, None, 3.0, 400.0, 3)]
+    assert row("two-terminal dc", "NAME", "RDC", "IPR", "ANMXR", "IPI", "NBI") == [("dc ", 2.0956, 11, 15.0, 22, 4)]
+    assert row("area", "ARNAME") == [("EAST  ",)] and row("zone", "I", "ZONAME") == [(7, "Z7")]
+    assert row("header", "sbase", "title") == [(100.0, ["line two", "line three"])]
+
+
+def test_unknown_section_raises(spark, tmp_path):
+    with pytest.raises(Exception, match="unknown section"):
+        cases.read_case(spark, write(tmp_path, HEAD + "0 / END OF X DATA, BEGIN ODD DATA\n"))["bus"].collect()
 
 
 def test_flat_sections(spark, tmp_path):
