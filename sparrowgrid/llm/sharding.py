@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from .common import stash, unstash
 
 SHARDS = 40
-ROUNDS = 3
+ROUNDS = 6  # at most; they end when no member asks to move
 BUCKET_ROWS = 100_000  # rows of one shard that are numbered in one window, about
 
 
@@ -35,7 +35,7 @@ def _numbered(rows: DataFrame, buckets: int, cls: Column) -> DataFrame:
     n = rows.groupBy("shard", "cls", "bucket").count()
     before = F.coalesce(F.sum("count").over(Window.partitionBy("shard").orderBy("cls", "bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     n = n.select("shard", "cls", "bucket", before.alias("first"))
-    inside = Window.partitionBy("shard", "cls", "bucket").orderBy("g1", "g2", "doc_id", "rid")
+    inside = Window.partitionBy("shard", "cls", "bucket").orderBy("g1", "g2", "doc_id", "no")
     return rows.withColumn("inner", F.row_number().over(inside)).join(n, ["shard", "cls", "bucket"]).withColumn("place", F.col("first") + F.col("inner") - 1).drop("cls", "bucket", "inner", "first")
 
 
@@ -61,53 +61,69 @@ def _levelled(rows: DataFrame, shards: int, total: int, buckets: int) -> DataFra
     return rows.withColumn("shard", F.when(mover.isNull(), F.col("shard")).otherwise(target).cast("int")).drop("place")
 
 
+def _rows(docs: DataFrame) -> DataFrame:
+    """doc_id, size, text_crc32, g1, g2 (two hashes of the text), and `no`: rows that agree in doc_id and text are
+    counted and numbered from 1, so that every row has a name that does not depend on how the table is stored."""
+    d = docs.select(
+        F.col("doc_id").cast("long"), (F.coalesce(F.octet_length("text"), F.lit(0)) + 16).cast("long").alias("size"),
+        F.coalesce(F.crc32(F.encode("text", "UTF-8")), F.lit(0).cast("long")).alias("text_crc32"), F.xxhash64("text").alias("g1"), F.xxhash64(F.lit(11), "text").alias("g2"),
+    )
+    n = d.groupBy("doc_id", "size", "text_crc32", "g1", "g2").agg(F.count("*").cast("int").alias("n"))
+    return n.select("doc_id", "size", "text_crc32", "g1", "g2", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("no"))
+
+
 def shard(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
     """doc_id, text -> doc_id, size, text_crc32, law, shard, slot, grown_shard; a row for each row of docs.
 
     Size is the bytes of the text plus 16; a null text has no bytes, its checksum is 0, and null texts are a group
     of their own, apart from empty ones. Rows with a null or repeated doc_id are placed like any others. An empty
-    table gives none. Other columns are not read. Slots count from 0 within a shard, without gaps."""
-    d = docs.select(F.col("doc_id").cast("long"), "text")
-    rows = stash(
-        d.select(
-            F.monotonically_increasing_id().alias("rid"), "doc_id",
-            (F.coalesce(F.octet_length("text"), F.lit(0)) + 16).cast("long").alias("size"),
-            F.coalesce(F.crc32(F.encode("text", "UTF-8")), F.lit(0).cast("long")).alias("text_crc32"),
-            F.xxhash64("text").alias("g1"), F.xxhash64(F.lit(11), "text").alias("g2"),
-        ),
-        "shard-rows",
-    )
+    table gives none. Other columns are not read. Slots count from 0 within a shard, without gaps. The same rows get the
+    same shards however the table is partitioned.
+
+    A group with more than an eighth of a shard's rows is big: there are at most 8 * shards of them, which bounds what is
+    broadcast. Its members find their group by that; a group that is dealt by its key has fewer rows than that."""
+    rows = stash(_rows(docs).withColumn("rid", F.xxhash64("doc_id", "g1", "g2", "no")), "shard-rows")
     total = rows.count()
     cap = max(1, -(-total // shards))
     buckets = max(4, cap // BUCKET_ROWS)
-    groups = rows.groupBy("g1", "g2").agg(F.count("*").alias("members")).filter("members > 1")
-    now = rows.join(groups, ["g1", "g2"], "left").select(
-        "rid", "doc_id", "g1", "g2", F.col("members").isNotNull().alias("linked"), F.coalesce(F.col("members") * 8 > cap, F.lit(False)).alias("big"),
-        F.pmod(F.xxhash64("doc_id", "rid"), F.lit(shards)).cast("int").alias("shard"),
-    )
+    groups = stash(rows.groupBy("g1", "g2").agg(F.count("*").alias("members")).filter("members > 1").withColumn("big", F.col("members") * 8 > cap), "shard-groups")
+    key = ["g1", "g2"]
+    big = rows.join(F.broadcast(groups.filter("big").select(*key)), key)
+    small = rows.join(F.broadcast(groups.filter("big").select(*key)), key, "left_anti").join(groups.filter("NOT big").select(*key, F.lit(True).alias("linked")), key, "left")
+    every = small.withColumn("big", F.lit(False)).unionByName(big.withColumn("linked", F.lit(True)).withColumn("big", F.lit(True))).withColumn("linked", F.coalesce("linked", F.lit(False)))
+    every = stash(every.withColumn("shard", F.pmod(F.xxhash64("rid", F.lit(3)), F.lit(shards)).cast("int")), "shard-state")
+    unstash(rows)
+    unstash(groups)
+    # only linked rows have anything to move for
+    now = every.filter("linked")
+    held_by_one = stash(every.filter("NOT linked"), "shard-single")
     now = stash(now, "shard-state")
+    unstash(every)
+    load = [0] * shards  # linked rows that the last round would have put there; of equal shards the emptier one is a home
     for r in range(rounds):
-        held = now.filter("linked").groupBy("g1", "g2", "shard").count()
-        best = F.reverse(F.array_sort(F.collect_list(F.struct("count", (-F.col("shard")).alias("s")))))  # at most one entry for each shard
-        chosen = held.groupBy("g1", "g2").agg(best.alias("b"), F.sum("count").alias("members"))
+        held = now.groupBy(*key, "big", "shard").count()
+        best = F.reverse(F.array_sort(F.collect_list(F.struct("count", (-F.element_at(F.array(*map(F.lit, load)), F.col("shard") + 1)).alias("load"), (-F.col("shard")).alias("s")))))  # at most one entry for each shard
+        chosen = held.groupBy(*key, "big").agg(best.alias("b"), F.sum("count").alias("members"))
         need = F.ceil(F.col("members") / F.lit(cap)).cast("int")
-        chosen = chosen.select("g1", "g2", F.transform(F.slice("b", 1, F.least(need, F.size("b"))), lambda x: (-x["s"]).cast("int")).alias("homes"))
-        asked = now.join(chosen, ["g1", "g2"], "left")
+        chosen = chosen.select(*key, "big", F.transform(F.slice("b", 1, F.least(need, F.size("b"))), lambda x: (-x["s"]).cast("int")).alias("homes"))
+        chosen = stash(chosen, "shard-homes")
+        few = F.broadcast(chosen.filter("big").drop("big"))
+        asked = now.filter("big").join(few, key).unionByName(now.filter("NOT big").join(chosen.filter("NOT big").drop("big"), key))
         pick = F.element_at("homes", (F.pmod(F.xxhash64("rid", F.lit(r)), F.size("homes")) + 1).cast("int"))
-        asked = asked.withColumn("to", F.when(F.col("homes").isNotNull() & ~F.array_contains("homes", F.col("shard")), pick)).drop("homes")
-        asked = stash(asked, "shard-asked")
-        room = {x["s"]: x for x in asked.filter("linked").select(F.coalesce("to", "shard").alias("s"), F.col("to").isNotNull().cast("long").alias("moves")).groupBy("s").agg(F.sum("moves").alias("ask"), F.count("*").alias("all")).collect()}
+        asked = stash(asked.withColumn("to", F.when(~F.array_contains("homes", F.col("shard")), pick)).drop("homes"), "shard-asked")
+        unstash(chosen)
+        room = {x["s"]: x for x in asked.select(F.coalesce("to", "shard").alias("s"), F.col("to").isNotNull().cast("long").alias("moves")).groupBy("s").agg(F.sum("moves").alias("ask"), F.count("*").alias("all")).collect()}
+        load = [room[s]["all"] if s in room else 0 for s in range(shards)]
+        if not any(x["ask"] for x in room.values()):
+            unstash(asked)
+            break
         quota = [min(1.0, max(0.0, cap - (x["all"] - x["ask"])) / x["ask"]) if (x := room.get(s)) and x["ask"] else 0.0 for s in range(shards)]
         lucky = _share(F.when(F.col("big"), F.col("rid")).otherwise(F.col("g1")), F.lit(100 + r)) < F.element_at(F.array(*map(F.lit, quota)), F.col("to") + 1)
-        unstash(now)
-        now = stash(asked.withColumn("shard", F.when(F.col("to").isNotNull() & lucky, F.col("to")).otherwise(F.col("shard"))).drop("to"), "shard-state")
+        before, now = now, stash(asked.withColumn("shard", F.when(F.col("to").isNotNull() & lucky, F.col("to")).otherwise(F.col("shard"))).drop("to"), "shard-state")
+        unstash(before)
         unstash(asked)
-        if not any(x["ask"] for x in room.values()):
-            break
-    now = _numbered(_levelled(now, shards, total, buckets), buckets, F.lit(0))
-    return now.select("rid", "shard", F.col("place").cast("long").alias("slot")).join(rows, "rid").select(
-        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
-    )
+    out = _numbered(_levelled(now.unionByName(held_by_one), shards, total, buckets), buckets, F.lit(0))
+    return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", F.col("place").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
 
 
 def cut_links(sharded: DataFrame, group: str) -> DataFrame:

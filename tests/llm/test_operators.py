@@ -429,6 +429,23 @@ def test_shards(docs, rows):
     assert sorted((str(r["doc_id"]), r["size"], r["text_crc32"]) for r in got) == want
 
 
+def test_shards_do_not_depend_on_partitions(docs):
+    key = lambda x: str(tuple(x))
+    assert sorted(sharding.shard(docs, shards=7).collect(), key=key) == sorted(sharding.shard(docs.repartition(13, "lang", "text"), shards=7).collect(), key=key)
+
+
+def test_shards_of_a_hot_group(spark):
+    d = spark.createDataFrame([(i, "hot") for i in range(500)] + [(1000 + i, f"pair {i // 2}") for i in range(500)] + [(3000, None)] * 3, "doc_id long, text string")
+    got = sharding.shard(d, shards=10).collect()
+    n, where = Counter(r["shard"] for r in got), defaultdict(Counter)
+    assert max(n.values()) - min(n.values()) <= 1 and sum(n.values()) == 1003
+    for r in got:
+        where[r["text_crc32"]][r["shard"]] += 1
+    hot = where.pop(zlib.crc32(b"hot"))
+    assert sum(k for _, k in hot.most_common(5)) > 300  # five shards could hold it; by chance they would hold 250
+    assert sum(len(w) > 1 for w in where.values()) <= 50  # of 250 pairs; by chance 225
+
+
 def test_label_propagation_brings_groups_together(spark):
     d = spark.createDataFrame([(i, f"text {i // 4}") for i in range(400)] + [(1000 + i, f"single {i}") for i in range(400)], "doc_id long, text string")
     s = sharding.shard(d, shards=8)
