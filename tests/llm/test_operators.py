@@ -385,16 +385,39 @@ def test_keep_one_at_planted_similarities(spark):
 # 8
 
 
+def _top_k(vectors, k=5):
+    """Brute force: (vec_id, exact integer vector) -> (query, rank, vec_id, score)."""
+    dot = lambda a, b: sum(x * y for x, y in zip(a, b))
+    return sorted(
+        (q, n, i, s) for q, x in vectors if q % 50 == 0 for n, (s, i) in enumerate(((-s, i) for s, i in sorted((-dot(x, y), i) for i, y in vectors if i != q)[:k]), 1)
+    )
+
+
 def test_top_k_brute_force(spark):
     rng = np.random.default_rng(5)
     v = [(i, [float(x) for x in rng.integers(-3, 4, 6) / 7]) for i in range(260)]
     v += [(300, None), (301, [1.0, None]), (302, [float("nan")] * 6), (303, [float("inf")] * 6), (350, []), (400, [0.5]), (None, [1.0])]
-    d = search.usable(spark.createDataFrame(v, "vec_id long, embedding array<float>"))
+    d = search.usable(spark.createDataFrame([(i, x, "clash") for i, x in v], "vec_id long, embedding array<float>, score string"))
     got = search.top_k(d.filter("vec_id % 50 = 0"), d, query_block=3, corpus_block=40).collect()
-    good = {i: np.floor(256 * np.array(x, np.float32).astype(float)).astype(int) for i, x in v if i is not None and i not in (300, 301, 302, 303)}
-    dot = lambda a, b: int(sum(x * y for x, y in zip(a, b)))
-    want = [(q, k, i, s) for q in good if q % 50 == 0 for k, (s, i) in enumerate(((-n, i) for n, i in sorted((-dot(good[q], good[i]), i) for i in good if i != q)[:5]), 1)]
-    assert sorted(tuple(r) for r in got) == sorted(want)
+    good = [(i, [int(n) for n in np.floor(256 * np.array(x, np.float32).astype(float))]) for i, x in v if i is not None and i not in (300, 301, 302, 303)]
+    assert sorted(tuple(r) for r in got) == _top_k(good)
+
+
+def test_top_k_repeated_ids_and_query(spark):
+    d = search.usable(spark.createDataFrame([(0, [1.0, 0.0]), (0, [0.0, 2.0]), (1, [1.0, 1.0]), (1, [1.0, 1.0]), (2, [0.0, 0.5])], "vec_id long, embedding array<double>"))
+    got = [tuple(r) for r in search.top_k(d.filter("vec_id = 0"), d, k=3).orderBy("rank").collect()]
+    assert got == [(0, 1, 1, 131072), (0, 2, 1, 131072), (0, 3, 1, 65536)]
+
+
+def test_top_k_of_very_large_numbers(spark):
+    v = [(0, [3e30, 1.0]), (1, [1e30, -1.0]), (2, [-1e30, 5.0]), (3, [9e6, 2.0**40]), (4, [1e30, 1.0]), (5, [1e300, -1e300]), (50, [2.0**33, 0.1]), (51, [0.0, 0.0])]
+    d = search.usable(spark.createDataFrame(v, "vec_id long, embedding array<double>"))
+    whole = lambda x: int(np.floor(256 * x)) if abs(256 * x) < 2.0**53 else 256 * int(x)
+    want = [(q, n, i, max(-(2**63), min(2**63 - 1, s))) for q, n, i, s in _top_k([(i, [whole(y) for y in x]) for i, x in v])]
+    got = search.top_k(d.filter("vec_id % 50 = 0"), d, corpus_block=3)
+    assert sorted(tuple(r) for r in got.collect()) == want
+    keys = [-(10**40), -99, -10, -9, 0, 7, 10, 10**30]
+    assert sorted(keys, key=search.order_key) == keys
 
 
 # 9
