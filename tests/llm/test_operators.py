@@ -426,13 +426,68 @@ def test_top_k_of_very_large_numbers(spark):
 def test_licenses(spark):
     texts = [(n, f"some words\n{t} \nmore") for n, t in enumerate(t for ts in licenses.TEMPLATES.values() for t in ts)]
     names = [k for k, ts in licenses.TEMPLATES.items() for _ in ts]
-    other = [(1000 + i, c) for i, c in enumerate(licenses.COUNTER)] + [(2000, None), (2001, ""), (2002, "x " * 5000)]
+    other = [(1000 + i, c) for i, c in enumerate(licenses.COUNTER)] + [(2000, None), (2001, ""), (2002, "x " * 5000), (2003, "\n\n"), (None, "All rights reserved."), (2004, "a\n\nb"), (2004, "a\n\nb")]
     d = spark.createDataFrame(texts + other, "doc_id long, text string").withColumn("families", F.lit(0))
-    got = {r["doc_id"]: r for r in licenses.scan(d).collect()}
-    assert len(got) == len(texts) + len(other)
+    rows = licenses.scan(d).collect()
+    got = {r["doc_id"]: r for r in rows}
+    assert len(rows) == len(texts) + len(other)
     right = [got[i]["families"] == names[i] for i, _ in texts]
     assert sum(right) >= len(right) - 2
-    assert all(got[i]["n_confirmed"] == 0 and got[i]["families"] == "" for i, _ in other)
+    assert all(got[i]["n_confirmed"] == 0 and got[i]["families"] == "" for i, _ in other if i is not None) and got[None]["families"] == "rights reserved"
+
+
+# notices that are no templates: as they stand in files, in other words, wrapped
+NOTICES = [
+    ("MIT", "The code in this folder is released under the MIT License, see the file COPYING."),
+    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a\ncopy of this software and associated documentation files (the\n\"Software\"), to deal in the Software without restriction"),
+    ("Apache-2.0", "Portions licensed under the Apache License, Version 2.0 by their authors"),
+    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation, either version 3 of the License"),
+    ("LGPL-3.0", "This library is free software; you can redistribute it and/or\nmodify it under the terms of the GNU Lesser General Public\nLicense as published by the Free Software Foundation"),
+    ("CC-BY-SA-4.0", "Our photographs are licensed under a Creative Commons Attribution-ShareAlike 4.0 International License unless marked."),
+    ("BSD", "Redistribution and use in source and binary forms, with or without modification,\nare permitted provided that the following conditions are met:"),
+    ("rights reserved", "Copyright 2019 Example Ltd. All rights reserved."),
+    ("warranty", "This package comes in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of fitness for a particular purpose."),
+    ("Unlicense", "This is free and unencumbered software released into the public domain by its author."),
+]
+NO_NOTICES = [
+    "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.",  # a family without a template
+    "The license of the driver was taken, and all rights to appeal were lost.",
+    "Permission to enter the library was granted by the head of the school.",
+    "The museum keeps a copy of the public record under the terms of its charter.",
+    "All the rights of the tenants are reserved to the heirs of the house.",
+    "He may use this file to sharpen the tools in the shed.",
+]
+
+
+def test_license_notices_that_are_no_templates(spark):
+    d = spark.createDataFrame([(i, f"Lead in.\n\n{t}\n\nMore text here.") for i, t in enumerate([t for _, t in NOTICES] + NO_NOTICES)], "doc_id long, text string")
+    got = {r["doc_id"]: r["families"] for r in licenses.scan(d).collect()}
+    found = [got[i] == f for i, (f, _) in enumerate(NOTICES)]
+    assert sum(found) >= 9, [(t, got[i]) for i, (f, t) in enumerate(NOTICES) if got[i] != f]
+    assert [got[len(NOTICES) + i] for i in range(len(NO_NOTICES))] == [""] * len(NO_NOTICES)
+
+
+def test_licenses_brute_force(spark, sf_dir):
+    """The query's rows from the same model, worked out in plain Python on the whole table."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    model = licenses.train(docs)
+    want = []
+    for r in docs.select("doc_id", "text").collect():
+        families, n, loose, best = {}, 0, 0, None
+        lines = (r["text"] or "").split("\n")
+        blocks = [b for b in re.split(r"\n[ \t\r]*\n", r["text"] or "") if "\n" in b]
+        for kind, unit in [(0, x) for x in lines] + [(1, x) for x in blocks]:
+            family, p, like = model.named(unit)
+            if family != licenses.UNKNOWN:
+                good = like >= licenses.CONFIRMED
+                families.setdefault(family, [0, 0])[kind] += good
+                loose += not good and kind == 0
+                best = max(best or 0, p) if good else best
+        n = sum(a or b for a, b in families.values())
+        want.append((r["doc_id"], len(lines), n, ",".join(sorted(f for f, c in families.items() if any(c))), loose, None if best is None else round(best, 6)))
+    got = licenses.op9_licenses(spark, sf_dir).collect()
+    assert sorted((r["doc_id"], r["n_lines"], r["n_confirmed"], r["families"], r["n_unconfirmed"], None if r["probability"] is None else round(r["probability"], 6)) for r in got) == sorted(want)
+    assert any(w[2] for w in want)
 
 
 # 10
