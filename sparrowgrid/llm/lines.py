@@ -1,8 +1,9 @@
 """Line dedup: a segment-partition edit join between lines. DataFrame functions only.
 
-A line of at least `MIN_CHARS` code points goes if an equal line, or one within `EDITS` edits (insert, delete,
-replace), stands earlier in the corpus: smaller doc_id, then line number. Lines are judged on the input, not on
-what is left of it, so the result does not depend on any order of work.
+A line goes if an equal line stands earlier in the corpus (smaller doc_id, then line number), unless it is blank; a
+line of at least `MIN_CHARS` code points also goes if one of that length within `EDITS` edits (insert, delete, replace)
+stands earlier. Lines are judged on the input, not on what is left of it, so the result does not depend on any order
+of work.
 
 A line of n code points is cut into EDITS + 1 segments. Two lines within EDITS edits share a segment, at places
 that differ by few: each line is indexed by its own segments and probes, for every length from n - EDITS to n,
@@ -26,6 +27,7 @@ EDITS = 2
 NULL_ID = -(1 << 63)
 LETTERS = "etaonirshdlu"  # twelve frequent letters
 BROADCAST_KEYS = 100_000  # keys of 8 bytes that may be sent to every executor
+HOT = 10_000  # a line with more than this part of all repeats is hot; there are fewer than that
 
 
 def segment_keys(lines: DataFrame, edits: int = EDITS) -> DataFrame:
@@ -156,53 +158,69 @@ def _near(lines: DataFrame, edits: int) -> DataFrame:
     return done.union(more)
 
 
-def line_flags(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, short: bool = False) -> DataFrame:
-    """id, th (a document's key: doc_id and the hash of its text), flags: for each line 0 (stays), 1 (repeats an
-    earlier line) or 2 (only close to an earlier line). `short`: shorter lines too, unless blank, repeat equal ones."""
+def line_flags(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
+    """id, th (a document's key: doc_id and the hash of its text), marks: number and kind of each of its lines that goes,
+    in order; kind 1 repeats an earlier line, kind 2 is only close to one. Documents without any have no row.
+
+    The lines are hashed once; what decides about them is read from that table of hashes. A hot line meets its verdict
+    by a broadcast of at most HOT rows, all others by a join on the hash."""
     lines = _lines(docs)
     near = _near(lines.filter(F.col("n") >= min_chars), edits) if edits else None
-    judged = (F.col("n") >= min_chars) | F.col("line").rlike(r"[^\x20\x09-\x0D]") if short else F.col("n") >= min_chars
-    long = lines.filter(judged)
-    seen = long.groupBy("h1", "h2").agg(F.min(F.struct("id", "th", "no")).alias("first"), F.count("*").alias("times"))
+    judged = lines.filter((F.col("n") >= min_chars) | F.col("line").rlike(r"[^\x20\x09-\x0D]")).select("id", "th", "no", "h1", "h2")
+    judged = stash(judged, "line-hashes")
+    seen = judged.groupBy("h1", "h2").agg(F.min(F.struct("id", "th", "no")).alias("first"), F.count("*").alias("times"))
     if near is not None:
         seen = seen.join(near.withColumn("near", F.lit(True)), ["h1", "h2"], "left").filter("times > 1 OR near")
     else:
         seen = seen.withColumn("near", F.lit(False)).filter("times > 1")
-    here = F.struct("id", "th", "no")
-    kind = F.when(F.col("first").isNull(), 0).when(here != F.col("first"), 1).when(F.col("near"), 2).otherwise(0)
-    rows = long.select("id", "th", "no", "h1", "h2").join(seen, ["h1", "h2"], "left").select("id", "th", "no", kind.alias("kind"))
-    rows = rows.union(lines.filter(~judged).select("id", "th", "no", F.lit(0)))
-    return rows.groupBy("id", "th").agg(F.transform(F.array_sort(F.collect_set(F.struct("no", "kind"))), lambda x: x["kind"]).alias("flags"))
-
+    seen = stash(seen, "line-seen")
+    every = seen.agg(F.sum("times")).first()[0] or 0
+    kind = F.when(F.struct("id", "th", "no") != F.col("first"), 1).when(F.col("near"), 2).otherwise(0)
+    hot = F.broadcast(seen.filter(F.col("times") * HOT > every))
+    at_once = judged.join(hot, ["h1", "h2"])
+    by_join = judged.join(hot.select("h1", "h2"), ["h1", "h2"], "left_anti").join(seen.filter(F.col("times") * HOT <= every), ["h1", "h2"])
+    rows = at_once.select("id", "th", "no", kind.alias("kind")).union(by_join.select("id", "th", "no", kind.alias("kind"))).filter("kind > 0")
+    # rows that agree in doc_id and text are one document
+    out = stash(rows.groupBy("id", "th").agg(F.array_sort(F.collect_set(F.struct("no", "kind"))).alias("marks")), "line-marks")
+    unstash(judged)
+    unstash(seen)
+    return out
+
+
+def dedup_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
+    """docs with `text` less its repeated lines, further columns n_lines, n_exact, n_near (in place of such columns of
+    docs); columns else unchanged.
+
+    A row for each row of docs. Null text stays null with no lines; empty text has one empty line. Blank lines stay. Rows
+    that agree in doc_id and text are one document and keep the same lines; a null doc_id comes before all others; rows
+    that share a doc_id are ordered by the hash of their text. An empty table gives none."""
+    out, text, (n_lines, n_exact, n_near) = _cut(docs, edits, min_chars)
+    counts = [n_lines.alias("n_lines"), n_exact.alias("n_exact"), n_near.alias("n_near")]
+    return out.select(*[text.alias(c) if c == "text" else docs[c] for c in docs.columns if c not in ("n_lines", "n_exact", "n_near")], *counts)
 
-def dedup_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, short: bool = False) -> DataFrame:
-    """docs with `text` less its repeated lines, further columns n_lines, n_exact, n_near; columns else unchanged.
 
-    A row for each row of docs. Null text stays null with no lines; empty text has one empty line. Rows that agree
-    in doc_id and text are one document and keep the same lines; a null doc_id comes before all others; rows that
-    share a doc_id are ordered by the hash of their text. An empty table gives none."""
-    flags = line_flags(docs.filter("text IS NOT NULL"), edits, min_chars, short).select(F.col("id").alias("__id"), F.col("th").alias("__th"), F.col("flags").alias("__flags"))
+def _cut(docs: DataFrame, edits: int, min_chars: int) -> tuple[DataFrame, Column, tuple[Column, Column, Column]]:
+    """docs beside their marks; the text that stays, lines, exact and near repeats as columns of that."""
+    marks = line_flags(docs.filter("text IS NOT NULL"), edits, min_chars).select(F.col("id").alias("__id"), F.col("th").alias("__th"), F.col("marks").alias("__marks"))
     key = (F.coalesce(docs["doc_id"].cast("long"), F.lit(NULL_ID)) == F.col("__id")) & (F.xxhash64(docs["text"]) == F.col("__th"))
-    out = docs.join(flags, key, "left")
-    flag = F.col("__flags")
-    lines = F.transform(F.split(docs["text"], "\n"), lambda x, i: F.struct(x.alias("x"), F.coalesce(F.get(flag, i), F.lit(0)).alias("f")))
-    text = F.array_join(F.transform(F.filter(lines, lambda s: s["f"] == 0), lambda s: s["x"]), "\n")
-    count = lambda k: F.coalesce(F.size(F.filter(flag, lambda f: f == k)), F.lit(0)).cast("long")
-    n_lines = F.when(flag.isNull(), 0).otherwise(F.size(flag)).cast("long")
-    counts = [n_lines.alias("n_lines"), F.when(flag.isNull(), 0).otherwise(count(1)).cast("long").alias("n_exact"), F.when(flag.isNull(), 0).otherwise(count(2)).cast("long").alias("n_near")]
-    return out.select(*[text.alias(c) if c == "text" else docs[c] for c in docs.columns if c not in ("n_lines", "n_exact", "n_near")], *counts)
+    out = docs.join(marks, key, "left")
+    lines, mark = F.split(docs["text"], "\n"), F.col("__marks")
+    # the stretches between marked lines, each from one past the last mark
+    nos = F.concat(F.array(F.lit(-1)), F.transform(mark, lambda m: m["no"]), F.array(F.size(lines)))
+    kept = F.transform(F.sequence(F.lit(0), F.size(mark)), lambda k: F.slice(lines, F.get(nos, k) + 2, F.get(nos, k + 1) - F.get(nos, k) - 1))
+    text = F.when(mark.isNull(), docs["text"]).otherwise(F.array_join(F.flatten(kept), "\n"))
+    count = lambda kind: F.when(mark.isNull(), 0).otherwise(F.size(F.filter(mark, lambda m: m["kind"] == kind))).cast("long")
+    return out, text, (F.when(docs["text"].isNull(), 0).otherwise(F.size(lines)).cast("long"), count(1), count(2))
 
 
 def dedup_documents(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
-    """docs with their repeated lines cut out, columns unchanged (n_chars follows the text). A document that had
-    lines with text and keeps none of them goes; one that had none to begin with stays. Equality counts for lines of
-    any length, unless blank; the edits for lines of min_chars or more."""
-    plain = [c for c in docs.columns if c not in ("n_lines", "n_exact", "n_near")]
-    d = dedup_lines(docs.select(*plain), edits, min_chars, short=True)
-    d = d.filter((F.col("n_exact") + F.col("n_near") == 0) | (F.trim(F.replace("text", F.lit("\n"), F.lit(""))) != ""))
-    if "n_chars" in plain:
-        d = d.withColumn("n_chars", F.when(F.col("n_exact") + F.col("n_near") == 0, F.col("n_chars")).otherwise(F.char_length("text")).cast(docs.schema["n_chars"].dataType))
-    return d.select(*plain)
+    """docs with their repeated lines cut out, columns unchanged (n_chars follows the text), whatever they are called. A
+    document that had lines with text and keeps none of them goes; one that had none to begin with stays."""
+    out, text, (_, n_exact, n_near) = _cut(docs, edits, min_chars)
+    whole = n_exact + n_near == 0
+    out = out.withColumn("__text", text).filter(whole | (F.trim(F.replace("__text", F.lit("\n"), F.lit(""))) != ""))
+    n_chars = lambda: F.when(whole, docs["n_chars"]).otherwise(F.char_length("__text")).cast(docs.schema["n_chars"].dataType)
+    return out.select(*[F.col("__text").alias(c) if c == "text" else n_chars().alias(c) if c == "n_chars" else docs[c] for c in docs.columns])
 
 
 def op2_lines(spark, sf_dir: str) -> DataFrame:
@@ -214,9 +232,10 @@ def op2_lines(spark, sf_dir: str) -> DataFrame:
 OP2_SQL = r"""
 WITH lines AS (
   SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS no FROM documents WHERE text IS NOT NULL),
-firsts AS (SELECT line, length(line) AS n, min((doc_id, no)) AS at FROM lines WHERE length(line) >= 24 GROUP BY line),
+firsts AS (SELECT line, length(line) AS n, min((doc_id, no)) AS at FROM lines WHERE length(line) >= 24 OR regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY line),
+long AS (SELECT * FROM firsts WHERE n >= 24),
 near AS (
-  SELECT DISTINCT b.line FROM firsts a JOIN firsts b
+  SELECT DISTINCT b.line FROM long a JOIN long b
   ON a.n BETWEEN b.n - 2 AND b.n + 2 AND a.at < b.at AND (
     substr(a.line, 1, a.n // 3) = substr(b.line, 1, a.n // 3) OR substr(a.line, a.n - (a.n // 3) + 1) = substr(b.line, b.n - (a.n // 3) + 1)
     OR contains(b.line, substr(a.line, a.n // 3 + 1, a.n // 3)))

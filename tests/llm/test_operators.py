@@ -152,17 +152,20 @@ def test_dedup_lines_brute_force(spark):
             continue
         kept = []
         for line in t.split("\n"):
+            if not line.strip(" \t\n\x0b\x0c\r"):
+                kept.append(line)
+                continue
             long = len(line) >= lines.MIN_CHARS
-            if not (long and any(s == line or (abs(len(s) - len(line)) <= 2 and lev(s, line) <= 2) for s in seen)):
+            if not any(s == line or (long and len(s) >= lines.MIN_CHARS and abs(len(s) - len(line)) <= 2 and lev(s, line) <= 2) for s in seen):
                 kept.append(line)
-            if long:
-                seen.append(line)
+            seen.append(line)
         assert got[i]["text"] == "\n".join(kept), i
 
 
 def test_dedup_documents_keeps_columns_and_null_text(docs, rows):
-    out = lines.dedup_documents(docs)
-    assert out.columns == docs.columns
+    clash = docs.withColumn("n_exact", F.lit("mine")).withColumn("n_lines", F.lit(None).cast("date"))
+    out = lines.dedup_documents(clash)
+    assert out.columns == clash.columns and out.filter("n_exact <> 'mine'").isEmpty()
     left = out.collect()
     assert sum(r["text"] is None for r in left) == sum(r[1] is None for r in rows)
     assert all(r["n_chars"] == len(r["text"]) for r in left if r["text"] is not None)
