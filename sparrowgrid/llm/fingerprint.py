@@ -3,9 +3,13 @@
 A text is cut into content-defined paragraphs (line ends, and word ends chosen by a rolling hash, some five words
 apart), each hashed to 64 bits. A sketch adds every distinct digest to one cell in each of three sub-tables: a
 count, the xor of the digests and the xor of a check hash. Subtracting two sketches cell by cell leaves only the
-digests in which the versions differ; peeling cells that hold a single digest recovers them. Where peeling gets
-stuck, the pair is sketched again with four times the cells until it succeeds. The likeness of two versions is
-twice the shared digests over the digests of both, exact once peeling has succeeded.
+digests in which the versions differ; peeling cells that hold a single digest recovers them. The likeness of two
+versions is twice the shared digests over the digests of both, exact once peeling has succeeded.
+
+A published fingerprint has room for a version that differs in a good quarter of its text. Sub-tables have 6 * 2^k cells
+and a digest's cell is its hash modulo that, so a larger sketch folds to the size of a smaller one and any two can be
+subtracted. compare() does so and gives the differing digests, or tells that the versions are too far apart; then the
+pair is sketched again from the texts with four times the cells until it peels.
 
 All texts of a batch are sketched and peeled together in array operations.
 """
@@ -23,8 +27,9 @@ from pyspark.sql import functions as F
 
 from .common import U64, mix64, partitions, slices
 
-CELLS = 18  # of a published fingerprint, in three sub-tables
-ROUNDS = 64
+CELLS = 18  # of the smallest sketch, in three sub-tables
+ROOM = 0.75  # cells of a published fingerprint for each digest, at least
+CELL = np.dtype([("count", "<i4"), ("digest", "<u8"), ("check", "<u4")])
 BASE = 0x9E3779B97F4A7C15 | 1
 BLANK = np.zeros(256, bool)
 BLANK[[0x20, *range(0x09, 0x0E)]] = True
@@ -90,51 +95,85 @@ class Sketches:
             np.bitwise_xor.at(self.digest, self.start[own] + p, digest)
             np.bitwise_xor.at(self.check, self.start[own] + p, c)
 
-    def peel(self) -> tuple[np.ndarray, np.ndarray]:
-        """Digests recovered from each sketch, and whether it is empty now."""
-        got = np.zeros(len(self.cells), np.int64)
+    def peel(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Sketch number, digest and sign of what is recovered, and for each sketch whether it is empty now."""
+        found: list[tuple[np.ndarray, ...]] = []
         look = np.arange(len(self.count))
-        for _ in range(ROUNDS):
-            pure = look[(np.abs(self.count[look]) == 1)]
+        while True:
+            pure = look[np.abs(self.count[look]) == 1]
             pure = pure[check(self.digest[pure]) == self.check[pure]]
             if not len(pure):
                 break
             own = np.searchsorted(self.start, pure, side="right") - 1
             _, first = np.unique(np.stack([own.astype(U64), self.digest[pure]]), axis=1, return_index=True)
             own, digest, sign = own[first], self.digest[pure[first]], self.count[pure[first]]
-            np.add.at(got, own, 1)
+            found.append((own, digest, sign))
+            if len(found) > len(self.count):  # each round empties a cell; a false check could go on for ever
+                break
             self.add(own, digest, -sign)
             look = np.unique(np.concatenate([self.start[own] + p for p in places(digest, self.cells[own])]))
         left = np.concatenate([[0], np.cumsum((self.count != 0) | (self.digest != 0))])
-        return got, left[self.start[1:]] == left[self.start[:-1]]
+        own, digest, sign = (np.concatenate([np.empty(0, t), *(f[i] for f in found)]) for i, t in enumerate((np.int64, U64, np.int64)))
+        return own, digest, sign, left[self.start[1:]] == left[self.start[:-1]]
+
+
+def cells_for(n: np.ndarray) -> np.ndarray:
+    """Cells of the published sketch of n digests: CELLS times a power of two."""
+    need = np.maximum(1.0, (ROOM * n + 12) / CELLS)
+    return (CELLS * 2 ** np.ceil(np.log2(need)).astype(np.int64)).astype(np.int64)
 
 
-def likeness(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], n: int, cells: int = CELLS) -> np.ndarray:
-    """Twice the shared digests over those of both, for each pair of texts (0 to n - 1), by subtracting and peeling."""
+def likeness(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], n: int) -> np.ndarray:
+    """Twice the shared digests over those of both, for each pair of texts (0 to n - 1), by subtracting and peeling: first
+    with the cells of the smaller published sketch (folding the other gives the same cells), then larger."""
     na, nb = np.bincount(a[0], minlength=n), np.bincount(b[0], minlength=n)
-    out, todo, m = np.ones(n), np.arange(n), cells
+    out, todo, cells = np.ones(n), np.arange(n), np.minimum(cells_for(na), cells_for(nb))
     while len(todo):
         at = np.full(n, -1)
         at[todo] = np.arange(len(todo))
-        s = Sketches(np.full(len(todo), m))
+        s = Sketches(cells[todo])
         for (own, digest), sign in ((a, 1), (b, -1)):
             mine = at[own] >= 0
             s.add(at[own[mine]], digest[mine], sign)
-        got, empty = s.peel()
+        own, _, _, empty = s.peel()
+        got = np.bincount(own, minlength=len(todo))
         good = todo[empty]
         differ, all_of = got[empty], na[good] + nb[good]
         out[good] = np.where(all_of > 0, (all_of - differ) / np.maximum(1, all_of), 1.0)
-        todo, m = todo[~empty], m * 4
+        todo = todo[~empty]
+        cells[todo] *= 4
     return out
 
 
-def published(own: np.ndarray, digest: np.ndarray, n: int, cells: int = CELLS) -> list[str]:
-    """The sketch of each text as a string: count, digest and check hash of each cell, in base 64."""
-    s = Sketches(np.full(n, cells))
+def published(own: np.ndarray, digest: np.ndarray, n: int) -> list[str]:
+    """The sketch of each text as a string in base 64: the number of its digests, then its cells."""
+    total = np.bincount(own, minlength=n)
+    s = Sketches(cells_for(total))
     s.add(own, digest, 1)
-    raw = np.zeros(n * cells, np.dtype([("count", "<u4"), ("digest", "<u8"), ("check", "<u4")]))
+    raw = np.zeros(len(s.count), CELL)
     raw["count"], raw["digest"], raw["check"] = s.count, s.digest, s.check
-    return [base64.b64encode(x.tobytes()).decode() for x in raw.reshape(n, cells)]
+    return [base64.b64encode(int(t).to_bytes(4, "little") + raw[i:j].tobytes()).decode() for t, i, j in zip(total, s.start, s.start[1:])]
+
+
+def compare(a: str, b: str) -> dict | None:
+    """What two published fingerprints tell: the digests that only one has, and their likeness. None if they differ in
+    more than the smaller one can hold; then the texts have to be sketched again, with more cells."""
+    sides = []
+    for fp in (a, b):
+        raw = base64.b64decode(fp)
+        sides.append((int.from_bytes(raw[:4], "little"), np.frombuffer(raw[4:], CELL)))
+    size = min(len(cells) for _, cells in sides)
+    s = Sketches(np.array([size]))
+    for (_, cells), sign in zip(sides, (1, -1)):
+        parts = cells.reshape(3, -1, size // 3)  # each sub-table in stretches that fold onto one another
+        s.count += sign * parts["count"].astype(np.int64).sum(axis=1).ravel()
+        s.digest ^= np.bitwise_xor.reduce(parts["digest"], axis=1).ravel()
+        s.check ^= np.bitwise_xor.reduce(parts["check"].astype(U64), axis=1).ravel()
+    _, digest, sign, empty = s.peel()
+    if not empty[0]:
+        return None
+    both = sides[0][0] + sides[1][0]
+    return {"only_a": sorted(digest[sign > 0].tolist()), "only_b": sorted(digest[sign < 0].tolist()), "likeness": (both - len(digest)) / both if both else 1.0}
 
 
 def fingerprint(texts: list[str]) -> list[str]:
@@ -179,8 +218,8 @@ def versions(docs: DataFrame) -> DataFrame:
     last; a single document follows itself. Null text counts as empty; two empty texts are alike (1). Repeated rows
     follow each other like any rows. An empty table gives none. Other columns are not read.
 
-    Documents are dealt by ranges of doc_id, each with a copy of the next range's first document; a range is then
-    read in order with one row of look-ahead. Texts are shuffled once."""
+    Documents are dealt by ranges of doc_id, a partition each, with a copy of the next range's first document; a range
+    is then read in order with one row of look-ahead. Texts are shuffled once."""
     spark = docs.sparkSession
     d = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
     n = partitions(spark)
@@ -198,7 +237,7 @@ def versions(docs: DataFrame) -> DataFrame:
     e = d.alias("d").join(F.broadcast(ahead.alias("x")), F.expr("d.doc_id <=> x.doc_id AND d.h = x.h"))
     e = e.select("d.doc_id", "d.text", F.col("to").alias("part"), "d.h", F.lit(1).alias("ahead")).dropDuplicates(["part"])
     rows = d.select("doc_id", "text", "part", "h", F.lit(0).alias("ahead")).unionByName(e)
-    rows = rows.repartition(n, "part").sortWithinPartitions("part", "ahead", "doc_id", "h").drop("h")
+    rows = rows.repartitionById(n, F.col("part")).sortWithinPartitions("part", "ahead", "doc_id", "h").drop("h")
     names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -223,17 +223,50 @@ def test_fingerprints_brute_force(docs, rows):
             assert [got[i]["fingerprint"], got[i]["edited_fingerprint"]] == fingerprint.fingerprint([t, e])
 
 
+def _shared(x, y):
+    """Likeness of two texts from their sets of digests."""
+    x, y = (set(fingerprint.paragraphs([t.encode()])[1].tolist()) for t in (x, y))
+    return 2 * len(x & y) / (len(x) + len(y)) if x or y else 1.0
+
+
 def test_peeling_recovers_every_difference():
     rng = random.Random(1)
     texts = [" ".join(str(rng.randrange(10**6)) for _ in range(n)) for n in (0, 1, 5, 40, 400, 4000)]
     others = [t[: len(t) // 2] + " new words" for t in texts]
     a, b = (fingerprint.paragraphs([t.encode() for t in x]) for x in (texts, others))
     for i, near in enumerate(fingerprint.likeness(a, b, len(texts))):
-        x, y = (set(p[1][p[0] == i].tolist()) for p in (a, b))
-        assert near == pytest.approx(2 * len(x & y) / (len(x) + len(y)) if x or y else 1.0)
+        assert near == pytest.approx(_shared(texts[i], others[i]))
     assert fingerprint.likeness(a, a, len(texts)).tolist() == [1.0] * len(texts)
 
 
+def test_published_fingerprints_can_be_compared():
+    rng = random.Random(2)
+    say = lambda n: " ".join(str(rng.randrange(10**6)) for _ in range(n))
+    peeled = 0
+    for n in (0, 1, 3, 20, 60, 200, 1000, 5000):
+        text = say(n)
+        for other in (text, text[: len(text) * 7 // 8] + say(n // 8), fingerprint.edit(text, say(n)), say(3 * n), text + say(n)):
+            fps = fingerprint.fingerprint([text, other])
+            x, y = (set(fingerprint.paragraphs([t.encode()])[1].tolist()) for t in (text, other))
+            got = fingerprint.compare(*fps)
+            assert (fps[0] == fps[1]) == (x == y)
+            if got is not None:
+                peeled += 1
+                assert got == {"only_a": sorted(x - y), "only_b": sorted(y - x), "likeness": pytest.approx(_shared(text, other))}
+    assert peeled >= 26  # an edit of a quarter is within the room of nearly every fingerprint
+
+
+def test_fingerprint_query_brute_force(spark, sf_dir):
+    rows = sorted((r["doc_id"], r["text"] or "") for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect())
+    got = {r["doc_id"]: r for r in fingerprint.op4_fingerprints(spark, sf_dir).collect()}
+    assert len(got) == len(rows)
+    for (i, t), (_, nxt) in zip(rows, rows[1:] + rows[:1]):
+        e, r = fingerprint.edit(t, nxt), got[i]
+        assert (r["n_chars"], r["edited_sha256"]) == (len(t), hashlib.sha256(e.encode()).hexdigest())
+        assert [r["fingerprint"], r["edited_fingerprint"]] == fingerprint.fingerprint([t, e])
+        assert r["near_edited"] == pytest.approx(_shared(t, e)) and r["near_next"] == pytest.approx(_shared(t, nxt))
+
+
 # 5
 
 
