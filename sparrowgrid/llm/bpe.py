@@ -156,6 +156,28 @@ class Encoder:
             missing = others
         self._enter(missing, [e.ids for e in self.tokenizer.encode_batch_fast(missing, add_special_tokens=False)])
 
+    def prepare(self, texts: list[list[str]]) -> None:
+        """Learns the words of texts with a chunk that is not known yet, all at once: many words to a call."""
+        if not self.split_safe or self.parting is None:
+            return
+        words: set[str] = set()
+        for parts in texts:
+            new = [p for p in parts if p not in self.chunks and p not in self.old_chunks]
+            if new:
+                words.update("".join(parts).replace("\n", " ").split(" "))
+                for p in new:  # what a cut leaves of a word
+                    p = p.replace("\n", " ")
+                    words.add(p[: p.find(" ")] if " " in p else p)
+                    words.add(p[p.rfind(" ") + 1 :])
+        words.discard("")
+        if len(self.ids) > WORD_TABLE:
+            self._turn_over()
+        self._learn(list(words))
+
+    def _turn_over(self) -> None:
+        self.old_ids, self.old_text, self.ids, self.text = self.ids, self.text, {}, {}
+        self._enter(list(TAILS), list(map(self.plain, TAILS)))
+
     def whole(self, text: str) -> Found:
         """A text as one piece; by its words, where the tokenizer keeps them apart."""
         if not self.split_safe:
@@ -165,9 +187,8 @@ class Encoder:
         try:
             ids = b"".join(map(self.ids.__getitem__, words))
         except KeyError:
-            if len(self.ids) > WORD_TABLE:
-                self.old_ids, self.old_text, self.ids, self.text = self.ids, self.text, {}, {}
-                self._enter(list(TAILS), list(map(self.plain, TAILS)))
+            if len(self.ids) > 2 * WORD_TABLE:
+                self._turn_over()
             self._learn(words)
             ids = b"".join(map(self.ids.__getitem__, words))
         return ids, " ".join(filter(None, map(self.text.__getitem__, words))) if self.joined else ""
@@ -256,7 +277,9 @@ def encode(docs: DataFrame, path: str, decode: bool = True) -> DataFrame:
         try:
             for whole in batches:
                 for b in slices(whole, "text", SLICE):
-                    found = [e.encode(p) for p in pieces(*flat(b.column("text")))]
+                    texts = list(pieces(*flat(b.column("text"))))
+                    e.prepare(texts)
+                    found = list(map(e.encode, texts))
                     packed = pa.array([ids for ids, _ in found], pa.binary())
                     text = pa.array([t if decode else None for _, t in found], pa.string())
                     yield pa.RecordBatch.from_arrays([b.column("doc_id"), packed, text], ["doc_id", "ids", "decoded"])
