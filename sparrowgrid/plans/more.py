@@ -152,10 +152,10 @@ def retained_star_rule(spark, sf):
     return kv.filter("kv >= 110 AND node % 5 <> 0").select(F.col("node").alias("bus")).union(legs.select("a"))
 
 
-@query("""SELECT 'shed ' || c_nationkey AS name, c_nationkey AS bus, round(1.5 * max(d), 2) AS p_nom, 10000.0::DOUBLE AS cost FROM (SELECT c_nationkey, date_trunc('month', o_orderdate) AS h, sum(o_totalprice) AS d FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2) GROUP BY c_nationkey""")
+@query("""SELECT 'shed ' || c_nationkey AS name, c_nationkey AS bus, round(1.5 * max(d), 4) AS p_nom, 10000.0::DOUBLE AS cost FROM (SELECT c_nationkey, date_trunc('month', o_orderdate) AS h, sum(o_totalprice::DECIMAL(12, 2))::DOUBLE AS d FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2) GROUP BY c_nationkey""")
 def load_shedding_units(spark, sf):
-    d = table(spark, sf, "orders").join(table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey")).groupBy("c_nationkey", F.date_trunc("month", "o_orderdate").alias("h")).agg(F.sum("o_totalprice").alias("d"))
-    return d.groupBy(F.col("c_nationkey").alias("bus")).agg(r(1.5 * F.max("d"), 2).alias("p_nom")).select(F.concat(F.lit("shed "), "bus").alias("name"), "bus", "p_nom", F.lit(10000.0).alias("cost"))
+    d = table(spark, sf, "orders").join(table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey")).groupBy("c_nationkey", F.date_trunc("month", "o_orderdate").alias("h")).agg(F.sum(F.col("o_totalprice").cast("decimal(12,2)")).cast("double").alias("d"))
+    return d.groupBy(F.col("c_nationkey").alias("bus")).agg(r(1.5 * F.max("d"), 4).alias("p_nom")).select(F.concat(F.lit("shed "), "bus").alias("name"), "bus", "p_nom", F.lit(10000.0).alias("cost"))
 
 
 @query("""WITH p AS (SELECT n_regionkey AS area, c_nationkey AS bus, sum(c_acctbal) AS load FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1, 2), g AS (SELECT n_regionkey AS area, sum(s_acctbal) AS gen FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY 1)
@@ -173,14 +173,6 @@ def edge_weightings(spark, sf):
     return pairs(spark, sf).select("a", "b", r(F.greatest(F.lit(0.0), 1 - w / 3e7), 6).alias("headroom"), r(w / 3e7, 6).alias("loading"), r(1 / w * 1e6, 6).alias("inverse"), r(q / F.sum(q).over(Window.partitionBy()), 6).alias("share"))
 
 
-@rows_only
-def worst_contingency(spark, sf):
-    """The outage with the largest flow on each branch, the intact network first; only a larger one replaces it."""
-    o = L.outage_flows(branches(spark, sf), injections(spark, sf)).filter("outage <> branch")
-    best = o.groupBy("branch").agg(F.max_by("outage", F.struct(F.abs("after"), "outage")).alias("outage"), F.max(F.abs("after")).alias("flow"), F.max(F.abs("before")).alias("intact"))
-    return best.withColumn("outage", F.when(F.col("flow") > F.col("intact"), F.col("outage")).otherwise("none"))
-
-
 @query("""WITH e AS (SELECT vec_id, label, embedding[1:8]::DOUBLE[] AS x FROM embeddings WHERE vec_id < 200), d AS (SELECT a.vec_id, a.label, b.label AS other, avg(sqrt(list_sum(list_transform(range(1, 9), lambda i: pow(a.x[i] - b.x[i], 2))))) AS m FROM e a JOIN e b ON a.vec_id <> b.vec_id GROUP BY 1, 2, 3),
 s AS (SELECT vec_id, min(m) FILTER (label = other) AS a, min(m) FILTER (label <> other) AS b FROM d GROUP BY 1) SELECT round(avg((b - a) / greatest(a, b)), 6) AS silhouette FROM s WHERE a IS NOT NULL""")
 def silhouette(spark, sf):
@@ -244,15 +236,16 @@ def weibull_copula(spark, sf):
     return e.mapInPandas(_weibull, "event_id long, speed double")
 
 
-@rows_only
+@query(f"""WITH {HOURLY}, k AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY snapshot) AS t FROM hourly)
+SELECT event_type, snapshot, round(pow(0.8, t) * sum(v * pow(0.8, -t)) OVER (PARTITION BY event_type ORDER BY t ROWS UNBOUNDED PRECEDING), 5) AS x FROM k""")
 def autoregressive_series(spark, sf):
     """x[t] = 0.8 x[t-1] + e[t] for each type: a recursion, so one grouped call per series."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        x, out = 0.0, []
-        for e in pdf.sort_values("snapshot")["v"]:
+        pdf, x, out = pdf.sort_values("snapshot"), 0.0, []
+        for e in pdf["v"]:
             x = 0.8 * x + e
             out.append(x)
-        return pd.DataFrame({"event_type": pdf["event_type"], "snapshot": sorted(pdf["snapshot"]), "x": out})
+        return pd.DataFrame({"event_type": pdf["event_type"], "snapshot": pdf["snapshot"], "x": out})
 
-    return hourly(spark, sf).groupBy("event_type").applyInPandas(run, "event_type string, snapshot timestamp_ntz, x double")
+    return hourly(spark, sf).groupBy("event_type").applyInPandas(run, "event_type string, snapshot timestamp_ntz, x double").withColumn("x", r("x", 5))

@@ -1,8 +1,8 @@
 """Queries on graphs, linear network operators, contingencies and clusterings, and the SQL for those it can state.
 
-The network is the trade between nations: each nation keeps its three largest partners, folded to undirected pairs.
-Where a kernel works out numbers that SQL can't, the query returns an identity that SQL can (a row sum, a balance,
-the difference of two ways to the same result)."""
+The network is the trade between nations: each nation keeps its three largest partners, folded to undirected pairs. On
+a ring of all nations every flow, factor and outage has a closed form, which SQL works out: t is the sum of injections
+up to a branch, and the flow is t less its mean weighted by reactance."""
 
 from __future__ import annotations
 
@@ -47,16 +47,33 @@ def branches(spark, sf: str) -> DataFrame:
     return p.select(F.lit("base").alias("case"), F.format_string("%d-%d", "a", "b").alias("name"), F.col("a").alias("bus0"), F.col("b").alias("bus1"), (F.col("w") / 1e6).alias("b"), (F.col("qty") / 200).alias("s_nom"))
 
 
-def injections(spark, sf: str) -> DataFrame:
-    """Balanced MW at each bus: suppliers' less customers' balances, less their mean over the buses of the network."""
-    c = table(spark, sf, "customer").groupBy(F.col("c_nationkey").cast("long").alias("bus")).agg(F.sum("c_acctbal").alias("d"))
-    s = table(spark, sf, "supplier").groupBy(F.col("s_nationkey").cast("long").alias("bus")).agg(F.sum("s_acctbal").alias("g"))
+def _power(spark, sf: str) -> DataFrame:
+    """case, bus, p, available, load of every nation: suppliers' less customers' balances in MW, less the mean."""
+    c = table(spark, sf, "customer").groupBy(F.col("c_nationkey").cast("long").alias("bus")).agg(F.sum(F.col("c_acctbal").cast("decimal(12,2)")).cast("double").alias("d"))
+    s = table(spark, sf, "supplier").groupBy(F.col("s_nationkey").cast("long").alias("bus")).agg(F.sum(F.col("s_acctbal").cast("decimal(12,2)")).cast("double").alias("g"))
     p = nodes(spark, sf).select(F.col("node").alias("bus")).join(s, "bus", "left").join(c, "bus", "left").select("bus", (F.coalesce("g", F.lit(0.0)) / 1000).alias("g"), (F.coalesce("d", F.lit(0.0)) / 10000).alias("d"))
     return p.select(F.lit("base").alias("case"), "bus", (F.col("g") - F.col("d") - F.avg(F.col("g") - F.col("d")).over(Window.partitionBy())).alias("p"), F.col("g").alias("available"), F.col("d").alias("load"))
 
 
-P_SQL = """inj AS (SELECT bus, p - avg(p) OVER () AS p FROM (SELECT n_nationkey::BIGINT AS bus, coalesce(g, 0) / 1000 - coalesce(d, 0) / 10000 AS p FROM nation
-LEFT JOIN (SELECT s_nationkey, sum(s_acctbal) AS g FROM supplier GROUP BY 1) ON n_nationkey = s_nationkey LEFT JOIN (SELECT c_nationkey, sum(c_acctbal) AS d FROM customer GROUP BY 1) ON n_nationkey = c_nationkey))"""
+def injections(spark, sf: str) -> DataFrame:
+    """The same for the buses of the network, balanced in each of its components."""
+    return L.balanced(branches(spark, sf), _power(spark, sf))
+
+
+def ring(spark, sf: str, shifters: bool = False) -> DataFrame:
+    """A branch from each nation to the next, the last back to the first."""
+    n = _power(spark, sf).withColumn("n", F.count("*").over(Window.partitionBy())).withColumn("i", F.col("bus"))
+    out = n.select("case", F.format_string("r%02d", "i").alias("name"), F.col("i").alias("bus0"), ((F.col("i") + 1) % F.col("n")).alias("bus1"), (1 + F.col("i") % 3 + F.col("load") / 100).alias("b"), (10.0 + 3 * (F.col("i") % 5)).alias("s_nom"))
+    return out.withColumn("phi", F.when(F.col("bus0") % 4 == 1, F.lit(2.0)).otherwise(0.0)) if shifters else out
+
+
+POWER = """p0 AS (SELECT n_nationkey::BIGINT AS bus, coalesce(g, 0) / 1000 AS g, coalesce(d, 0) / 10000 AS d FROM nation
+LEFT JOIN (SELECT s_nationkey, sum(s_acctbal::DECIMAL(12, 2))::DOUBLE AS g FROM supplier GROUP BY 1) ON n_nationkey = s_nationkey LEFT JOIN (SELECT c_nationkey, sum(c_acctbal::DECIMAL(12, 2))::DOUBLE AS d FROM customer GROUP BY 1) ON n_nationkey = c_nationkey),
+inj0 AS (SELECT bus, g, d, g - d - avg(g - d) OVER () AS p FROM p0)"""
+RING = f"""{POWER}, ring AS (SELECT bus AS i, printf('r%02d', bus) AS name, 1 + bus % 3 + d / 100 AS b, 1 / (1 + bus % 3 + d / 100) AS x, 10.0::DOUBLE + 3 * (bus % 5) AS s, count(*) OVER () AS n FROM inj0),
+cum AS (SELECT i, name, b, x, s, sum(p) OVER (ORDER BY i ROWS UNBOUNDED PRECEDING) AS t FROM ring JOIN inj0 ON i = bus), base AS (SELECT *, t - (sum(x * t) OVER ()) / (sum(x) OVER ()) AS f, sum(x) OVER () AS xs FROM cum),
+ptdf AS (SELECT i, name, m, t - (sum(x * t) OVER (PARTITION BY m)) / (sum(x) OVER (PARTITION BY m)) AS v FROM (SELECT i, name, x, bus AS m, (i >= bus)::INT - (i + 1) / n::DOUBLE AS t FROM ring, p0)),
+lost AS (SELECT k.i AS k, k.name AS outage, e.i, e.name, e.f AS before, CASE WHEN e.i = k.i THEN 0 ELSE e.t - k.t END AS f, e.s FROM base e, base k)"""
 
 
 @query(f"WITH {SPARSE} SELECT a, b, round(w, 2) AS w FROM adj")
@@ -126,51 +143,76 @@ def laplacian_coo(spark, sf):
     return G.laplacian(adj(spark, sf)).select("i", "j", r("v", 2).alias("v"))
 
 
-@query(f"WITH {SPARSE} SELECT printf('%d-%d', a, b) AS branch, 0.0::DOUBLE AS total FROM pairs")
-def ptdf_row_sums(spark, sf):
-    return L.ptdf(branches(spark, sf)).groupBy("branch").agg(r(F.sum("v"), 8).alias("total"))
+@query(f"WITH {RING} SELECT name AS branch, m AS bus, round(v, 7) AS v FROM ptdf")
+def ptdf_values(spark, sf):
+    return L.ptdf(ring(spark, sf)).select("branch", "bus", r("v", 7).alias("v"))
 
 
-@query(f"WITH RECURSIVE {SPARSE}, {P_SQL} SELECT bus, round(p, 5) AS p FROM inj WHERE bus IN (SELECT a FROM adj)")
+@query(f"""WITH RECURSIVE {SPARSE}, {POWER}, reach(node, seen) AS (SELECT a, a FROM adj UNION SELECT node, b FROM reach JOIN adj ON seen = a), part AS (SELECT node, min(seen) AS part FROM reach GROUP BY 1)
+SELECT bus, round(p - avg(p) OVER (PARTITION BY part), 5) AS p FROM inj0 JOIN part ON bus = node""")
 def ptdf_balance(spark, sf):
-    """Net flow out of each bus: the injection, as the network is one component and injections add up to 0."""
+    """Net flow out of each bus: the injection, as injections add up to 0 in every component."""
     b = branches(spark, sf)
     f = L.flows(L.ptdf(b), injections(spark, sf).drop("case")).join(L.incidence(b).withColumnRenamed("v", "s"), "branch")
     return f.groupBy("bus").agg(r(F.sum(F.col("flow") * F.col("s")), 5).alias("p"))
 
 
-@query(f"WITH {SPARSE} SELECT printf('%d-%d', a, b) AS branch, 0.0::DOUBLE AS gap FROM pairs")
+@query(f"WITH {RING} SELECT name AS branch, round(f, 6) AS by_factors, round(f, 6) AS by_angles, round(abs(f) / s, 6) AS loading FROM base")
 def branch_flows(spark, sf):
-    """Flow by PTDF less flow by angles, for each branch."""
-    b, p = branches(spark, sf), injections(spark, sf)
-    t = L.angles(b, p.select("case", "bus", "p")).select("bus", "theta")
-    by_angle = b.join(t.toDF("bus0", "t0"), "bus0").join(t.toDF("bus1", "t1"), "bus1").select(F.col("name").alias("branch"), (F.col("b") * (F.col("t0") - F.col("t1"))).alias("g"))
-    return L.flows(L.ptdf(b), p.drop("case")).join(by_angle, "branch").select("branch", r(F.col("flow") - F.col("g"), 6).alias("gap"))
+    """Flows by PTDF and by angles."""
+    b, p = ring(spark, sf), _power(spark, sf)
+    a = L.angle_flows(b, p).select("branch", r("flow", 6).alias("by_angles"), r("loading", 6).alias("loading"))
+    return L.flows(L.ptdf(b), p.drop("case")).select("branch", r("flow", 6).alias("by_factors")).join(a, "branch")
+
 
+@query(f"WITH {RING} SELECT name AS branch, round(t - (sum(x * t + CASE WHEN i % 4 = 1 THEN 2.0 ELSE 0 END) OVER ()) / xs, 6) AS flow FROM base")
+def phase_shifter_flows(spark, sf):
+    return L.angle_flows(ring(spark, sf, True), _power(spark, sf)).select("branch", r("flow", 6).alias("flow"))
 
-@query(f"WITH {SPARSE} SELECT printf('%d-%d', a, b) AS branch, 0.0::DOUBLE AS spread FROM pairs")
+
+@query(f"""WITH {RING}, w AS (SELECT name, sum(v * d) / sum(d) AS m FROM ptdf JOIN p0 ON m = bus GROUP BY 1), e AS (SELECT name, avg(v) AS m FROM ptdf GROUP BY 1), o AS (SELECT name, v AS m FROM ptdf WHERE m = 7)
+SELECT name AS branch, m.m AS bus, round(v - w.m, 7) AS by_load, round(v - e.m, 7) AS by_bus_mean, round(v - o.m, 7) AS by_bus FROM ptdf m JOIN w USING (name) JOIN e USING (name) JOIN o USING (name)""")
 def shift_factors(spark, sf):
-    """Load and uniform reference: their factors differ by one number for each branch."""
-    f, p = L.ptdf(branches(spark, sf)), injections(spark, sf)
-    load, even = L.shift_factors(f, p.select("bus", F.col("load").alias("w"))), L.shift_factors(f, p.select("bus", F.lit(1.0).alias("w")))
-    d = load.join(even.withColumnRenamed("v", "u"), ["case", "branch", "bus"]).withColumn("d", F.col("v") - F.col("u"))
-    return d.groupBy("branch").agg(r(F.max("d") - F.min("d"), 8).alias("spread"))
+    """Factors against the load, the mean of all buses, and one bus."""
+    f, p = L.ptdf(ring(spark, sf)), _power(spark, sf)
+    key = ["branch", "bus"]
+    load = L.shift_factors(f, p.select("bus", F.col("load").alias("w"))).select(*key, r("v", 7).alias("by_load"))
+    even = L.shift_factors(f, p.select("bus", F.lit(1.0).alias("w"))).select(*key, r("v", 7).alias("by_bus_mean"))
+    one = L.bus_reference(f, p.filter("bus = 7")).select(*key, r("v", 7).alias("by_bus"))
+    return load.join(even, key).join(one, key)
 
 
-@rows_only
+@query(f"""WITH {RING}, c AS (SELECT s_nationkey AS m, sum(greatest(s_acctbal, 1)) AS c FROM supplier GROUP BY 1) SELECT name AS branch, bus, round(e, 6) AS effect FROM (SELECT name, m AS bus, v - (sum(v * c) OVER (PARTITION BY name)) / (sum(c) OVER (PARTITION BY name)) AS e FROM ptdf JOIN c USING (m)) WHERE abs(e) >= 0.05""")
 def effectiveness_relative(spark, sf):
     cap = table(spark, sf, "supplier").groupBy(F.col("s_nationkey").cast("long").alias("bus")).agg(F.sum(F.greatest("s_acctbal", F.lit(1.0))).alias("capacity"))
-    return L.relative_effectiveness(L.ptdf(branches(spark, sf)), cap)
+    return L.relative_effectiveness(L.ptdf(ring(spark, sf)), cap).select("branch", "bus", r("effect", 6).alias("effect"))
 
 
-@query(f"WITH {SPARSE} SELECT printf('%d-%d', a, b) AS outage, 0.0::DOUBLE AS error FROM pairs")
+@query(f"WITH {RING} SELECT outage, name AS branch, round(before, 6) AS before, round(f, 6) AS after FROM lost")
 def outage_rank_one(spark, sf):
-    return L.outage_errors(branches(spark, sf)).select("outage", r(F.coalesce("error", F.lit(0.0)), 6).alias("error"))
+    """Flows after each outage, by the rank-one update of the factors."""
+    o = L.outage_flows(ring(spark, sf), _power(spark, sf), 7)
+    return o.select("outage", "branch", r("before", 6).alias("before"), r("after", 6).alias("after"))
 
 
-@rows_only
+@query(f"""WITH {RING}, o AS (SELECT *, abs(f) / s AS loading FROM lost) SELECT outage, count(*) AS n_over, arg_max(name, (loading, name)) AS worst, round(max(loading), 6) AS worst_loading, round(sum(abs(f) - s), 5) AS over_mw FROM o WHERE loading > 1.001 GROUP BY 1""")
 def n1_violations(spark, sf):
-    return X.violations(L.outage_flows(branches(spark, sf), injections(spark, sf)))
+    v = X.violations(L.outage_flows(ring(spark, sf), _power(spark, sf), 7))
+    return v.select("outage", "n_over", "worst", r("worst_loading", 6).alias("worst_loading"), r("over_mw", 5).alias("over_mw"))
+
+
+@query(f"""WITH {RING}, o AS (SELECT name, arg_max(outage, (round(abs(f), 7), outage)) AS outage, max(abs(f)) AS flow, max(abs(before)) AS intact FROM lost WHERE outage <> name GROUP BY 1)
+SELECT name AS branch, CASE WHEN flow > intact THEN outage ELSE 'none' END AS outage, round(flow, 7) AS flow, round(intact, 6) AS intact FROM o""")
+def worst_contingency(spark, sf):
+    """The outage with the largest flow on each branch; only a larger one than the intact network's counts."""
+    o = L.outage_flows(ring(spark, sf), _power(spark, sf)).withColumn("after", F.round("after", 7))
+    return X.worst_cases(o).select("branch", "outage", r("flow", 7).alias("flow"), r("intact", 6).alias("intact"))
+
+
+@query(f"""WITH {RING}, h AS (SELECT p.name, p.m, p.i, -(v - w) AS c FROM ptdf p JOIN (SELECT name, sum(v * d) / sum(d) AS w FROM ptdf JOIN p0 ON m = bus GROUP BY 1) q ON p.name = q.name)
+SELECT m AS bus, round(min(greatest(0, CASE WHEN c > 1e-12 THEN (s - f) / c WHEN c < -1e-12 THEN (s + f) / -c END)), 5) AS mw FROM h JOIN base USING (i) WHERE abs(f) <= s * 1.001 GROUP BY 1""")
+def largest_safe_cut(spark, sf):
+    return X.safe_cuts(ring(spark, sf), _power(spark, sf)).select("bus", r("mw", 5).alias("mw"))
 
 
 @query("""WITH e AS (SELECT l_suppkey AS ev, l_partkey % 20 AS branch, sum(l_quantity) AS f0, sum(l_quantity) * (0.5 + (l_suppkey % 7) / 8.0::DOUBLE) AS f1, 60.0::DOUBLE AS s FROM lineitem GROUP BY 1, 2, l_suppkey)
@@ -182,37 +224,50 @@ def remedy_score(spark, sf):
     return X.score(e, after, ["ev"]).withColumn("residual", r("residual", 3))
 
 
-@query(f"WITH {SPARSE} SELECT printf('%d-%d', a, b) AS changed, true AS agrees FROM pairs")
-def susceptibility_fd(spark, sf):
-    s = L.susceptibility(branches(spark, sf), injections(spark, sf))
-    return s.groupBy("changed").agg((F.max(F.abs(F.col("v") - F.col("fd")) / (1 + F.abs("v"))) < 1e-2).alias("agrees"))
+@query(f"WITH {RING} SELECT e.name AS branch, j.name AS changed, round(j.f / (j.xs * j.b * j.b), 6) AS v FROM base e, base j")
+def susceptibility_values(spark, sf):
+    """Change of each flow with each susceptance; tests hold it against a finite difference."""
+    return L.susceptibility(ring(spark, sf), _power(spark, sf)).select("branch", "changed", r("v", 6).alias("v"))
+
+
+@query(f"""WITH {RING}, c AS (SELECT e.name AS branch, j.name AS changed, -sign(e.f) * j.f / (j.xs * j.b * j.b) AS relief FROM base e, base j), k AS (SELECT *, row_number() OVER (PARTITION BY branch ORDER BY round(abs(relief), 9) DESC, changed) AS rank FROM c)
+SELECT branch, changed, round(relief, 6) AS relief, rank::INT AS rank FROM k WHERE rank <= 3""")
+def reinforcement_candidates(spark, sf):
+    b, p = ring(spark, sf), _power(spark, sf)
+    s = L.susceptibility(b, p).withColumn("v", F.round("v", 9))
+    return L.candidates(s, L.flows(L.ptdf(b), p.drop("case"))).filter("rank <= 3").select("branch", "changed", r("relief", 6).alias("relief"), "rank")
+
+
+def _tight(spark, sf):
+    """Half the ratings, so that outages overload something."""
+    return branches(spark, sf).withColumn("s_nom", F.col("s_nom") / 2)
 
 
 @rows_only
 def remedies(spark, sf):
-    return X.remedies(branches(spark, sf), injections(spark, sf))
+    return X.remedies(_tight(spark, sf), injections(spark, sf), tuple(X.ARMS))
 
 
 @rows_only
 def arm_headline(spark, sf):
-    d = X.remedies(branches(spark, sf), injections(spark, sf))
+    d = X.remedies(_tight(spark, sf), injections(spark, sf))
     return d.groupBy("arm").agg(F.count("*").alias("events"), F.count_if("cleared").alias("cleared"), F.avg("cut_mw").alias("mean_mw"), F.percentile("cut_mw", 0.5).alias("median_mw"), F.count_if(F.col("new") > 0).alias("with_new"))
 
 
-@query(f"""WITH {SPARSE} SELECT 'veto' AS arm, 0::BIGINT AS new""")
-def veto_breaks_nothing(spark, sf):
-    d = X.remedies(branches(spark, sf), injections(spark, sf), ("veto",))
-    return spark.range(1).crossJoin(d.agg(F.coalesce(F.sum("new"), F.lit(0)).alias("new"))).select(F.lit("veto").alias("arm"), "new")
+@rows_only
+def node_usage(spark, sf):
+    """Use of each bus over all outages, from the lookup table of the veto arm."""
+    return X.usage(X.remedy_cuts(_tight(spark, sf), injections(spark, sf)))
 
 
 @rows_only
 def cascade(spark, sf):
-    return X.cascades(branches(spark, sf), injections(spark, sf))
+    return X.cascades(_tight(spark, sf), injections(spark, sf))
 
 
 @rows_only
 def reinforcement_loop(spark, sf):
-    return X.reinforcement(branches(spark, sf), injections(spark, sf))
+    return X.reinforcement(_tight(spark, sf), injections(spark, sf))
 
 
 @rows_only
@@ -225,19 +280,31 @@ def fiedler_bisection(spark, sf):
     return C.bisection(adj(spark, sf))
 
 
-@rows_only
+@query(f"""WITH RECURSIVE {SPARSE}, d AS (SELECT a, sum(w) AS d FROM adj GROUP BY 1), reach(node, seen) AS (SELECT a, a FROM adj UNION SELECT node, b FROM reach JOIN adj ON seen = a)
+SELECT (SELECT count(*) FROM d) AS n, (SELECT count(*) FROM d)::DOUBLE AS total, round((SELECT count(*) FROM d) + (SELECT sum(w * w / (x.d * y.d)) FROM adj JOIN d x ON adj.a = x.a JOIN d y ON adj.b = y.a), 6) AS squares, (SELECT count(DISTINCT m) FROM (SELECT min(seen) AS m FROM reach GROUP BY node)) AS zeros""")
 def graph_spectrum(spark, sf):
-    return G.spectrum(adj(spark, sf))
+    """All eigenvalues of the normalised Laplacian: their number, sum, sum of squares, and how many are 0."""
+    s = G.spectrum(adj(spark, sf), G.MOST_NODES)
+    return s.agg(F.count("*").alias("n"), r(F.sum("value"), 6).alias("total"), r(F.sum(F.col("value") * F.col("value")), 6).alias("squares"), F.count_if(F.abs("value") < 1e-9).alias("zeros"))
 
 
-@rows_only
+@query(f"""WITH {SPARSE}, d0 AS (SELECT a, b, 1000000 / w AS l FROM adj UNION ALL SELECT a, a, 0 FROM adj), """ + ", ".join(f"d{k + 1} AS (SELECT x.a, y.b, min(x.l + y.l) AS l FROM d{k} x JOIN d{k} y ON x.b = y.a GROUP BY 1, 2)" for k in range(5)) + """,
+n AS (SELECT DISTINCT a AS v FROM adj), c AS (SELECT v, count(*) AS c FROM n JOIN d5 x ON x.b = v JOIN d5 y ON y.a = v JOIN d5 t ON t.a = x.a AND t.b = y.b WHERE x.a <> v AND y.b <> v AND x.a <> y.b AND abs(x.l + y.l - t.l) < 1e-9 GROUP BY 1)
+SELECT v AS node, round(coalesce(c, 0) / ((SELECT count(*) FROM n) - 1) / ((SELECT count(*) FROM n) - 2)::DOUBLE, 8) AS score FROM n LEFT JOIN c USING (v)""")
 def betweenness(spark, sf):
-    return G.betweenness(adj(spark, sf).withColumn("w", 1e6 / F.col("w")))
+    """Lengths differ here, so a pair has one shortest path."""
+    return G.betweenness(adj(spark, sf).withColumn("w", 1e6 / F.col("w"))).select("node", r("score", 8).alias("score"))
 
 
-@rows_only
+ONE = SPARSE.replace("k <= 3", "k <= 1")
+TWO = SPARSE.replace("k <= 3", "k <= 2")
+
+
+@query(f"""WITH RECURSIVE {ONE}, reach(node, seen) AS (SELECT a, a FROM adj UNION SELECT node, b FROM reach JOIN adj ON seen = a), parts AS (SELECT count(DISTINCT m) AS n FROM (SELECT min(seen) AS m FROM reach GROUP BY node))
+SELECT cut, count(*) AS n FROM (SELECT round(w, 2) AS cut FROM pairs UNION ALL SELECT 0.0 FROM range(25), parts WHERE range < n - 1) GROUP BY 1""")
 def cut_tree(spark, sf):
-    return G.cut_tree(adj(spark, sf))
+    """On a forest the cuts are the branches themselves, and nothing between its parts."""
+    return G.cut_tree(G.adjacency(pairs(spark, sf, 1))).groupBy(r("cut", 2).alias("cut")).agg(F.count("*").alias("n"))
 
 
 @query(f"""WITH RECURSIVE {SPARSE}, e AS (SELECT a, b FROM pairs) SELECT (SELECT count(DISTINCT n) FROM (SELECT a AS n FROM e UNION SELECT b FROM e)) - 1 AS edges""")
@@ -245,14 +312,18 @@ def spanning_tree_size(spark, sf):
     return G.spanning_tree(adj(spark, sf)).agg(F.count("*").alias("edges"))
 
 
-@rows_only
+@query(f"""WITH RECURSIVE {SPARSE}, reach(ea, eb, ew, node) AS (SELECT a, b, w, a FROM pairs UNION SELECT ea, eb, ew, adj.b FROM reach JOIN adj ON adj.a = node WHERE (adj.w, least(adj.a, adj.b), greatest(adj.a, adj.b)) < (ew, ea, eb))
+SELECT count(*) AS edges, round(sum(w), 2) AS length FROM pairs WHERE NOT EXISTS (SELECT 1 FROM reach WHERE ea = a AND eb = b AND node = b)""")
 def mst_length(spark, sf):
-    return G.spanning_tree(adj(spark, sf)).agg(F.count("*").alias("edges"), F.sum("w").alias("length"))
+    """A branch is in the tree unless lesser ones connect its ends."""
+    return G.spanning_tree(adj(spark, sf)).agg(F.count("*").alias("edges"), r(F.sum("w"), 2).alias("length"))
 
 
-@rows_only
+@query(f"""WITH RECURSIVE {TWO}, reach(ea, eb, node) AS (SELECT a, b, a FROM pairs UNION SELECT ea, eb, adj.b FROM reach JOIN adj ON adj.a = node WHERE NOT (least(adj.a, adj.b) = ea AND greatest(adj.a, adj.b) = eb))
+SELECT ea AS a, eb AS b, NOT bool_or(node = eb) AS islands FROM reach GROUP BY 1, 2""")
 def islanding_screen(spark, sf):
-    return G.bridges(G.adjacency(pairs(spark, sf, 1)))
+    p = pairs(spark, sf, 2)
+    return p.select("a", "b").join(G.bridges(G.adjacency(p)), ["a", "b"], "left").select("a", "b", F.col("side").isNotNull().alias("islands"))
 
 
 @query(f"""WITH RECURSIVE {SPARSE}, d AS (SELECT a, sum(w) AS d FROM adj GROUP BY 1), t AS (SELECT adj.a, b, w / d AS t FROM adj JOIN d ON adj.a = d.a),
@@ -318,10 +389,14 @@ def coassociation(spark, sf):
     return C.coassociation(l, "x", "d", "l").select("a", "b", r("share", 6).alias("share"))
 
 
-@query("SELECT vec_id AS id, 1.0::DOUBLE AS total FROM embeddings")
+@query("""WITH e AS (SELECT vec_id AS id, embedding::DOUBLE[] AS x FROM embeddings), c0 AS (SELECT row_number() OVER (ORDER BY id) - 1 AS cluster, x AS c FROM (SELECT * FROM e ORDER BY id LIMIT 4)),
+u1 AS (SELECT id, cluster, x, (1 / d) / sum(1 / d) OVER (PARTITION BY id) AS u FROM (SELECT id, cluster, x, greatest(1e-12, pow(list_distance(x, c), 2)) AS d FROM e, c0)),
+c1 AS (SELECT cluster, list(c ORDER BY i) AS c FROM (SELECT cluster, i, sum(u * u * v) / sum(u * u) AS c FROM (SELECT cluster, u, unnest(x) AS v, unnest(range(len(x))) AS i FROM u1) GROUP BY 1, 2) GROUP BY 1)
+SELECT id, cluster::INT AS cluster, round((1 / d) / sum(1 / d) OVER (PARTITION BY id), 6) AS u FROM (SELECT id, cluster, greatest(1e-12, pow(list_distance(x, c), 2)) AS d FROM e, c1)""")
 def fuzzy_cmeans(spark, sf):
-    x = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.slice(F.col("embedding").cast("array<double>"), 1, 8).alias("x"))
-    return C.fuzzy_cmeans(x, 4, 4).groupBy("id").agg(r(F.sum("u"), 8).alias("total"))
+    """Memberships of whole vectors after two rounds."""
+    x = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("x"))
+    return C.fuzzy_cmeans(x, 4, 2).select("id", "cluster", r("u", 6).alias("u"))
 
 
 @query(f"""WITH {TRADE}, s AS (SELECT a, b, w / sum(w) OVER (PARTITION BY b) AS v FROM trade), g AS (SELECT b, list_sort(list(a)) AS m FROM s WHERE v >= 0.045 GROUP BY 1), o AS (SELECT m, min(b) AS grp FROM g GROUP BY 1) SELECT grp, unnest(m) AS a FROM o""")

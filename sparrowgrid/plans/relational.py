@@ -33,13 +33,14 @@ def r(c, n: int = 4):
 
 
 def trade(spark, sf: str) -> DataFrame:
-    """Directed nation pairs: supplier's nation to customer's, value and quantity."""
+    """Directed nation pairs: supplier's nation to customer's, value and quantity. Money is summed as decimals, so that the
+    sum does not depend on the order."""
     l, o, c, s = (table(spark, sf, t) for t in ("lineitem", "orders", "customer", "supplier"))
     j = l.join(o, l["l_orderkey"] == o["o_orderkey"]).join(c, o["o_custkey"] == c["c_custkey"]).join(s, l["l_suppkey"] == s["s_suppkey"])
-    return j.groupBy(F.col("s_nationkey").alias("a"), F.col("c_nationkey").alias("b")).agg(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("w"), F.sum("l_quantity").alias("qty"), F.count("*").alias("n"))
+    return j.groupBy(F.col("s_nationkey").alias("a"), F.col("c_nationkey").alias("b")).agg(F.sum(F.col("l_extendedprice").cast("decimal(12,2)") * (1 - F.col("l_discount").cast("decimal(4,2)"))).cast("double").alias("w"), F.sum("l_quantity").alias("qty"), F.count("*").alias("n"))
 
 
-TRADE = """trade AS (SELECT s_nationkey AS a, c_nationkey AS b, sum(l_extendedprice * (1 - l_discount)) AS w, sum(l_quantity) AS qty, count(*) AS n
+TRADE = """trade AS (SELECT s_nationkey AS a, c_nationkey AS b, sum(l_extendedprice::DECIMAL(12, 2) * (1 - l_discount::DECIMAL(4, 2)))::DOUBLE AS w, sum(l_quantity) AS qty, count(*) AS n
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1, 2)"""
 HOURLY = """hourly AS (SELECT event_type, date_trunc('hour', ts) AS snapshot, avg(value) AS v, sum(value) AS s, count(*) AS n FROM events GROUP BY 1, 2)"""
 
@@ -152,9 +153,9 @@ def anti_orphans(spark, sf):
 
 
 @query(f"""WITH {TRADE}, m AS (SELECT n_nationkey AS k FROM nation WHERE n_regionkey = 1)
-SELECT a, b, coalesce(x.k, y.k) AS inside, round(w, 2) AS w FROM trade LEFT JOIN m x ON a = x.k LEFT JOIN m y ON b = y.k WHERE (x.k IS NULL) <> (y.k IS NULL)""")
+SELECT a, b, coalesce(x.k, y.k) AS inside, round(w, 4) AS w FROM trade LEFT JOIN m x ON a = x.k LEFT JOIN m y ON b = y.k WHERE (x.k IS NULL) <> (y.k IS NULL)""")
 def boundary_xor(spark, sf):
-    return R.boundary(trade(spark, sf), table(spark, sf, "nation").filter("n_regionkey = 1"), "n_nationkey").select("a", "b", "inside", r("w", 2).alias("w"))
+    return R.boundary(trade(spark, sf), table(spark, sf, "nation").filter("n_regionkey = 1"), "n_nationkey").select("a", "b", "inside", r("w", 4).alias("w"))
 
 
 @query(f"""WITH {TRADE} SELECT x.n_regionkey AS group_a, y.n_regionkey AS group_b, count(*) AS circuits, round(sum(w), 2) AS w
@@ -193,9 +194,9 @@ def nearest_donor(spark, sf):
     return R.top(j, ["s_suppkey"], [F.round("km", 6), "donor"]).select("s_suppkey", "donor", r("km", 3).alias("km"))
 
 
-@query(f"""WITH {TRADE} SELECT least(a, b) AS lo, greatest(a, b) AS hi, round(sum(w), 2) AS w, sum(n)::BIGINT AS circuits, max(qty) AS widest FROM trade WHERE a <> b GROUP BY 1, 2""")
+@query(f"""WITH {TRADE} SELECT least(a, b) AS lo, greatest(a, b) AS hi, round(sum(w), 4) AS w, sum(n)::BIGINT AS circuits, max(qty) AS widest FROM trade WHERE a <> b GROUP BY 1, 2""")
 def canonical_pair_routes(spark, sf):
-    return R.canonical_pairs(trade(spark, sf).filter("a <> b"), "a", "b", {"w": r(F.sum("w"), 2), "circuits": F.sum("n"), "widest": F.max("qty")})
+    return R.canonical_pairs(trade(spark, sf).filter("a <> b"), "a", "b", {"w": r(F.sum("w"), 4), "circuits": F.sum("n"), "widest": F.max("qty")})
 
 
 @query("""WITH n AS (SELECT DISTINCT p_name FROM part), s AS (SELECT substr(p_name, 1, 6) AS stem, count(*) AS n, min(p_name) AS name FROM n GROUP BY 1)

@@ -123,10 +123,10 @@ def calibration_sweep(spark, sf):
 
 
 @query("""WITH s AS (SELECT s_nationkey AS k, sum(s_acctbal) AS x, count(*) AS y FROM supplier GROUP BY 1), q AS (SELECT rank() OVER (ORDER BY x DESC) + (count(*) OVER (PARTITION BY x) - 1) / 2.0::DOUBLE AS rx, rank() OVER (ORDER BY y DESC) + (count(*) OVER (PARTITION BY y) - 1) / 2.0::DOUBLE AS ry FROM s)
-SELECT round(corr(rx, ry), 6) AS rho FROM q""")
+SELECT CASE WHEN count(DISTINCT rx) > 1 AND count(DISTINCT ry) > 1 THEN round(corr(rx, ry), 6) END AS rho FROM q""")
 def spearman_avg_rank(spark, sf):
     s = table(spark, sf, "supplier").groupBy("s_nationkey").agg(F.sum("s_acctbal").alias("x"), F.count("*").alias("y"))
-    return R.average_rank(R.average_rank(s, "x", "rx"), "y", "ry").agg(r(F.corr("rx", "ry"), 6).alias("rho"))
+    return R.average_rank(R.average_rank(s, "x", "rx"), "y", "ry").agg(r(F.try_divide(F.covar_pop("rx", "ry"), F.stddev_pop("rx") * F.stddev_pop("ry")), 6).alias("rho"))
 
 
 @query("""WITH u AS (SELECT label, embedding::DOUBLE[] AS e, sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS n FROM embeddings), x AS (SELECT label, unnest(e) / n AS v, unnest(range(len(e))) AS i FROM u),
