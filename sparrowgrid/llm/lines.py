@@ -9,8 +9,7 @@ A line of n code points is cut into EDITS + 1 segments. Two lines within EDITS e
 that differ by few: each line is indexed by its own segments and probes, for every length from n - EDITS to n,
 the substrings that can match one (the multi-match-aware windows of the segment-partition join). Keys that two
 different lines have in common are kept, their lines fetched, and pairs are tested: counts of twelve letters
-first (a bound on the distance, inside the join), then how many of PIECES equal pieces of the one occur in the other (an
-edit spoils one at most), then the banded bit-parallel edit distance.
+first (a bound on the distance, inside the join), then the banded bit-parallel edit distance.
 
 Only whether a line has an earlier neighbour matters. Every member of a key is first tested against the key's
 earliest lines, which takes as many pairs as members; only lines that this leaves open meet the others.
@@ -21,13 +20,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, stash, unstash
+from .common import stash, unstash
 
 MIN_CHARS = 24
 EDITS = 2
 NULL_ID = -(1 << 63)
 LETTERS = "etaonirshdlu"  # twelve frequent letters
-PIECES = 16
 BROADCAST_KEYS = 100_000  # keys of 8 bytes that may be sent to every executor
 HOT = 10_000  # a line with more than this part of all repeats is hot; there are fewer than that
 
@@ -112,14 +110,6 @@ def _apart(a: str, b: str) -> Column:
     return sum((F.abs(field(a, w, i) - field(b, w, i)) for w in (0, 1) for i in range(6)), F.lit(0).cast("long"))
 
 
-def _pieces_agree(a: str, b: str, edits: int) -> Column:
-    """Whether all but `edits` of the pieces of a line occur in the other; shorter lines than PIECES have fewer."""
-    n = F.char_length(a)
-    at = lambda i: F.floor(n * i / PIECES).cast("int")
-    missing = sum((F.when(F.instr(F.col(b), F.substring(F.col(a), at(i) + 1, at(i + 1) - at(i))) > 0, 0).otherwise(1) for i in range(PIECES)), F.lit(0))
-    return missing <= edits
-
-
 def _lines(docs: DataFrame) -> DataFrame:
     d = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"), F.coalesce("text", F.lit("")).alias("text"))
     d = d.select("id", "th", F.posexplode(F.split("text", "\n")).alias("no", "line"))  # the text is hashed before that
@@ -145,11 +135,10 @@ def _near(lines: DataFrame, edits: int) -> DataFrame:
     def tested(pairs: DataFrame) -> DataFrame:
         """(early, late) structs -> (h1, h2) of the late lines of those within the edits."""
         p = pairs.select(F.col("early.h1").alias("e1"), F.col("early.h2").alias("e2"), F.col("late.h1").alias("h1"), F.col("late.h2").alias("h2")).distinct()
-        p = p.repartition(partitions(lines.sparkSession), "e1", "h1")  # the pairs are few and each takes long
         chars = lambda c: F.filter(F.split(c, ""), lambda x: x != "")
-        texts = known.select("h1", "h2", "line", chars("line").alias("chars"))
-        p = p.join(texts, ["h1", "h2"]).join(texts.select(F.col("h1").alias("e1"), F.col("h2").alias("e2"), F.col("line").alias("other"), F.col("chars").alias("others")), ["e1", "e2"])
-        return p.filter(_pieces_agree("line", "other", edits)).filter(edit_distance_within(F.col("others"), F.col("chars"), edits)).select("h1", "h2").distinct()
+        texts = known.select("h1", "h2", chars("line").alias("chars"))  # below the join, so that it is worked out once
+        p = p.join(texts, ["h1", "h2"]).join(texts.select(F.col("h1").alias("e1"), F.col("h2").alias("e2"), F.col("chars").alias("others")), ["e1", "e2"])
+        return p.filter(edit_distance_within(F.col("others"), F.col("chars"), edits)).select("h1", "h2").distinct()
 
     def allowed(early: str, late: str) -> Column:
         return (F.col(f"{early}.at") < F.col(f"{late}.at")) & (_apart(f"{early}.bag", f"{late}.bag") <= 2 * edits)
