@@ -3,17 +3,20 @@
 A byte goes if a string of `LENGTH` bytes that covers it also starts earlier (smaller doc_id, or the same
 document further left). Sorting the suffixes at every byte would move a hundred times the corpus, so suffixes are
 thinned without loss: of the k-grams in a window of LENGTH bytes the one with the least hash (the leftmost of
-equals) is its anchor. Equal windows have equal anchors at equal places, and one anchor serves a run of windows.
-
-1. Anchors are dealt by hash; those that occur once in the corpus cannot lie in a repeated window and end here.
-   Repeats inside a batch of documents are told apart before the shuffle, so a passage that very many documents
-   share sends one row a batch.
-2. The others are looked up in their documents. The bytes around each anchor (its run of windows) go to a bucket
-   by the leading bytes of the anchor's suffix, with splitters from a sample; equal ones in a batch send one.
-3. A bucket collapses equal byte strings, sorts the windows of the rest by multikey sort (eight bytes at a time,
-   only ties go on), and names every window that is not the first of its equals. As a bucket is chosen by the
-   leading bytes, no run of equal windows crosses a boundary between buckets.
-4. The named windows return to their documents, are united, and cut out.
+equals) is its anchor. Equal windows have equal anchors at equal places, and one anchor serves a run of windows; only
+the suffixes at anchors are sorted.
+
+1. Anchors whose gram occurs once in the corpus cannot lie in a repeated window and end here: grams are dealt by hash
+   and counted. Repeats inside a batch of documents are told apart before the shuffle.
+2. The other suffixes (from the anchor on, with the bytes that its windows have before it) go to buckets by ranges of
+   their eight leading bytes, with splitters from a sample; equal ones in a batch send one. Where one lead takes
+   several splitters, its suffixes are spread over as many buckets.
+3. A bucket collapses equal byte strings and sorts its suffixes in byte order by multikey sort (eight bytes at a time,
+   only ties go on). Suffixes that agree in a whole gram lie together; their windows are sorted the same way, and every
+   one that is not the first of its equals is named.
+4. Across boundaries: of a lead that several buckets share, each hands on the strings in which it has a first window;
+   these are compared with one another in the same way.
+5. The named windows return to their documents, are united, and cut out.
 """
 
 from __future__ import annotations
@@ -36,6 +39,8 @@ SAMPLED = 2000  # documents, at most about so many, for the splitters
 TABLE = mix64(np.arange(1, 257, dtype=U64) * U64(0x9E3779B97F4A7C15))
 STEP = [U64(x) for x in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)]
 BLOCK = 1 << 16
+BUCKET = 1 << 26  # bytes of text to a bucket, at most about so many
+AT_ONCE = 2_000_000  # windows that are compared at once
 LOW = U64((1 << 20) - 1)
 
 
@@ -133,13 +138,27 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield held.select(["id", "th", "p"])
 
 
+def big_endian(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as a number; numbers compare like the bytes."""
+    raw = np.ascontiguousarray(data)
+    return np.ndarray((len(raw) - 7,), ">u8", raw, strides=(1,)).astype(U64) if len(raw) > 7 else np.empty(0, U64)
+
+
 def _leads(data: np.ndarray, places: np.ndarray) -> np.ndarray:
-    """The eight leading bytes of the suffix at each place, in an order like theirs, as signed longs."""
+    """The eight leading bytes of the suffix at each place, as signed longs in the same order."""
     raw = np.ascontiguousarray(data)
     words = np.ndarray((len(raw) - 7,), ">u8", raw, strides=(1,)) if len(raw) > 7 else np.empty(0, ">u8")
     return (words[places].astype(U64) ^ U64(1 << 63)).view(np.int64)
 
 
+def dealt(lead: np.ndarray, salt: np.ndarray, cut: np.ndarray) -> np.ndarray:
+    """The bucket of each suffix by its lead, given the sorted splitters. A lead that takes several of them goes to the
+    buckets between, by its salt; buckets are in the order of leads in any case."""
+    low, high = np.searchsorted(cut, lead, side="left"), np.searchsorted(cut, lead, side="right")
+    spread = np.maximum(1, high - low)
+    return np.where(spread > 1, high - (salt % spread.astype(U64)).astype(np.int64), high).astype(np.int32)
+
+
 def _sampled_leads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for b in slices(whole, "text"):
@@ -189,10 +208,11 @@ def _segments(splitters: list[int]):
                     continue
                 i = np.array([r[4] for r in rows])
                 k = len(best)
-                bucket = np.searchsorted(cut, _leads(data, p[i]), side="right").astype(np.int32)
-                bucket[k:] = (mix64(i[k:].astype(U64)) % U64(len(cut) + 1)).astype(np.int32)
+                salt = mix64(np.array([r[0] for r in rows], np.int64).view(U64) ^ mix64(i.astype(U64)))
+                bucket = dealt(_leads(data, p[i]), salt, cut)
+                bucket[k:] = (salt[k:] % U64(len(cut) + 1)).astype(np.int32)
                 yield _batch(
-                    bucket=bucket, h=h[i].view(np.int64), id=pa.array([r[0] for r in rows], pa.int64()), th=pa.array([r[1] for r in rows], pa.int32()),
+                    bucket=bucket, id=pa.array([r[0] for r in rows], pa.int64()), th=pa.array([r[1] for r in rows], pa.int32()),
                     lo=pa.array([r[2] for r in rows], pa.int32()), more=pa.array([r[3] for r in rows], pa.int32()), anchor=(p[i] - lo[i]).astype(np.int32),
                     s=pa.array([*best, *[None] * (len(rows) - k)], pa.binary()),
                 )
@@ -200,9 +220,10 @@ def _segments(splitters: list[int]):
     return run
 
 
-def multikey_classes(words: np.ndarray, start: np.ndarray, cls: np.ndarray, depth: list[int]) -> tuple[np.ndarray, np.ndarray]:
-    """Windows that begin at `start` in bytes whose eight-byte words are `words`: (indices, class) of those that equal
-    another of the same class in all words at `depth`. Only ties at one depth are compared at the next."""
+def multikey_sort(words: np.ndarray, start: np.ndarray, cls: np.ndarray, depth: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """Strings that begin at `start`, given the word at each place: (indices, class) of those that equal another of the
+    same class in all words at `depth`, in the order of their bytes. Each step sorts by one word, as it parts every class
+    into the strings below, at and above each of its values; only ties go on to the next."""
     at = np.arange(len(start))
     for d in depth:
         key = words[start[at] + d]
@@ -216,77 +237,141 @@ def multikey_classes(words: np.ndarray, start: np.ndarray, cls: np.ndarray, dept
     return at, cls
 
 
-def _compare(rows: list[tuple]) -> tuple[list[int], list[int], list[int], list[int]]:
-    """(h, id, th, lo, more, anchor, s) of whole groups -> runs of windows to remove: id, th, first, last."""
-    out: tuple[list, list, list, list] = ([], [], [], [])
+class Bucket:
+    """Suffixes of one bucket as columns; rows (id, th, lo, more, anchor, s), equal strings collapsed on the way in."""
 
-    def remove(i, t, a, b):
-        for column, x in zip(out, (i, t, a, b)):
+    def __init__(self):
+        self.best: dict[tuple, tuple] = {}
+        self.removed: tuple[list, list, list, list] = ([], [], [], [])
+
+    def remove(self, *run: int) -> None:
+        for column, x in zip(self.removed, run):
             column.append(x)
 
-    best: dict[tuple, tuple] = {}
-    for r in rows:
-        key = (r[0], r[6])
-        other = best.setdefault(key, r)
+    def add(self, r: tuple) -> None:
+        other = self.best.setdefault((r[4], r[5]), r)
         if other is not r:
-            if r[1:4] < other[1:4]:
-                best[key], r = r, other
-            if r[1:4] != best[key][1:4]:
-                remove(r[1], r[2], r[3], r[3] + r[4])
-    groups: dict[int, list] = {}
-    for r in best.values():
-        groups.setdefault(r[0], []).append(r)
-    some = [r for g in groups.values() if len(g) > 1 for r in g]
-    if not some:
-        return out
-    number = {h: i for i, h in enumerate(dict.fromkeys(r[0] for r in some))}
-    buffer = np.frombuffer(b"".join(r[6] for r in some) + bytes(8), np.uint8)
-    words = np.ndarray((len(buffer) - 7,), "<u8", buffer, strides=(1,))
-    n = np.array([r[4] + 1 for r in some])
-    begin = np.cumsum([0, *(len(r[6]) for r in some)])[:-1]
-    which = np.repeat(np.arange(len(some)), n)
-    step = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
-    gap = np.array([r[5] for r in some])[which] - step  # from the window's start to its anchor: equal windows agree in it
-    group = np.array([number[r[0]] for r in some])[which]
-    depth = [*range(0, LENGTH - 7, 8), LENGTH - 8]
-    ids, ths, los = (np.array([r[c] for r in some], np.int64) for c in (1, 2, 3))
-    marked = np.zeros(len(which), bool)
-    for part in [np.arange(len(which))] if len(which) < 2_000_000 else [np.flatnonzero(gap == g) for g in np.unique(gap)]:
-        at, cls = multikey_classes(words, (begin[which] + step)[part], (group * LENGTH + gap)[part], depth)
-        at = part[at]
-        w, s = which[at], los[which[at]] + step[at]
-        order = np.lexsort((s, ths[w], ids[w], cls))
-        at, cls, w, s = at[order], cls[order], w[order], s[order]
-        head = np.ones(len(at), bool)
-        head[1:] = cls[1:] != cls[:-1]
-        first = np.maximum.accumulate(np.where(head, np.arange(len(at)), 0))
-        marked[at[(ids[w] != ids[w[first]]) | (ths[w] != ths[w[first]]) | (s != s[first])]] = True
-    begins = marked.copy()
-    begins[1:] &= ~(marked[:-1] & (which[1:] == which[:-1]))
-    ends = marked.copy()
-    ends[:-1] &= ~(marked[1:] & (which[1:] == which[:-1]))
-    for a, b in zip(np.flatnonzero(begins).tolist(), np.flatnonzero(ends).tolist()):
-        w = which[a]
-        remove(int(ids[w]), int(ths[w]), int(los[w] + step[a]), int(los[w] + step[b]))
-    return out
+            if r[:3] < other[:3]:
+                self.best[r[4], r[5]], r = r, other
+            if r[:3] != self.best[r[4], r[5]][:3]:
+                self.remove(r[0], r[1], r[2], r[2] + r[3])
+
+    def compare(self) -> np.ndarray:
+        """Sorts the suffixes and names their windows that are not the first of their equals; rows with a window that is
+        the first one here, by their number."""
+        rows = list(self.best.values())
+        if not rows:
+            return np.empty(0, np.int64)
+        buffer = np.frombuffer(b"".join(r[5] for r in rows) + bytes(8), np.uint8)
+        words = big_endian(buffer)
+        begin = np.cumsum([0, *(len(r[5]) for r in rows)])[:-1]
+        anchor, windows = np.array([r[4] for r in rows]), np.array([r[3] + 1 for r in rows])
+        # suffixes from the anchor on, in byte order; those that agree in a gram are one class
+        at, group = multikey_sort(words, begin + anchor, np.zeros(len(rows), np.int64), list(range(0, GRAM, 8)))
+        has_first = np.ones(len(rows), bool)
+        if len(at):
+            load = np.cumsum(windows[at])
+            part = load // AT_ONCE  # whole classes, about so many windows at once
+            ends = np.append(np.flatnonzero(group[1:] != group[:-1]) + 1, len(at))
+            last = 0
+            for e in ends.tolist():
+                if e == len(at) or part[e] != part[last]:
+                    self._windows(rows, at[last:e], group[last:e], words, begin, anchor, windows, has_first)
+                    last = e
+        return np.flatnonzero(has_first)
+
+    def _windows(self, rows, some, group, words, begin, anchor, windows, has_first) -> None:
+        n = windows[some]
+        which = np.repeat(np.arange(len(some)), n)
+        step = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
+        gap = anchor[some][which] - step  # from the window's start to its anchor: equal windows agree in it
+        depth = [*range(0, LENGTH - 7, 8), LENGTH - 8]
+        ids, ths, los = (np.array([rows[i][c] for i in some.tolist()], np.int64) for c in (0, 1, 2))
+        marked = np.zeros(len(which), bool)
+        for part in [np.arange(len(which))] if len(which) <= 2 * AT_ONCE else [np.flatnonzero(gap == g) for g in np.unique(gap)]:
+            at, cls = multikey_sort(words, (begin[some][which] + step)[part], (group[which] * LENGTH + gap)[part], depth)
+            at = part[at]
+            w, s = which[at], los[which[at]] + step[at]
+            order = np.lexsort((s, ths[w], ids[w], cls))
+            at, cls, w, s = at[order], cls[order], w[order], s[order]
+            head = np.ones(len(at), bool)
+            head[1:] = cls[1:] != cls[:-1]
+            first = np.maximum.accumulate(np.where(head, np.arange(len(at)), 0))
+            marked[at[(ids[w] != ids[w[first]]) | (ths[w] != ths[w[first]]) | (s != s[first])]] = True
+        begins = marked.copy()
+        begins[1:] &= ~(marked[:-1] & (which[1:] == which[:-1]))
+        ends = marked.copy()
+        ends[:-1] &= ~(marked[1:] & (which[1:] == which[:-1]))
+        for a, b in zip(np.flatnonzero(begins).tolist(), np.flatnonzero(ends).tolist()):
+            w = which[a]
+            self.remove(int(ids[w]), int(ths[w]), int(los[w] + step[a]), int(los[w] + step[b]))
+        has_first[some] = np.bincount(which[~marked], minlength=len(some)) > 0
+
+    def named(self) -> dict:
+        i, t, a, b = self.removed
+        return dict(id=pa.array(i, pa.int64()), th=pa.array(t, pa.int32()), first=pa.array(a, pa.int32()), last=pa.array(b, pa.int32()))
+
+
+RUN = "id long, th int, first int, last int"
+EDGE = "route long, lead long, id long, th int, lo int, more int, anchor int, s binary, first int, last int"
+
+
+def _read(batches: Iterator[pa.RecordBatch]) -> tuple[Bucket, list[pa.RecordBatch]]:
+    """A bucket's rows, and the runs that were decided in their batch."""
+    bucket, sure = Bucket(), []
+    for b in batches:
+        done = b.filter(b.column("s").is_null())
+        if done.num_rows:
+            lo, more = _longs(done, "lo"), _longs(done, "more")
+            sure.append(_batch(id=done.column("id"), th=done.column("th"), first=lo.astype(np.int32), last=(lo + more).astype(np.int32)))
+        b = b.filter(b.column("s").is_valid())
+        for r in zip(*(b.column(c).to_pylist() for c in ("id", "th", "lo", "more", "anchor", "s"))):
+            bucket.add(r)
+    return bucket, sure
 
 
 def _sorted_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    def made(columns) -> pa.RecordBatch:
-        i, t, a, b = columns
-        return _batch(id=pa.array(i, pa.int64()), th=pa.array(t, pa.int32()), first=pa.array(a, pa.int32()), last=pa.array(b, pa.int32()))
+    bucket, sure = _read(batches)
+    bucket.compare()
+    yield from [*sure, _batch(**bucket.named())]
+
+
+def _sorted_with_edges(shared: list[int]):
+    """The same, and of the leads that several buckets share the rows that have a first window here."""
+    leads = np.array(sorted(set(shared)), np.int64)
 
-    held: list[tuple] = []
-    size = 0
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket, sure = _read(batches)
+        first = bucket.compare()
+        for b in [*sure, _batch(**bucket.named())]:
+            n = b.num_rows
+            if n:
+                none = lambda kind: pa.nulls(n, kind)
+                yield _batch(route=mix64(_longs(b, "id").view(U64)).view(np.int64), lead=none(pa.int64()), id=b.column("id"), th=b.column("th"), lo=none(pa.int32()), more=none(pa.int32()), anchor=none(pa.int32()), s=none(pa.binary()), first=b.column("first"), last=b.column("last"))
+        rows = list(bucket.best.values())
+        rows = [rows[i] for i in first.tolist()]
+        lead = np.array([int.from_bytes(r[5][r[4] : r[4] + 8], "big") - (1 << 63) for r in rows], np.int64)
+        keep = np.flatnonzero(np.isin(lead, leads)).tolist()
+        if keep:
+            column = lambda c, kind: pa.array([rows[i][c] for i in keep], kind)
+            none = pa.nulls(len(keep), pa.int32())
+            yield _batch(route=mix64(lead[keep].view(U64)).view(np.int64), lead=lead[keep], id=column(0, pa.int64()), th=column(1, pa.int32()), lo=column(2, pa.int32()), more=column(3, pa.int32()), anchor=column(4, pa.int32()), s=column(5, pa.binary()), first=none, last=none)
+
+    return run
+
+
+def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Passes runs on, and compares what buckets handed on of the leads they share."""
+    edges = Bucket()
     for b in batches:
-        for r in zip(*(b.column(c).to_pylist() for c in ("h", "id", "th", "lo", "more", "anchor", "s"))):
-            if size > 4_000_000 and held[-1][0] != r[0]:  # groups are whole here
-                yield made(_compare(held))
-                held, size = [], 0
-            held.append(r)
-            size += len(r[6])
-    if held:
-        yield made(_compare(held))
+        runs = b.filter(b.column("s").is_null())
+        if runs.num_rows:
+            yield runs.select(["id", "th", "first", "last"])
+        b = b.filter(b.column("s").is_valid())
+        for r in zip(*(b.column(c).to_pylist() for c in ("id", "th", "lo", "more", "anchor", "s"))):
+            edges.add(r)
+    edges.compare()
+    yield _batch(**edges.named())
 
 
 def _unite(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -333,41 +418,29 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     n = partitions(spark)
     d = _key(docs)
-    rows = docs.count()
+    rows, size = docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
     lead = d.sample(fraction=min(1.0, SAMPLED / max(rows, 1)), seed=3).select("text").mapInArrow(_sampled_leads, "lead long")
-    marks = lead.agg(F.percentile_approx("lead", [i / (4 * n) for i in range(1, 4 * n)], 10_000)).first()[0] or []
+    buckets = max(2 * n, -(-size // BUCKET))
+    marks = sorted(lead.agg(F.percentile_approx("lead", [i / buckets for i in range(1, buckets)], 10_000)).first()[0] or [])
+    shared = [a for a, b in zip(marks, marks[1:]) if a == b]
     found = d.mapInArrow(_anchor_rows, "route long, id long, th int, p int, sure boolean").repartition(n, "route").sortWithinPartitions("route")
     marked = found.mapInArrow(_repeated, "id long, th int, p int").groupBy("id", "th").agg(F.collect_list("p").alias("p"))
     segments = d.join(marked, ["id", "th"], "left").select("id", "th", "text", "p").mapInArrow(
-        _segments(sorted(set(marks))), "bucket int, h long, id long, th int, lo int, more int, anchor int, s binary"
+        _segments(marks), "bucket int, id long, th int, lo int, more int, anchor int, s binary"
     )
-    segments = segments.repartition(n, "bucket").sortWithinPartitions("bucket", "h")
-    named = segments.mapInArrow(_with_sure, "id long, th int, first int, last int").groupBy("id", "th").agg(F.collect_list(F.struct("first", "last")).alias("runs"))
+    segments = segments.repartitionById(len(marks) + 1, F.col("bucket"))
+    if shared:
+        edges = segments.mapInArrow(_sorted_with_edges(shared), EDGE).repartition(n, "route")
+        named = edges.mapInArrow(_across, RUN)
+    else:
+        named = segments.mapInArrow(_sorted_buckets, RUN)
+    named = named.groupBy("id", "th").agg(F.collect_list(F.struct("first", "last")).alias("runs"))
     out = d.join(named, ["id", "th"], "left").select("id", "th", "text", "runs").mapInArrow(
         _cut_out, "id long, n_bytes long, n_removed long, spans array<struct<`from`: bigint, `to`: bigint>>, kept binary"
     )
     return out.select(F.when(F.col("id") != NULL_ID, F.col("id")).alias("doc_id"), "n_bytes", "n_removed", "spans", "kept")
 
 
-def _with_sure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Passes on the rows that were decided in their batch, and compares the others."""
-
-    def others() -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sure = b.filter(b.column("s").is_null())
-            if sure.num_rows:
-                lo, more = _longs(sure, "lo"), _longs(sure, "more")
-                passed.append(_batch(id=sure.column("id"), th=sure.column("th"), first=lo.astype(np.int32), last=(lo + more).astype(np.int32)))
-            yield b.filter(b.column("s").is_valid())
-
-    passed: list[pa.RecordBatch] = []
-    for made in _sorted_buckets(others()):
-        yield from passed
-        passed.clear()
-        yield made
-    yield from passed
-
-
 def op3_suffixes(spark, sf_dir: str) -> DataFrame:
     r = remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return r.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))

@@ -201,11 +201,67 @@ def test_suffixes_brute_force(docs, rows):
             assert (r["n_bytes"], r["n_removed"], len(r["spans"]), bytes(r["kept"])) == want[r["doc_id"]]
 
 
-def test_multikey_classes():
-    data = np.frombuffer(b"abcdefghabcdefgXabcdefgh" + bytes(8), np.uint8)
-    words = np.ndarray((len(data) - 7,), "<u8", data, strides=(1,))
-    at, cls = suffixes.multikey_classes(words, np.array([0, 8, 16]), np.zeros(3, np.int64), [0])
-    assert sorted(at.tolist()) == [0, 2] and len(set(cls.tolist())) == 1
+def test_multikey_sort_is_in_byte_order():
+    rng = random.Random(3)
+    strings = [bytes(rng.choices(b"ab\xff\x00", k=16)) for _ in range(300)]
+    words = suffixes.big_endian(np.frombuffer(b"".join(strings) + bytes(8), np.uint8))
+    at, cls = suffixes.multikey_sort(words, np.arange(300) * 16, np.zeros(300, np.int64), [0, 8])
+    n = Counter(strings)
+    got = [strings[i] for i in at]
+    assert got == sorted(s for s in strings if n[s] > 1) and len(set(cls.tolist())) == len(set(got))
+
+
+def test_leads_are_dealt_in_order():
+    cut = np.array([5, 9, 9, 9, 12])
+    lead = np.repeat([1, 5, 7, 9, 10, 12, 20], 40)
+    bucket = suffixes.dealt(lead, np.arange(len(lead)).astype(np.uint64), cut)
+    assert [sorted(set(bucket[lead == x].tolist())) for x in (1, 5, 7, 9, 10, 12, 20)] == [[0], [1], [1], [2, 3, 4], [4], [5], [5]]
+
+
+def _removed(rows):
+    """Brute force: (doc_id, text) in order -> {doc_id: marks of the bytes that go}."""
+    seen, want = set(), {}
+    for i, t in rows:
+        b, mark, new = t.encode(), bytearray(len(t.encode())), set()
+        for s in range(len(b) - 99):
+            w = b[s : s + 100]
+            if w in seen or w in new:
+                mark[s : s + 100] = b"\1" * 100
+            new.add(w)
+        seen |= new
+        want[i] = bytes(mark)
+    return want
+
+
+def test_suffixes_across_boundaries(spark):
+    """One lead in most of the corpus: its suffixes lie in several buckets, which are compared with one another."""
+    rng = random.Random(9)
+    say = lambda n: "".join(rng.choices("abcdefghij ", k=n))
+    hot, ends = "=" * 90, [say(130) for _ in range(6)]
+    rows = [(i, say(rng.randrange(60)) + hot + rng.choice(ends) + say(40) + "=" * rng.randrange(300)) for i in range(120)]
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(16)
+    taken = []
+    plain = suffixes._sorted_with_edges
+    suffixes._sorted_with_edges = lambda shared: taken.append(shared) or plain(shared)
+    try:
+        got = {r["doc_id"]: r for r in suffixes.remove_repeats(d).collect()}
+    finally:
+        suffixes._sorted_with_edges = plain
+    assert taken and taken[0]
+    for i, mark in _removed(rows).items():
+        b = rows[i][1].encode()
+        assert bytes(got[i]["kept"]) == bytes(x for x, m in zip(b, mark) if not m), i
+
+
+def test_suffix_query_brute_force(spark, sf_dir):
+    rows = sorted((r["doc_id"], r["text"] or "") for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect())
+    got = {r["doc_id"]: tuple(r) for r in suffixes.op3_suffixes(spark, sf_dir).collect()}
+    assert len(got) == len(rows)
+    text = dict(rows)
+    for i, mark in _removed(rows).items():
+        b = text[i].encode()
+        kept = bytes(x for x, m in zip(b, mark) if not m)
+        assert got[i] == (i, len(b), sum(mark), len(re.findall(b"\1+", mark)), hashlib.sha256(kept).hexdigest())
 
 
 # 4
