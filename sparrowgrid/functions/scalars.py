@@ -155,3 +155,22 @@ def parse_volts(raw: Column | str) -> Column:
 def either(flag: Column, what: str) -> Column:
     """NULL where flag holds; raises elsewhere."""
     return F.when(~flag, F.raise_error(F.lit(what)))
+
+
+def interpolated(x: Column | str, points: list[tuple[float, float]]) -> Column:
+    """Linear interpolation between points (x, y) in order; 0 outside their range."""
+    out = F.when(col(x) == points[-1][0], F.lit(float(points[-1][1])))
+    for (x0, y0), (x1, y1) in zip(points, points[1:]):
+        out = out.when((col(x) >= x0) & (col(x) < x1), y0 + (col(x) - x0) * ((y1 - y0) / (x1 - x0)))
+    return F.when(col(x).isNotNull(), out.otherwise(0.0))
+
+
+def strict_kilovolts(raw: Column | str) -> Column:
+    """kV of a text that is one plain number with an optional kV; NULL for anything else, lists and words included."""
+    return F.nullif(F.regexp_extract(F.trim(col(raw)), r"^(\d+(?:\.\d+)?)\s*(?:[kK][vV])?$", 1), F.lit("")).cast("double")
+
+
+def listed(raw: Column | str) -> Column:
+    """The entries of a list written as text: ['a', 'b'], {a; b} or a, b; trimmed, unquoted, empty ones left out."""
+    inner = F.regexp_replace(F.trim(col(raw)), r"^[\[{(]|[\]})]$", "")
+    return F.filter(F.transform(F.split(inner, "[,;]"), lambda x: F.regexp_replace(F.trim(x), r"^['\"]|['\"]$", "")), lambda x: x != "")

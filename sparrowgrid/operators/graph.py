@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from .relational import runner_up, top
 
 MOST_NODES = 2000
+MOST_ROWS = 1_000_000
 
 
 def saved(df: DataFrame) -> DataFrame:
@@ -33,7 +34,8 @@ def saved(df: DataFrame) -> DataFrame:
 
 
 def kernel(df: DataFrame, f, schema: str, by: str | None = None) -> DataFrame:
-    """f(pandas frame of one network) for each value of `by`, or once; refuses networks over MOST_NODES nodes."""
+    """f(pandas frame of one network) for each value of `by`, or once. Networks of more than MOST_ROWS rows are refused
+    before a worker is given any, and those of more than MOST_NODES nodes by the worker."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         ends = [c for c in ("a", "b") if c in pdf.columns]
@@ -41,7 +43,11 @@ def kernel(df: DataFrame, f, schema: str, by: str | None = None) -> DataFrame:
             raise ValueError(f"a kernel takes at most {MOST_NODES} nodes")
         return f(pdf)
 
-    return (df.groupBy(by) if by else df.groupBy(F.lit(0).alias("__one"))).applyInPandas(run, schema)
+    df = df if by else df.withColumn("__one", F.lit(0))
+    n = F.count("*").over(Window.partitionBy(by or "__one"))
+    df = df.withColumn("__bad", F.when(n > MOST_ROWS, F.raise_error(F.lit(f"a kernel takes at most {MOST_ROWS} rows")))).filter("__bad IS NULL").drop("__bad")
+    drop = (lambda pdf: run(pdf)) if by else (lambda pdf: run(pdf.drop(columns="__one")))
+    return df.groupBy(by or "__one").applyInPandas(drop, schema)
 
 
 def adjacency(edges: DataFrame, weight: Column | str = "w") -> DataFrame:
@@ -79,13 +85,14 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         now = nxt
 
 
-def attach(nodes: DataFrame, edges: DataFrame, retained: DataFrame, rounds: int = 50) -> DataFrame:
+def attach(nodes: DataFrame, edges: DataFrame, retained: DataFrame) -> DataFrame:
     """Nearest retained node by path length for every other node: node, home, distance, runner_up, margin. Paths do
-    not pass another retained node. Relaxation keeps the two nearest homes of a node."""
+    not pass another retained node. Relaxation keeps the two nearest homes of a node, and goes on until nothing changes
+    (lengths must not be negative)."""
     e = saved(edges.select("a", "b", "w").union(edges.select("b", "a", "w")))
     keep = retained.select("node")
     best = saved(keep.select("node", F.col("node").alias("home"), F.lit(0.0).alias("d")))
-    for _ in range(rounds):
+    while True:
         front = best.join(keep.select(F.col("node").alias("k")), F.col("node") == F.col("k"), "left").filter(F.col("k").isNull() | (F.col("node") == F.col("home"))).drop("k")
         step = front.join(e, F.col("node") == F.col("a")).select(F.col("b").alias("node"), "home", (F.col("d") + F.col("w")).alias("d")).join(keep, "node", "left_anti")
         nxt = best.union(step).groupBy("node", "home").agg(F.min("d").alias("d"))
@@ -275,6 +282,44 @@ def spectrum(adj: DataFrame, k: int = 6) -> DataFrame:
     return kernel(adj, run, "i long, value double, gap double")
 
 
+def eigenpairs(adj: DataFrame, k: int = 6) -> DataFrame:
+    """The k smallest eigenpairs of the normalised Laplacian: i, value, node, v; of each vector the largest component is
+    positive."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        nodes, lap = normalised_matrix(pdf)
+        values, v = np.linalg.eigh(lap)
+        k_ = min(k, len(nodes))
+        v = v[:, :k_] * np.where(v[np.abs(v[:, :k_]).argmax(axis=0), np.arange(k_)] < 0, -1.0, 1.0)
+        return pd.DataFrame({"i": np.repeat(np.arange(k_), len(nodes)), "value": np.repeat(values[:k_], len(nodes)), "node": nodes * k_, "v": v.T.ravel()})
+
+    return kernel(adj, run, "i long, value double, node long, v double")
+
+
+def corridors(adj: DataFrame, labels: DataFrame) -> DataFrame:
+    """Branches between two clusters by pair of clusters: lo, hi, branches, w. Rows of adj stand for both directions."""
+    l = labels.select("node", "label")
+    j = adj.filter("a < b").join(l.toDF("a", "la"), "a").join(l.toDF("b", "lb"), "b").filter("la <> lb")
+    return j.groupBy(F.least("la", "lb").alias("lo"), F.greatest("la", "lb").alias("hi")).agg(F.count("*").alias("branches"), F.sum("w").alias("w"))
+
+
+def ringed_buses(branches: DataFrame, labels: DataFrame) -> DataFrame:
+    """Buses to mark where a boundary runs through a transformer (name, kind, bus0, bus1): its real end, as a star point
+    has no place of its own."""
+    l = labels.select(F.col("node"), "label")
+    j = branches.join(l.toDF("bus0", "l0"), "bus0").join(l.toDF("bus1", "l1"), "bus1").filter((F.col("l0") != F.col("l1")) & F.contains("kind", F.lit("transformer")))
+    return j.select(F.when(F.col("bus0").startswith("star:"), F.col("bus1")).otherwise(F.col("bus0")).alias("bus")).distinct()
+
+
+def cut_tree_clusters(tree: DataFrame, k: int) -> DataFrame:
+    """node, cluster: the k parts that are left when the k - 1 least cuts of a cut tree (node, parent, cut) are taken out;
+    a part is named by its smallest node."""
+    rank = F.row_number().over(Window.orderBy("cut", "node"))
+    kept = tree.withColumn("__r", rank).filter(F.col("__r") >= k).select(F.col("node").alias("a"), F.col("parent").alias("b"))
+    nodes = tree.select("node").union(tree.select("parent")).distinct()
+    return components(nodes, kept).withColumnRenamed("component", "cluster")
+
+
 def normalised_matrix(pdf: pd.DataFrame) -> tuple[list, np.ndarray]:
     nodes = sorted(set(pdf["a"]) | set(pdf["b"]))
     at = {v: i for i, v in enumerate(nodes)}

@@ -111,9 +111,39 @@ def expand_map(df: DataFrame, json: str, keys: dict[str, str]) -> DataFrame:
     return df
 
 
+def similar_pairs(left: DataFrame, right: DataFrame, key: str, other: str, least: float) -> DataFrame:
+    """Every pair of rows whose texts have an edit similarity of `least` or more (1 less the distance over the longer
+    length), with `score`. A text can only be that similar to one whose length lies between least times its own and its own
+    over least, so the sides meet by length: an equi-join that leaves no pair out."""
+    n = F.char_length(key)
+    reach = F.sequence(F.greatest(F.lit(0), F.ceil(n * least - 1e-9)).cast("int"), F.floor(n / least + 1e-9).cast("int"))
+    l = left.withColumn("__n", F.explode(reach))
+    score = 1 - F.levenshtein(key, other) / F.nullif(F.greatest(F.char_length(key), F.char_length(other)), F.lit(0))
+    return l.join(right.withColumn("__m", F.char_length(other)), F.col("__n") == F.col("__m")).withColumn("score", F.coalesce(score, F.lit(1.0))).filter(F.col("score") >= least).drop("__n", "__m")
+
+
+def every_pair(left: DataFrame, right: DataFrame, blocks: int = 16) -> DataFrame:
+    """Each row of a stated set against every row of right: right is dealt to blocks, and left goes to all of them."""
+    l = left.withColumn("__b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    r = right.withColumn("__c", F.pmod(F.xxhash64(*right.columns), F.lit(blocks)).cast("int"))
+    return l.join(r, F.col("__b") == F.col("__c")).drop("__b", "__c")
+
+
+def corroborated(matches: DataFrame, agrees: Column, accept: float, with_agreement: float) -> DataFrame:
+    """Matches with `accepted`: the score suffices by itself, or a lower one together with an agreement of other facts."""
+    return matches.withColumn("agrees", F.coalesce(agrees, F.lit(False))).withColumn("accepted", (F.col("score") >= accept) | ((F.col("score") >= with_agreement) & F.col("agrees")))
+
+
+def method_weights(matches: DataFrame, method: str = "method", score: str = "score") -> DataFrame:
+    """For each match method: rows, their share, mean and least score."""
+    g = matches.groupBy(method).agg(F.count("*").alias("n"), F.avg(score).alias("mean_score"), F.min(score).alias("least_score"))
+    return g.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy()))
+
+
 def staged_match(left: DataFrame, right: DataFrame, key: str, other: str, id_: str, other_id: str, prefix: int, least: float) -> DataFrame:
-    """Entity resolution in stages: equal keys, a unique common prefix, then edit similarity within one first letter with
-    a runner-up. What a stage resolves does not reach the next; each row tells its method and score."""
+    """Entity resolution in stages: equal keys, a unique common prefix, then the best edit similarity of at least `least`
+    among all keys. What a stage resolves does not reach the next; each row tells its method and score, and the fuzzy ones
+    their margin over the second best (NULL without one)."""
     r = right.select(F.col(other).alias("__k"), F.col(other_id).alias("match_id"))
     l = left.select(id_, key)
     exact = top(l.join(r, F.col(key) == F.col("__k")), [id_], ["match_id"]).select(id_, "match_id", F.lit("exact").alias("method"), F.lit(1.0).alias("score"))
@@ -122,8 +152,25 @@ def staged_match(left: DataFrame, right: DataFrame, key: str, other: str, id_: s
     by_prefix = r.groupBy(cut("__k").alias("__p")).agg(F.count("*").alias("n"), F.min("match_id").alias("match_id")).filter("n = 1")
     near = open_.join(by_prefix, cut(key) == F.col("__p")).select(id_, "match_id", F.lit("prefix").alias("method"), F.lit(0.9).alias("score"))
     open_ = open_.join(near.select(id_), id_, "left_anti")
-    score = 1 - F.levenshtein(key, "__k") / F.greatest(F.char_length(key), F.char_length("__k"))
-    pairs = open_.join(r, F.substring(key, 1, 1) == F.substring("__k", 1, 1)).withColumn("score", score).filter(F.col("score") >= least)
-    fuzzy = top(pairs, [id_], [F.col("score").desc(), "match_id"]).select(id_, "match_id", F.lit("fuzzy").alias("method"), "score")
-    done = exact.unionByName(near).unionByName(fuzzy)
+    pairs = similar_pairs(open_, r, key, "__k", least)
+    fuzzy = runner_up(pairs, [id_], [F.col("score").desc(), "match_id"], "score").select(id_, "match_id", F.lit("fuzzy").alias("method"), "score", "margin")
+    done = exact.unionByName(near).unionByName(fuzzy, allowMissingColumns=True)
     return l.select(id_).join(done, id_, "left").withColumn("method", F.coalesce("method", F.lit("none")))
+
+
+def passed(rows: DataFrame, key: str, fraction: str, known: DataFrame) -> DataFrame:
+    """Rows as they are, if every key is known and every fraction lies in [0, 1]; raises otherwise."""
+    k = known.select(F.col(key).alias("__known")).distinct()
+    j = rows.join(k, F.col(key) == F.col("__known"), "left")
+    bad = F.when(F.col("__known").isNull(), F.raise_error(F.concat(F.lit("unknown name "), F.col(key).cast("string"))))
+    bad = bad.when(~F.coalesce(F.col(fraction).between(0, 1), F.lit(False)), F.raise_error(F.concat(F.lit("no fraction: "), F.col(key).cast("string"))))
+    return j.withColumn("__bad", bad).filter("__bad IS NULL").select(*rows.columns)
+
+
+def cross_check(matches: DataFrame, published: DataFrame, name: str, within_km: float) -> DataFrame:
+    """Matched places (name, lat, lon) against published ones of the same name: distance and whether they agree."""
+    from ..functions.scalars import haversine_km
+
+    other = published.select(name, F.col("lat").alias("__lat"), F.col("lon").alias("__lon"))
+    j = matches.filter("lat IS NOT NULL AND lon IS NOT NULL").join(other, name)
+    return j.withColumn("distance_km", haversine_km("lat", "lon", "__lat", "__lon")).withColumn("agrees", F.col("distance_km") <= within_km).drop("__lat", "__lon")

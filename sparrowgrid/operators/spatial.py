@@ -31,33 +31,42 @@ def snapped(points: DataFrame, reach: float) -> DataFrame:
     return components(points.select(F.col("id").alias("node")), near)
 
 
-def nearest(left: DataFrame, right: DataFrame, k: int, size: float, rings: int = 3) -> DataFrame:
-    """The k nearest points of right (id, x, y) for each of left: id_a, id_b, d, rank; ties to the smaller id. Cells are
-    searched ring by ring, and only points whose k-th neighbour may lie beyond the rings seen go on to the next width;
-    the last pass widens the cells until every point is settled."""
-    want, out, width = left, None, size
-    n = right.count()
-    for step in range(64):
+def nearest(left: DataFrame, right: DataFrame, k: int, size: float) -> DataFrame:
+    """The k nearest points of right (id, x, y) for each of left (all, if fewer): id_a, id_b, d, rank; ties to the smaller
+    id. Cells are searched to a width that doubles, and only points that have not met enough others go on to the next
+    width, until none is left. Points without coordinates (NULL or NaN) on either side take no part."""
+    from .graph import saved
+
+    def has(df: DataFrame) -> DataFrame:
+        return df.filter(~(F.isnull("x") | F.isnull("y") | F.isnan(F.col("x").cast("double")) | F.isnan(F.col("y").cast("double"))))
+
+    want, right, out, width = saved(has(left.toDF("id", "x", "y"))), has(right.toDF("id", "x", "y")), None, size
+    n = min(k, right.limit(k).count())
+    while n:
         found = within(want, right, width)
         ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("id_a").orderBy("d", "id_b"))).filter(F.col("rank") <= k)
-        full = ranked.groupBy("id_a").agg(F.count("*").alias("c")).filter(F.col("c") >= min(k, n)).select("id_a")
-        done = ranked.join(full, "id_a")
+        full = ranked.groupBy("id_a").agg(F.count("*").alias("c")).filter(F.col("c") >= n).select("id_a")
+        done = saved(ranked.join(full, "id_a"))
         out = done if out is None else out.unionByName(done)
-        want = want.join(full.withColumnRenamed("id_a", "id"), "id", "left_anti")
+        want = saved(want.join(done.select(F.col("id_a").alias("id")).distinct(), "id", "left_anti"))
         if want.isEmpty():
             break
-        width *= 2.0**rings
-    return out
+        width *= 2.0
+    return out if out is not None else within(want, right, size).withColumn("rank", F.lit(0)).limit(0)
 
 
-def in_polygon(points: DataFrame, polygons: DataFrame, size: float) -> DataFrame:
+def in_polygon(points: DataFrame, polygons: DataFrame, size: float, edge_width: float = 1e-9) -> DataFrame:
     """Inner join of points (id, x, y) with polygons (name, ring): bounding boxes meet in cells, then a
-    point is inside if an odd number of edges is crossed to its right."""
+    point is inside if an odd number of edges is crossed to its right. A point on an edge or a corner (no farther from it
+    than edge_width) is inside."""
     low = lambda c, f: f(F.transform("ring", lambda p: p[c]))
     edge = lambda p, i: F.struct(p["x"].alias("px"), p["y"].alias("py"), F.get("ring", F.pmod(i + 1, F.size("ring")))["x"].alias("qx"), F.get("ring", F.pmod(i + 1, F.size("ring")))["y"].alias("qy"))
-    box = polygons.select("name", F.transform("ring", edge).alias("edges"), *[F.floor(low(c, f) / size).alias(f"__{n}{c}") for c in ("x", "y") for n, f in (("lo", F.array_min), ("hi", F.array_max))])
+    box = polygons.select("name", F.transform("ring", edge).alias("edges"), *[F.floor((low(c, f) + sign * edge_width) / size).alias(f"__{n}{c}") for c in ("x", "y") for n, f, sign in (("lo", F.array_min, -1), ("hi", F.array_max, 1))])
     box = box.withColumn("__cx", F.explode(F.sequence("__lox", "__hix"))).withColumn("__cy", F.explode(F.sequence("__loy", "__hiy")))
     j = _cells(points, "x", "y", size, False).join(box, ["__cx", "__cy"])
     e = j.select("id", "name", "x", "y", F.explode("edges").alias("e")).select("id", "name", "x", "y", "e.*")
     crossed = F.expr("(py > y) <> (qy > y) AND x < px + (y - py) / nullif(qy - py, 0D) * (qx - px)")
-    return e.groupBy("id", "name").agg(F.count_if(crossed).alias("n")).filter("n % 2 = 1").select("id", "name")
+    along = F.expr("greatest(0D, least(1D, ((x - px) * (qx - px) + (y - py) * (qy - py)) / nullif(pow(qx - px, 2) + pow(qy - py, 2), 0D)))")
+    e = e.withColumn("t", F.coalesce(along, F.lit(0.0)))
+    on = F.expr("sqrt(pow(x - px - t * (qx - px), 2) + pow(y - py - t * (qy - py), 2))") <= edge_width
+    return e.groupBy("id", "name").agg(F.count_if(crossed).alias("n"), F.count_if(on).alias("on")).filter("n % 2 = 1 OR on > 0").select("id", "name")

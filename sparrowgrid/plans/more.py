@@ -103,9 +103,10 @@ def snapped_components(spark, sf):
     return g.crossJoin(p.agg(F.count("*").alias("t"))).select("size", "components", r(F.col("size") * F.col("components") / F.col("t"), 6).alias("share"))  # one row
 
 
-@query(f"""WITH {PTS} SELECT id, 'diamond' AS name FROM pts WHERE abs(x - 5.05) + abs(y - 4.85) < 2.95 UNION ALL SELECT id, 'box' FROM pts WHERE x > 1.05 AND x < 3.05 AND y > 1.05 AND y < 8.05""")
+@query(f"""WITH {PTS} SELECT id, 'diamond' AS name FROM pts WHERE abs(x - 5) + abs(y - 5) <= 3 + 1e-9 UNION ALL SELECT id, 'box' FROM pts WHERE x >= 1 - 1e-9 AND x <= 3 + 1e-9 AND y >= 1 - 1e-9 AND y <= 8 + 1e-9""")
 def point_in_polygon(spark, sf):
-    shapes = {"diamond": [(2.1, 4.85), (5.05, 1.9), (8.0, 4.85), (5.05, 7.8)], "box": [(1.05, 1.05), (3.05, 1.05), (3.05, 8.05), (1.05, 8.05)]}
+    """A point on an edge is inside."""
+    shapes = {"diamond": [(2.0, 5.0), (5.0, 2.0), (8.0, 5.0), (5.0, 8.0)], "box": [(1.0, 1.0), (3.0, 1.0), (3.0, 8.0), (1.0, 8.0)]}  # points lie on edges and corners of both
     polygons = spark.createDataFrame([(n, [{"x": x, "y": y} for x, y in s]) for n, s in shapes.items()], "name string, ring array<struct<x: double, y: double>>")
     return P.in_polygon(points(spark, sf), polygons, 1.0)
 
@@ -173,15 +174,11 @@ def edge_weightings(spark, sf):
     return pairs(spark, sf).select("a", "b", r(F.greatest(F.lit(0.0), 1 - w / 3e7), 6).alias("headroom"), r(w / 3e7, 6).alias("loading"), r(1 / w * 1e6, 6).alias("inverse"), r(q / F.sum(q).over(Window.partitionBy()), 6).alias("share"))
 
 
-@query("""WITH e AS (SELECT vec_id, label, embedding[1:8]::DOUBLE[] AS x FROM embeddings WHERE vec_id < 200), d AS (SELECT a.vec_id, a.label, b.label AS other, avg(sqrt(list_sum(list_transform(range(1, 9), lambda i: pow(a.x[i] - b.x[i], 2))))) AS m FROM e a JOIN e b ON a.vec_id <> b.vec_id GROUP BY 1, 2, 3),
-s AS (SELECT vec_id, min(m) FILTER (label = other) AS a, min(m) FILTER (label <> other) AS b FROM d GROUP BY 1) SELECT round(avg((b - a) / greatest(a, b)), 6) AS silhouette FROM s WHERE a IS NOT NULL""")
+@query("""WITH e AS (SELECT vec_id, label, embedding::DOUBLE[] AS x FROM embeddings), d AS (SELECT a.vec_id, a.label, b.label AS other, avg(list_distance(a.x, b.x)) AS m FROM e a JOIN e b ON a.vec_id <> b.vec_id GROUP BY 1, 2, 3),
+s AS (SELECT vec_id, min(m) FILTER (label = other) AS a, min(m) FILTER (label <> other) AS b FROM d GROUP BY 1) SELECT vec_id, round(CASE WHEN a IS NULL THEN 0 ELSE (b - a) / greatest(a, b) END, 6) AS s FROM s""")
 def silhouette(spark, sf):
-    """Over a stated set of 200 points: the index needs the distances of all its pairs."""
-    e = table(spark, sf, "embeddings").filter("vec_id < 200").select("vec_id", "label", F.slice(F.col("embedding").cast("array<double>"), 1, 8).alias("x"))
-    d = F.sqrt(F.aggregate(F.zip_with("x", "y", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v))
-    j = e.join(e.toDF("k", "other", "y"), F.col("vec_id") != F.col("k")).groupBy("vec_id", "label", "other").agg(F.avg(d).alias("m"))
-    s = j.groupBy("vec_id").agg(F.min(F.when(F.col("label") == F.col("other"), F.col("m"))).alias("a"), F.min(F.when(F.col("label") != F.col("other"), F.col("m"))).alias("b")).filter("a IS NOT NULL")
-    return s.agg(r(F.avg((F.col("b") - F.col("a")) / F.greatest("a", "b")), 6).alias("silhouette"))
+    e = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").cast("long").alias("label"), F.col("embedding").cast("array<double>").alias("x"))
+    return C.silhouette(e).select(F.col("id").alias("vec_id"), r("s", 6).alias("s"))
 
 
 @query(f"""WITH {HOURLY}, l AS (SELECT event_type, snapshot, ntile(3) OVER (PARTITION BY snapshot ORDER BY round(v, 6), event_type) AS label FROM hourly) SELECT event_type, count(*) FILTER (label <> was) AS changes, count(was) AS steps FROM (SELECT *, lag(label) OVER (PARTITION BY event_type ORDER BY snapshot) AS was FROM l) GROUP BY 1""")
@@ -218,7 +215,7 @@ def _similar(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def token_sort_ratio(spark, sf):
     """Best and second match of each name by the Indel ratio of sorted words, among all names."""
     n = table(spark, sf, "part").select(F.col("p_name").alias("name")).distinct().withColumn("ka", S.token_sort_key("name"))
-    j = n.join(n.toDF("best", "kb"), F.col("name") != F.col("best"))
+    j = R.every_pair(n, n.toDF("best", "kb")).filter("name <> best")
     scored = j.select("name", "best", "ka", "kb").mapInPandas(_similar, "name string, best string, score double")
     return R.runner_up(scored, ["name"], [F.desc("score"), "best"], "score")
 

@@ -410,3 +410,65 @@ def week_alignment(spark, sf):
     h = hourly(spark, sf).select(F.weekofyear("snapshot").cast("long").alias("run"), F.hour("snapshot").cast("long").alias("item"), "v").groupBy("run", "item").agg(F.avg("v").alias("v"))
     l = h.withColumn("label", (F.ntile(3).over(Window.partitionBy("run").orderBy("v", "item")) - 1).cast("long"))
     return C.aligned(l.select("run", "item", "label"), "run", "item", "label")
+
+
+ZONES = "l AS (SELECT n_nationkey AS n, n_regionkey AS label FROM nation)"
+
+
+@query(f"""WITH {SPARSE}, {ZONES} SELECT least(x.label, y.label) AS lo, greatest(x.label, y.label) AS hi, count(*) AS branches, round(sum(w), 2) AS w FROM pairs JOIN l x ON a = x.n JOIN l y ON b = y.n WHERE x.label <> y.label GROUP BY 1, 2""")
+def cluster_corridors(spark, sf):
+    return G.corridors(adj(spark, sf), nodes(spark, sf).withColumnRenamed("n_regionkey", "label")).select("lo", "hi", "branches", r("w", 2).alias("w"))
+
+
+@query(f"""WITH {SPARSE}, {ZONES}, d AS (SELECT printf('%d-%d', a, b) AS branch, x.label <> y.label AS is_cut, abs((x.label <> y.label)::INT - least(1, w / 3e7)) AS disagreement FROM pairs JOIN l x ON a = x.n JOIN l y ON b = y.n)
+SELECT branch, is_cut, round(disagreement, 6) AS disagreement, round(greatest(0, least(1, 1 - disagreement * disagreement * (3 - 2 * disagreement))), 6) AS agreement FROM d""")
+def cut_agreement(spark, sf):
+    """How well a clustering's cuts agree with the loadings, by the cubic 1 - 3 d^2 + 2 d^3."""
+    l = nodes(spark, sf).withColumnRenamed("n_regionkey", "label")
+    p = pairs(spark, sf).select(F.format_string("%d-%d", "a", "b").alias("branch"), "a", "b", (F.col("w") / 3e7).alias("loading"))
+    cut = p.join(l.toDF("a", "la"), "a").join(l.toDF("b", "lb"), "b").filter("la <> lb")
+    return C.cut_agreement(p.select("branch", "loading"), cut, (2.0, -3.0, 0.0, 1.0)).select("branch", "is_cut", r("disagreement", 6).alias("disagreement"), r("agreement", 6).alias("agreement"))
+
+
+@query("""WITH l AS (SELECT user_id % 20 AS x, date_trunc('day', ts) AS d, event_id % 4 AS l FROM events), n AS (SELECT x, l, count(*) AS n FROM l GROUP BY 1, 2) SELECT x, arg_max(l, (n, -l)) AS l, max(n) AS n FROM n GROUP BY 1""")
+def modal_zone(spark, sf):
+    e = table(spark, sf, "events").select((F.col("user_id") % 20).alias("x"), (F.col("event_id") % 4).alias("l"))
+    return C.modal_label(e, ["x"], "l")
+
+
+@query("""WITH RECURSIVE l AS (SELECT user_id % 20 AS x, date_trunc('day', ts) AS d, arg_max(event_type, (round(value, 4), event_id)) AS l FROM events GROUP BY 1, 2), s AS (SELECT a.x AS a, b.x AS b, count(*) / (SELECT count(DISTINCT d) FROM l)::DOUBLE AS share FROM l a JOIN l b ON a.d = b.d AND a.l = b.l AND a.x < b.x GROUP BY 1, 2),
+e AS (SELECT a, b FROM s WHERE share >= 0.3 UNION SELECT b, a FROM s WHERE share >= 0.3), reach(node, seen) AS (SELECT DISTINCT x, x FROM l UNION SELECT node, e.b FROM reach JOIN e ON seen = e.a) SELECT node, min(seen) AS component FROM reach GROUP BY 1""")
+def consensus_zones(spark, sf):
+    e = table(spark, sf, "events")
+    l = e.groupBy((F.col("user_id") % 20).alias("x"), F.date_trunc("day", "ts").alias("d")).agg(F.max_by("event_type", F.struct(F.round("value", 4), "event_id")).alias("l"))
+    return C.consensus(C.coassociation(l, "x", "d", "l"), l.select(F.col("x").alias("node")).distinct(), 0.3)
+
+
+@rows_only
+def bisected_zones(spark, sf):
+    return C.recursive_bisection(adj(spark, sf), 4)
+
+
+@rows_only
+def peeled_zones(spark, sf):
+    return C.conductance_peel(adj(spark, sf), 4)
+
+
+@rows_only
+def cheeger_zones(spark, sf):
+    return C.cheeger_cuts(adj(spark, sf), 4)
+
+
+@rows_only
+def cut_tree_zones(spark, sf):
+    return G.cut_tree_clusters(G.cut_tree(adj(spark, sf)), 4)
+
+
+@rows_only
+def walk_zones(spark, sf):
+    return C.spectral_zones(adj(spark, sf), 4, "walk")
+
+
+@rows_only
+def lowest_eigenpairs(spark, sf):
+    return G.eigenpairs(adj(spark, sf), 3)

@@ -131,12 +131,12 @@ def json_map_expand(spark, sf):
     return R.expand_map(table(spark, sf, "events"), "props", {"k": "int", "event_type": "string"}).select("event_id", "k", "event_type")
 
 
-@query("""WITH a AS (SELECT c_nationkey AS k, round(sum(c_acctbal), 2) AS v FROM customer WHERE c_mktsegment = 'HOUSEHOLD' AND c_nationkey < 20 GROUP BY 1),
-b AS (SELECT s_nationkey AS k, round(sum(s_acctbal), 2) AS v FROM supplier WHERE s_nationkey > 4 GROUP BY 1)
+@query("""WITH a AS (SELECT c_nationkey AS k, round(sum(c_acctbal), 2) AS v FROM customer WHERE c_mktsegment = 'HOUSEHOLD' AND c_acctbal > 8000 GROUP BY 1),
+b AS (SELECT s_nationkey AS k, round(sum(s_acctbal), 2) AS v FROM supplier WHERE s_acctbal > 5000 GROUP BY 1)
 SELECT coalesce(a.k, b.k) AS k, a.v AS value_a, b.v AS value_b, round(a.v - b.v, 2) AS diff, CASE WHEN b.v IS NULL THEN 'left' WHEN a.v IS NULL THEN 'right' ELSE 'both' END AS side FROM a FULL JOIN b ON a.k = b.k""")
 def outer_compare(spark, sf):
-    a = table(spark, sf, "customer").filter("c_mktsegment = 'HOUSEHOLD' AND c_nationkey < 20").groupBy(F.col("c_nationkey").alias("k")).agg(F.round(F.sum("c_acctbal"), 2).alias("v"))
-    b = table(spark, sf, "supplier").filter("s_nationkey > 4").groupBy(F.col("s_nationkey").alias("k")).agg(F.round(F.sum("s_acctbal"), 2).alias("v"))
+    a = table(spark, sf, "customer").filter("c_mktsegment = 'HOUSEHOLD' AND c_acctbal > 8000").groupBy(F.col("c_nationkey").alias("k")).agg(F.round(F.sum("c_acctbal"), 2).alias("v"))
+    b = table(spark, sf, "supplier").filter("s_acctbal > 5000").groupBy(F.col("s_nationkey").alias("k")).agg(F.round(F.sum("s_acctbal"), 2).alias("v"))
     return R.outer_compare(a, b, "k", "v").withColumn("diff", r("diff", 2))
 
 
@@ -206,12 +206,12 @@ def prefix_unique(spark, sf):
     return n.groupBy(F.substring("p_name", 1, 6).alias("stem")).agg(F.count("*").alias("n"), F.min("p_name").alias("name")).filter("n = 1").drop("n")
 
 
-@query("""WITH n AS (SELECT DISTINCT p_name FROM part), j AS (SELECT a.p_name, b.p_name AS best, levenshtein(a.p_name, b.p_name) AS d FROM n a JOIN n b ON a.p_name <> b.p_name AND left(a.p_name, 1) = left(b.p_name, 1)),
+@query("""WITH n AS (SELECT DISTINCT p_name FROM part), j AS (SELECT a.p_name, b.p_name AS best, levenshtein(a.p_name, b.p_name) AS d FROM n a JOIN n b ON a.p_name <> b.p_name),
 k AS (SELECT *, lead(d) OVER w AS runner_up, row_number() OVER w AS i FROM j WINDOW w AS (PARTITION BY p_name ORDER BY d, best))
 SELECT p_name, best, d::INT AS d, runner_up::INT AS runner_up, (d - runner_up)::INT AS margin FROM k WHERE i = 1""")
 def levenshtein_top1_margin(spark, sf):
     n = table(spark, sf, "part").select("p_name").distinct()
-    j = n.join(n.withColumnRenamed("p_name", "best"), (F.col("p_name") != F.col("best")) & (F.substring("p_name", 1, 1) == F.substring("best", 1, 1)))
+    j = R.every_pair(n, n.withColumnRenamed("p_name", "best")).filter("p_name <> best")
     return R.runner_up(j.withColumn("d", F.levenshtein("p_name", "best")), ["p_name"], ["d", "best"], "d")
 
 
@@ -224,14 +224,14 @@ def token_sort_match(spark, sf):
 e AS (SELECT name, min(id) AS match_id, 'exact' AS method, 1.0::DOUBLE AS score FROM l JOIN rr ON name = k GROUP BY 1),
 p AS (SELECT substr(k, 1, 5) AS p, min(id) AS match_id FROM rr GROUP BY 1 HAVING count(*) = 1),
 n AS (SELECT name, match_id, 'prefix' AS method, 0.9::DOUBLE AS score FROM l JOIN p ON substr(name, 1, 5) = p WHERE name NOT IN (SELECT name FROM e)),
-f AS (SELECT name, id AS match_id, 1 - levenshtein(name, k)::DOUBLE / greatest(length(name), length(k)) AS score FROM l JOIN rr ON left(name, 1) = left(k, 1) WHERE name NOT IN (SELECT name FROM e) AND name NOT IN (SELECT name FROM n)),
+f AS (SELECT name, id AS match_id, 1 - levenshtein(name, k)::DOUBLE / greatest(length(name), length(k)) AS score FROM l JOIN rr ON true WHERE name NOT IN (SELECT name FROM e) AND name NOT IN (SELECT name FROM n)),
 g AS (SELECT name, match_id, 'fuzzy' AS method, score FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY score DESC, match_id) AS i FROM f WHERE score >= 0.6) WHERE i = 1)
 SELECT l.name, match_id, coalesce(method, 'none') AS method, round(score, 4) AS score FROM l LEFT JOIN (SELECT * FROM e UNION ALL SELECT * FROM n UNION ALL SELECT * FROM g) m ON l.name = m.name""")
 def staged_resolution(spark, sf):
     p = table(spark, sf, "part")
     left = p.filter("p_size < 10").select(F.col("p_name").alias("name")).distinct().withColumn("key", F.col("name"))
     right = p.filter("p_size > 30").groupBy(F.when(F.col("p_size") > 40, F.col("p_name")).otherwise(F.substring("p_name", 1, 8)).alias("k")).agg(F.min("p_partkey").alias("id"))
-    return R.staged_match(left, right, "key", "k", "name", "id", 5, 0.6).withColumn("score", r("score"))
+    return R.staged_match(left, right, "key", "k", "name", "id", 5, 0.6).select("name", "match_id", "method", r("score").alias("score"))
 
 
 @query("""WITH g AS (SELECT user_id, list_sort(list_distinct(list(event_type) FILTER (value > 150))) AS a, list_sort(list_distinct(list(event_type) FILTER (value < 15))) AS b FROM events GROUP BY 1)
@@ -291,9 +291,9 @@ def intersect_keys(spark, sf):
     return table(spark, sf, "customer").filter("c_acctbal > 9000").select(F.col("c_nationkey").alias("k")).intersect(table(spark, sf, "supplier").select("s_nationkey"))
 
 
-@query("SELECT p_partkey AS k FROM part EXCEPT SELECT l_partkey FROM lineitem WHERE l_quantity > 30")
+@query("SELECT p_partkey AS k FROM part EXCEPT SELECT l_partkey FROM lineitem WHERE l_quantity > 48")
 def except_keys(spark, sf):
-    return table(spark, sf, "part").select(F.col("p_partkey").alias("k")).exceptAll(table(spark, sf, "lineitem").filter("l_quantity > 30").select("l_partkey").distinct())
+    return table(spark, sf, "part").select(F.col("p_partkey").alias("k")).exceptAll(table(spark, sf, "lineitem").filter("l_quantity > 48").select("l_partkey").distinct())
 
 
 @query("""SELECT n_nationkey, coalesce(n, 0) AS n, round(coalesce(v, 0), 2) AS v FROM nation LEFT JOIN (SELECT s_nationkey, count(*) AS n, sum(s_acctbal) AS v FROM supplier WHERE s_acctbal > 8000 GROUP BY 1) ON n_nationkey = s_nationkey""")
@@ -353,3 +353,36 @@ def group_ordered_lists(spark, sf):
 @query("""SELECT upper(trim(regexp_replace(s_name, '^Supplier#0*', ''))) AS raw, count(*) AS n FROM supplier GROUP BY 1""")
 def station_keys(spark, sf):
     return table(spark, sf, "supplier").groupBy(F.upper(F.trim(F.regexp_replace("s_name", "^Supplier#0*", ""))).alias("raw")).agg(F.count("*").alias("n"))
+
+
+@query("""WITH l AS (SELECT p_partkey AS id, p_name, p_brand FROM part WHERE p_size = 1), rr AS (SELECT p_partkey AS match_id, p_name AS k, p_brand AS brand FROM part WHERE p_size = 50),
+s AS (SELECT *, 1 - levenshtein(p_name, k)::DOUBLE / greatest(length(p_name), length(k)) AS score FROM l JOIN rr ON true), b AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, match_id) AS i FROM s WHERE score >= 0.4)
+SELECT id, match_id, round(score, 4) AS score, p_brand = brand AS agrees, score >= 0.95 OR score >= 0.4 AND p_brand = brand AS accepted FROM b WHERE i = 1""")
+def corroborated_match(spark, sf):
+    """The best of all names, accepted by its score or by a lower one with the same brand."""
+    p = table(spark, sf, "part")
+    left = p.filter("p_size = 1").select(F.col("p_partkey").alias("id"), "p_name", "p_brand")
+    right = p.filter("p_size = 50").select(F.col("p_partkey").alias("match_id"), F.col("p_name").alias("k"), F.col("p_brand").alias("brand"))
+    best = R.top(R.similar_pairs(left, right, "p_name", "k", 0.4), ["id"], [F.desc("score"), "match_id"])
+    return R.corroborated(best, F.col("p_brand") == F.col("brand"), 0.95, 0.4).select("id", "match_id", r("score").alias("score"), "agrees", "accepted")
+
+
+@query("""WITH e AS (SELECT event_type, event_id % 5 AS m, value / (SELECT max(value) FROM events) AS s FROM events) SELECT m AS method, count(*) AS n, round(avg(s), 6) AS mean_score, round(min(s), 6) AS least_score, round(count(*) / (SELECT count(*) FROM e)::DOUBLE, 6) AS share FROM e GROUP BY 1""")
+def match_method_weights(spark, sf):
+    e = table(spark, sf, "events").select((F.col("event_id") % 5).alias("method"), (F.col("value") / F.max("value").over(Window.partitionBy())).alias("score"))
+    return R.method_weights(e).select("method", "n", r("mean_score", 6).alias("mean_score"), r("least_score", 6).alias("least_score"), r("share", 6).alias("share"))
+
+
+@query("""SELECT event_type, round(sum(CASE WHEN v = 25 THEN 0.5 WHEN v >= 0 AND v < 4 THEN 0 WHEN v >= 4 AND v < 12 THEN (v - 4) / 8 WHEN v >= 12 AND v < 25 THEN 1 - (v - 12) * 0.5 / 13 ELSE 0 END), 5) AS total FROM (SELECT event_type, value / 5 AS v FROM events) GROUP BY 1""")
+def interpolated_curve(spark, sf):
+    """A curve given by points; 0 outside them."""
+    y = S.interpolated("v", [(0.0, 0.0), (4.0, 0.0), (12.0, 1.0), (25.0, 0.5)])
+    return table(spark, sf, "events").select("event_type", (F.col("value") / 5).alias("v")).groupBy("event_type").agg(r(F.sum(y), 5).alias("total"))
+
+
+@query(f"""WITH {PLACES}, m AS (SELECT n_name AS name, lat, lon FROM nation JOIN place ON n_nationkey = k), p AS (SELECT n_name AS name, lat + n_nationkey / 100.0::DOUBLE AS lat2, lon AS lon2 FROM nation JOIN place ON n_nationkey = k WHERE n_nationkey % 3 <> 0)
+SELECT name, round(2 * 6371.0088 * asin(sqrt(pow(sin(radians(lat2 - lat) / 2), 2) + cos(radians(lat)) * cos(radians(lat2)) * pow(sin(radians(lon2 - lon) / 2), 2))), 4) AS distance_km, 2 * 6371.0088 * asin(sqrt(pow(sin(radians(lat2 - lat) / 2), 2) + cos(radians(lat)) * cos(radians(lat2)) * pow(sin(radians(lon2 - lon) / 2), 2))) <= 10 AS agrees FROM m JOIN p USING (name)""")
+def cross_checked_places(spark, sf):
+    n = table(spark, sf, "nation").join(places(spark, sf), F.col("n_nationkey") == F.col("k"))
+    published = n.filter("n_nationkey % 3 <> 0").select(F.col("n_name").alias("name"), (F.col("lat") + F.col("n_nationkey") / 100.0).alias("lat"), "lon")
+    return R.cross_check(n.select(F.col("n_name").alias("name"), "lat", "lon"), published, "name", 10.0).select("name", r("distance_km").alias("distance_km"), "agrees")

@@ -264,11 +264,11 @@ def null_test_pvalue(spark, sf):
     return g.select("label", "n", "observed", "null_mean", r((F.col("b") + 1) / (DRAWS + 1.0), 6).alias("p_rank"), r((DRAWS - F.col("b")) / (DRAWS + 1.0), 6).alias("p_above"))
 
 
-@query(f"""WITH a AS (SELECT l_orderkey AS k, sum(l_quantity) AS one, sum(l_quantity * (1 - l_discount)) AS two FROM lineitem WHERE l_orderkey < 400 GROUP BY 1), d AS (SELECT unnest(range({DRAWS})) AS d), n AS (SELECT *, row_number() OVER (ORDER BY k) - 1 AS i, count(*) OVER () AS c FROM a),
+@query(f"""WITH a AS (SELECT l_orderkey AS k, sum(l_quantity) AS one, sum(l_quantity * (1 - l_discount)) AS two FROM lineitem GROUP BY 1), d AS (SELECT unnest(range({DRAWS})) AS d), n AS (SELECT *, row_number() OVER (ORDER BY k) - 1 AS i, count(*) OVER () AS c FROM a),
 pick AS (SELECT d, i, (('0x' || substr(md5(d || '/' || i), 1, 8))::BIGINT % c) AS j FROM n, d), s AS (SELECT d, 100 * (1 - sum(two) / sum(one)) AS saving FROM pick JOIN n ON pick.j = n.i GROUP BY 1)
 SELECT round((SELECT 100 * (1 - sum(two) / sum(one)) FROM a), 6) AS saving, round(quantile_cont(saving, 0.025), 6) AS low, round(quantile_cont(saving, 0.975), 6) AS high, (SELECT count(*) FROM a WHERE two < one) AS wins, (SELECT round(median(one - two), 6) FROM a) AS median_gain FROM s""")
 def paired_saving_ci(spark, sf):
-    a = table(spark, sf, "lineitem").filter("l_orderkey < 400").groupBy(F.col("l_orderkey").alias("k")).agg(F.sum("l_quantity").alias("one"), F.sum(F.col("l_quantity") * (1 - F.col("l_discount"))).alias("two"))
+    a = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("k")).agg(F.sum("l_quantity").alias("one"), F.sum(F.col("l_quantity") * (1 - F.col("l_discount"))).alias("two"))
     n = a.withColumn("i", F.row_number().over(Window.orderBy("k")) - 1).withColumn("c", F.count("*").over(Window.partitionBy()))
     pick = n.select("c", "i", F.explode(F.sequence(F.lit(0), F.lit(DRAWS - 1))).alias("d")).select("d", (F.conv(F.substring(F.md5(F.concat_ws("/", "d", "i")), 1, 8), 16, 10).cast("long") % F.col("c")).alias("j"))
     s = pick.join(n.select("i", "one", "two"), F.col("j") == F.col("i")).groupBy("d").agg((100 * (1 - F.sum("two") / F.sum("one"))).alias("s"))
