@@ -5,11 +5,14 @@ line of at least `MIN_CHARS` code points also goes if one of that length within
 stands earlier. Lines are judged on the input, not on what is left of it, so the result does not depend on any order
 of work.
 
-A line of n code points is cut into EDITS + 1 segments. Two lines within EDITS edits share a segment, at places
-that differ by few: each line is indexed by its own segments and probes, for every length from n - EDITS to n,
-the substrings that can match one (the multi-match-aware windows of the segment-partition join). Keys that two
-different lines have in common are kept, their lines fetched, and pairs are tested: counts of twelve letters
-first (a bound on the distance, inside the join), then the banded bit-parallel edit distance.
+A line has EDITS + 1 segments of one width, which goes by its length in blocks of `BLOCK` code points; the first half of
+them are counted from its start, the others from its end. Of two lines within EDITS edits, some segment i is intact with
+i edits at most before it and EDITS - i at most after it (the first at which the edits so far are no more than the
+segments), so the one line's segment stands in the other at a place that differs by no more than that. Each line is
+indexed by its own segments and probes with the substrings at those places; a line at the start of a block does so for
+the block before as well, as its partner may be that much shorter. Keys that two
+different lines have in common are kept, their lines fetched, and pairs are tested: lengths and counts of twelve letters
+first (bounds on the distance, inside the join), then the banded bit-parallel edit distance.
 
 Only whether a line has an earlier neighbour matters. Every member of a key is first tested against the key's
 earliest lines, which takes as many pairs as members; only lines that this leaves open meet the others.
@@ -24,6 +27,7 @@ from .common import stash, unstash
 
 MIN_CHARS = 24
 EDITS = 2
+BLOCK = 8  # code points; lines whose lengths lie in one block have segments of one width
 NULL_ID = -(1 << 63)
 LETTERS = "etaonirshdlu"  # twelve frequent letters
 BROADCAST_KEYS = 100_000  # keys of 8 bytes that may be sent to every executor
@@ -33,17 +37,16 @@ HOT = 10_000  # a line with more than this part of all repeats is hot; there are
 def segment_keys(lines: DataFrame, edits: int = EDITS) -> DataFrame:
     """h1, h2, side, k from h1, h2, line, n: side 0 is indexed and probes, 1 only probes.
 
-    Each line meets a constant list of windows (shorter by, segment, shift), and one small compiled expression works
-    out the window's place: of n code points the last n % parts segments are one longer than n div parts."""
-    parts, windows = edits + 1, []
-    for less in range(edits + 1):
-        for i in range(edits + 1):
-            for shift in range(max(-i, less - (edits - i)), min(i, less + (edits - i)) + 1):
-                windows.append(f"struct({int(less > 0 or shift != 0)} AS side, {less} AS less, {i} AS i, {shift} AS shift)")
-    d = lines.withColumn("x", F.explode(F.expr(f"array({', '.join(windows)})"))).select("h1", "h2", "line", "n", "x.*").withColumn("m", F.expr("n - less"))
-    d = d.withColumn("at", F.expr(f"(m div {parts}) * i + greatest(0, m % {parts} - ({parts} - i)) + shift")).withColumn("size", F.expr(f"m div {parts} + if(i >= {parts} - m % {parts}, 1, 0)"))
-    d = d.filter("at >= 0 AND at + size <= n")
-    return d.select("h1", "h2", "side", F.expr("xxhash64(m, i, substring(line, cast(at + 1 AS int), cast(size AS int)))").alias("k"))
+    Each line meets a constant list of windows (blocks back, segment, shift), and one small compiled expression works out
+    the window's place."""
+    places = [(i, shift) for i in range(edits + 1) for shift in range(-min(i, edits - i), min(i, edits - i) + 1)]
+    listed = lambda back: [f"struct({int(shift != 0)} AS side, {k} AS back, {i} AS i, {shift} AS shift)" for k in back for i, shift in places]
+    backs = -(-edits // BLOCK)  # blocks that a partner may lie before this one's
+    windows = F.expr(f"if(n % {BLOCK} < {edits % BLOCK or BLOCK}, array({', '.join(listed(range(backs + 1)))}), array({', '.join(listed(range(backs)))}))")
+    d = lines.withColumn("x", F.explode(windows)).select("h1", "h2", "line", "n", "x.*")
+    d = d.withColumn("w", F.expr(f"(cast(n / {BLOCK} AS int) - back) * {BLOCK}")).filter("w >= 0").withColumn("w", F.expr(f"cast(w / {edits + 1} AS int)"))
+    d = d.withColumn("at", F.expr(f"if(2 * i <= {edits}, i * w, n - ({edits + 1} - i) * w) + shift")).filter("at >= 0 AND at + w <= n")
+    return d.select("h1", "h2", "side", F.expr("xxhash64(w, i, substring(line, at + 1, w))").alias("k"))
 
 
 def edit_distance_within(a: Column, b: Column, edits: int = EDITS) -> Column:
@@ -127,8 +130,8 @@ def _near(lines: DataFrame, edits: int) -> DataFrame:
     who = members.select("h1", "h2").distinct()
     who = F.broadcast(who) if who.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS else who
     known = lines.join(who, ["h1", "h2"], "left_semi").groupBy("h1", "h2").agg(F.min(F.struct("id", "th", "no")).alias("at"), F.first("line").alias("line"))
-    known = stash(known.select("h1", "h2", "at", "line", _letters("line").alias("bag")), "line-texts")
-    m = members.join(known.select("h1", "h2", "at", "bag"), ["h1", "h2"]).select("k", "side", F.struct("at", "h1", "h2", "bag").alias("me"))
+    known = stash(known.select("h1", "h2", "at", "line", F.char_length("line").alias("n"), _letters("line").alias("bag")), "line-texts")
+    m = members.join(known.select("h1", "h2", "at", "n", "bag"), ["h1", "h2"]).select("k", "side", F.struct("at", "h1", "h2", "n", "bag").alias("me"))
     m = stash(m, "line-places")
     unstash(members)
 
@@ -136,23 +139,27 @@ def _near(lines: DataFrame, edits: int) -> DataFrame:
         """(early, late) structs -> (h1, h2) of the late lines of those within the edits."""
         p = pairs.select(F.col("early.h1").alias("e1"), F.col("early.h2").alias("e2"), F.col("late.h1").alias("h1"), F.col("late.h2").alias("h2")).distinct()
         chars = lambda c: F.filter(F.split(c, ""), lambda x: x != "")
-        texts = known.select("h1", "h2", chars("line").alias("chars"))  # below the join, so that it is worked out once
-        p = p.join(texts, ["h1", "h2"]).join(texts.select(F.col("h1").alias("e1"), F.col("h2").alias("e2"), F.col("chars").alias("others")), ["e1", "e2"])
-        return p.filter(edit_distance_within(F.col("others"), F.col("chars"), edits)).select("h1", "h2").distinct()
+        texts = known.select("h1", "h2", "line")
+        p = p.join(texts, ["h1", "h2"]).join(texts.select(F.col("h1").alias("e1"), F.col("h2").alias("e2"), F.col("line").alias("other")), ["e1", "e2"])
+        # written, so that the characters of a line are worked out once and only for lines of a pair
+        p = stash(p.select("h1", "h2", chars("line").alias("chars"), chars("other").alias("others")), "line-pairs")
+        out = stash(p.filter(edit_distance_within(F.col("others"), F.col("chars"), edits)).select("h1", "h2").distinct(), "line-near")
+        unstash(p)
+        return out
 
     def allowed(early: str, late: str) -> Column:
-        return (F.col(f"{early}.at") < F.col(f"{late}.at")) & (_apart(f"{early}.bag", f"{late}.bag") <= 2 * edits)
+        return (F.col(f"{early}.at") < F.col(f"{late}.at")) & (F.abs(F.col(f"{early}.n") - F.col(f"{late}.n")) <= edits) & (_apart(f"{early}.bag", f"{late}.bag") <= 2 * edits)
 
     # the earliest line of a key, and the earliest that is indexed: one pair for each member
     first = m.groupBy("k").agg(F.min("me").alias("any"), F.min(F.when(F.col("side") == 0, F.col("me"))).alias("own"))
     star = m.join(first, "k").select("me", F.when(F.col("side") == 0, F.col("any")).otherwise(F.col("own")).alias("early"))
     star = star.filter("early IS NOT NULL").filter(allowed("early", "me"))
-    done = stash(tested(star.select("early", F.col("me").alias("late"))), "line-near")
+    done = tested(star.select("early", F.col("me").alias("late")))
     # lines still open meet every earlier member: pairs of an indexed and any member
     gone = done.select(F.col("h1").alias("g1"), F.col("h2").alias("g2"))
     left = m.select("k", "side", F.col("me").alias("late")).join(gone, F.expr("late.h1 = g1 AND late.h2 = g2"), "left_anti")
     rest = left.alias("l").join(m.select("k", F.col("side").alias("side2"), F.col("me").alias("early")).alias("e"), (F.col("l.k") == F.col("e.k")) & ((F.col("side") == 0) | (F.col("side2") == 0)) & allowed("early", "late"))
-    more = stash(tested(rest.select("early", "late")), "line-near")
+    more = tested(rest.select("early", "late"))
     unstash(m)
     unstash(known)
     return done.union(more)

@@ -121,6 +121,25 @@ def test_segment_join_and_edit_distance(spark):
         assert [(r["a"], r["b"]) for r in d.collect() if r["near"] != (r["d"] <= edits)] == []
 
 
+@pytest.mark.parametrize("edits", [1, 2, 3])
+def test_lines_within_the_edits_share_a_key(spark, edits):
+    rng = random.Random(edits)
+    rows = []
+    for p in range(400):
+        a = "".join(rng.choices("abcdé", k=rng.randrange(24, 60)))
+        b = list(a)
+        for _ in range(edits):
+            i = rng.randrange(len(b))
+            b[i : i + rng.randrange(2)] = rng.choice(["", "x", "y"])
+        rows += [(p, 0, a, len(a)), (p, 1, "".join(b), len(b))]
+    d = spark.createDataFrame(rows, "h1 long, h2 long, line string, n int").filter("n >= 24")
+    k = lines.segment_keys(d, edits)
+    j = k.filter("h2 = 0").alias("l").join(k.filter("h2 = 1").alias("r"), F.expr("l.h1 = r.h1 AND l.k = r.k AND (l.side = 0 OR r.side = 0)"))
+    met = {r[0] for r in j.select("l.h1").distinct().collect()}
+    both = {r[0] for r in d.groupBy("h1").count().filter("count = 2").collect()}
+    assert both - met == set() and len(both) > 300
+
+
 def test_dedup_lines_brute_force(spark):
     rng = random.Random(4)
     say = lambda n: "".join(rng.choices("abcdefgh ", k=n))
