@@ -49,3 +49,15 @@ def running_totals(events: DataFrame) -> DataFrame:
         yield pd.DataFrame({"user_id": [key[0]], "n": [n], "total": [total]})
 
     return events.select("user_id", "value").groupBy("user_id").applyInPandasWithState(step, "user_id long, n long, total double", "n long, total double", "update", GroupStateTimeout.NoTimeout)
+
+
+def daily(events: DataFrame, by: tuple = ("event_type",)) -> DataFrame:
+    """Half-open day windows: start, by, n, mean."""
+    return windowed(events, "1 day", by)
+
+
+def to_day_files(events: DataFrame, folder: str, checkpoint: str):
+    """Starts a query that adds events to a folder with one partition for each day (day=YYYY-MM-DD) and ends when it has
+    read what is there. Started again with the same checkpoint it goes on where it stopped, without rows twice."""
+    d = events.withColumn("day", F.to_date("ts"))
+    return d.writeStream.format("parquet").partitionBy("day").option("path", folder).option("checkpointLocation", checkpoint).trigger(availableNow=True).outputMode("append").start()

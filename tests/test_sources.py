@@ -1,5 +1,8 @@
 """Readers on small files of their own."""
 
+import hashlib
+import struct
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -130,3 +133,96 @@ def test_volts_and_curves(spark):
     assert got[0.0] == got[2.9] == got[25.0] == 0 and got[3.0] == 0 and 0 < got[8.0] < 1 and got[12.0] == got[24.9] == 1 and got[None] is None
     clip = spark.createDataFrame([(None,), (-1.0,), (2.0,)], "x double").select(scalars.clip("x", 0.0, 1.0).alias("x"))
     assert [r["x"] for r in clip.collect()] == [None, 0.0, 1.0]
+
+
+def workbook(sheets):
+    """A small .xlsx, made by hand: shared strings, numbers, an inline string, gaps."""
+    import io
+    import zipfile
+
+    main = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+    strings, out = [], io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        for k, rows in enumerate(sheets.values(), 1):
+            cells = ""
+            for r, row in enumerate(rows, 1):
+                cells += f'<row r="{r}">'
+                for c, v in enumerate(row):
+                    place = f"{chr(65 + c)}{r}"
+                    if isinstance(v, str):
+                        strings.append(v)
+                        cells += f'<c r="{place}" t="s"><v>{len(strings) - 1}</v></c>'
+                    elif v is not None:
+                        cells += f'<c r="{place}"><v>{v}</v></c>'
+                cells += "</row>"
+            z.writestr(f"xl/worksheets/sheet{k}.xml", f"<worksheet {main}><sheetData>{cells}</sheetData></worksheet>")
+        z.writestr("xl/sharedStrings.xml", f"<sst {main}>" + "".join(f"<si><r><t>{s[:1]}</t></r><r><t>{s[1:]}</t></r></si>" for s in strings) + "</sst>")
+        rel = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+        z.writestr("xl/workbook.xml", f'<workbook {main} xmlns:r="{rel}"><sheets>' + "".join(f'<sheet name="{n}" sheetId="{k}" r:id="rId{k}"/>' for k, n in enumerate(sheets, 1)) + "</sheets></workbook>")
+        z.writestr("xl/_rels/workbook.xml.rels", "<Relationships>" + "".join(f'<Relationship Id="rId{k}" Target="worksheets/sheet{k}.xml"/>' for k in range(1, len(sheets) + 1)) + "</Relationships>")
+    return out.getvalue()
+
+
+def test_workbooks(spark, tmp_path):
+    (tmp_path / "a.xlsx").write_bytes(workbook({"Wind": [["title"], ["Hour", "MW", "note"], [1, 2.5, "x"], [2, "n/a", None], [None, None, None], [3, 7]], "Other": [["v"], [9]]}))
+    cells = tables.read_workbooks(spark, f"file://{tmp_path}/*.xlsx")
+    got = tables.sheet_table(cells.filter("sheet = 'Wind'"), 2, {"Hour": "int", "MW": "double", "note": "string"}).orderBy("row")
+    assert [tuple(r)[2:] for r in got.collect()] == [(3, 1, 2.5, "x"), (4, 2, None, None), (6, 3, 7.0, None)]
+    assert [r["value"] for r in cells.filter("sheet = 'Other'").orderBy("row").collect()] == ["v", "9"]
+
+
+def test_layers_round_trip(spark, tmp_path):
+    point = lambda x, y: b"\x01\x01\x00\x00\x00" + struct.pack("<dd", x, y)
+    rows = [(1, point(-6.2, 53.3), {"name": "A", "kv": "110"}), (2, point(-8.0, 52.0), {"name": "B"})]
+    (tmp_path / "n.gpkg").write_bytes(tables.layer_file(rows, "stations"))
+    got = tables.read_layers(spark, f"file://{tmp_path}/n.gpkg", "stations").orderBy("fid").collect()
+    assert [(r["fid"], bytes(r["wkb"]), r["attributes"]) for r in got] == [(1, rows[0][1], {"name": "A", "kv": "110"}), (2, rows[1][1], {"name": "B", "kv": None})]
+
+
+def test_verified_files(spark, tmp_path):
+    (tmp_path / "x.bin").write_bytes(b"abc")
+    good = {"x.bin": hashlib.md5(b"abc").hexdigest().upper()}
+    assert [(r["name"], bytes(r["content"])) for r in tables.verified(spark, f"file://{tmp_path}/*.bin", good).collect()] == [("x.bin", b"abc")]
+    for bad in ({"x.bin": "0" * 32}, good | {"y.bin": "0" * 32}):
+        with pytest.raises(Exception, match="checksum"):
+            tables.verified(spark, f"file://{tmp_path}/*.bin", bad).collect()
+
+
+def test_counted_pages_and_resume(spark):
+    class Counted(tables.PagedSource):
+        count = staticmethod(lambda: 25)
+        fetch = staticmethod(lambda page: ((i,) for i in range(page * 10, min(25, page * 10 + 10))))
+
+        @classmethod
+        def name(cls):
+            return "counted"
+
+    spark.dataSource.register(Counted)
+    read = lambda **o: sorted(r["i"] for r in spark.read.format("counted").schema("i int").options(page_rows=10, **o).load().collect())
+    assert read() == list(range(25)) and read(first=2) == list(range(20, 25))
+
+
+def test_missing_days(spark, tmp_path):
+    assert tables.missing_days(spark, f"file://{tmp_path}/none", "2024-02-27", "2024-03-01").count() == 4
+    for d in ("2024-02-28", "2024-03-01"):
+        (tmp_path / f"day={d}").mkdir()
+    assert [str(r["day"]) for r in tables.missing_days(spark, f"file://{tmp_path}", "2024-02-27", "2024-03-01").orderBy("day").collect()] == ["2024-02-27", "2024-02-29"]
+
+
+def test_matrix_payload_and_printed_tables(spark, tmp_path):
+    long = spark.createDataFrame([("a", 2, 5.0), ("a", 1, 3.0), ("b", 2, 7.0)], "bus string, hour int, mw double")
+    got = {r["bus"]: (r["columns"], r["values"]) for r in tables.matrix_rows(long, "bus", "hour", "mw").collect()}
+    assert got == {"a": ([1, 2], [3.0, 5.0]), "b": ([1, 2], [0.0, 7.0])}
+    d = spark.createDataFrame([(1, [1, None, 2, None, None], None), (2, [None], "x")], "id int, v array<int>, s string")
+    tables.payload(d, f"file://{tmp_path}/p")
+    lines = sorted(x for f in (tmp_path / "p").glob("part-*") for x in f.read_text().splitlines())
+    assert lines == ['{"id":1,"v":[1,null,2]}', '{"id":2,"v":[],"s":"x"}']
+    t = spark.createDataFrame([("Jan 1,234.5 12%",), ("a heading",), ("Feb -7 x",)], "line string")
+    assert [tuple(r) for r in tables.table_lines(t, "line", r"^(\w{3}) (\S+) (\S+)$", ["month", "mwh", "share"]).collect()] == [("Jan", "1234.5", "12"), ("Feb", "-7", "x")]
+
+
+def test_lists_and_strict_voltages(spark):
+    d = spark.createDataFrame([("['a', \"b\"]",), ("{x; y}",), ("a, , b",), (None,)], "raw string")
+    assert [r[0] for r in d.select(scalars.listed("raw")).collect()] == [["a", "b"], ["x", "y"], ["a", "b"], None]
+    v = spark.createDataFrame([("110",), ("38 kV",), ("110;220",), ("yes",), ("-1",), (None,)], "raw string")
+    assert [r[0] for r in v.select(scalars.strict_kilovolts("raw")).collect()] == [110.0, 38.0, None, None, None, None]

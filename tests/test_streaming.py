@@ -1,5 +1,7 @@
 """Streams give what the same functions give on the whole table."""
 
+from pyspark.sql import functions as F
+
 from sparrowgrid.streaming import events
 
 
@@ -27,3 +29,17 @@ def test_windows_sessions_and_state(spark, sf_dir, tmp_path):
     for r in run(events.running_totals(stream()), "update", "t", spark, tmp_path):
         totals[r["user_id"]] = max(totals.get(r["user_id"], (0, 0)), (r["n"], r["total"]))
     assert sum(n for n, _ in totals.values()) == batch.count()
+
+
+def test_day_files_resume(spark, sf_dir, tmp_path):
+    batch = spark.read.parquet(f"{sf_dir}/events.parquet")
+    half = batch.filter("event_id % 2 = 0")
+    half.write.parquet(f"file://{tmp_path}/in")
+    go = lambda: events.to_day_files(events.timed(events.read(spark, f"file://{tmp_path}/in", batch.schema)), f"file://{tmp_path}/days", f"file://{tmp_path}/check").awaitTermination()
+    go()
+    assert spark.read.parquet(f"file://{tmp_path}/days").count() == half.count()
+    batch.filter("event_id % 2 = 1").write.mode("append").parquet(f"file://{tmp_path}/in")
+    go()
+    got = spark.read.parquet(f"file://{tmp_path}/days")
+    assert got.count() == batch.count() == got.select("event_id").distinct().count() and got.filter("day <> to_date(ts)").isEmpty()
+    assert events.daily(events.timed(batch)).agg(F.sum("n")).first()[0] == batch.count()
