@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, flat, mix64, slices
+from .common import U64, flat, mix64, release, slices
 
 CHUNK = 512  # bytes, on average
 WINDOW = 16  # bytes of the rolling hash
@@ -251,7 +251,7 @@ _encoders: dict[str, Encoder] = {}
 
 
 def encoder(path: str) -> Encoder:
-    """One encoder for each Python worker and file."""
+    """One encoder for each task and file."""
     if path not in _encoders:
         _encoders[path] = Encoder(path)
     return _encoders[path]
@@ -284,7 +284,9 @@ def encode(docs: DataFrame, path: str, decode: bool = True) -> DataFrame:
                     text = pa.array([t if decode else None for _, t in found], pa.string())
                     yield pa.RecordBatch.from_arrays([b.column("doc_id"), packed, text], ["doc_id", "ids", "decoded"])
         finally:
-            e.clear()  # an idle worker holds the tokenizer only
+            del e
+            _encoders.pop(path, None)  # an idle worker holds nothing
+            release()
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, ids binary, decoded string")
 

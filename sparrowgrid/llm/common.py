@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -68,6 +70,15 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def release() -> None:
+    """Gives memory that a Python worker no longer uses back to the machine; idle workers stay beside the executor."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # absent where the C library is another
+    if trim:
+        trim(0)
+
+
 def slices(batch: pa.RecordBatch, column: str, limit: int = 2_000_000) -> Iterator[pa.RecordBatch]:
     """Cuts a batch into runs of rows with about `limit` bytes in `column`; a longer row comes alone."""
     if not batch.num_rows:

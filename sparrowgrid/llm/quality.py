@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, flat, mix64, slices
+from .common import U64, flat, mix64, release, slices
 from .fingerprint import _powers
 
 SAMPLE = 8000
@@ -187,6 +187,7 @@ def rated(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
             parts = [weigh(*flat(b.column("text"))) for b in slices(pa.RecordBatch.from_arrays([whole], ["text"]), "text", SLICE)]
             p1, p2 = (np.concatenate([np.empty(0), *(p[i] for p in parts)]) for i in (0, 1))
             yield pa.StructArray.from_arrays([pa.array(p1), pa.array(p2)], ["p1", "p2"])
+        release()
 
     return docs.withColumn("__p", score(F.col(text))).select(*[docs[c] for c in docs.columns], F.col("__p.p1").alias("__p1"), F.col("__p.p2").alias("__p2"))
 
