@@ -284,8 +284,8 @@ def encode(docs: DataFrame, path: str, decode: bool = True) -> DataFrame:
                     text = pa.array([t if decode else None for _, t in found], pa.string())
                     yield pa.RecordBatch.from_arrays([b.column("doc_id"), packed, text], ["doc_id", "ids", "decoded"])
         finally:
-            del e
-            _encoders.pop(path, None)  # an idle worker holds nothing
+            e = whole = b = texts = found = packed = text = None  # an idle worker holds nothing
+            _encoders.pop(path, None)
             release()
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, ids binary, decoded string")
