@@ -247,19 +247,20 @@ def _least_mw(e: Event) -> str:
     branches that breaks no other. Branches that no cut can bring to their limit are left out of the program."""
     reach = np.abs(e.v) @ e.available
     rows = np.flatnonzero(e.live & ((np.abs(e.flow) + reach > e.most - 1e-9) | np.isin(np.arange(len(e.flow)), e.over)))
-    n = len(e.cut)
-    a, room = np.vstack([e.v[rows], -e.v[rows]]), np.concatenate([e.most[rows] - e.flow[rows], e.most[rows] + e.flow[rows]])
-    bounds = np.eye(n), e.available
+    may = np.flatnonzero(e.available > NOISE)
+    n, v = len(may), e.v[np.ix_(rows, may)]
+    a, room = np.vstack([v, -v]), np.concatenate([e.most[rows] - e.flow[rows], e.most[rows] + e.flow[rows]])
+    bounds = np.eye(n), e.available[may]
     status, x = simplex(np.ones(n), np.vstack([a, bounds[0]]), np.concatenate([room, bounds[1]]))
     if status == "optimal":
-        e.cut += np.clip(x, 0, e.available)
+        e.cut[may] += np.clip(x, 0, bounds[1])
         return "least"
     slack = np.array([rows == k for k in e.over], float).T
     a2 = np.vstack([np.hstack([a, -np.vstack([slack, slack])]), np.hstack([bounds[0], np.zeros((n, len(e.over)))])])
     status, x = simplex(np.concatenate([np.zeros(n), np.ones(len(e.over))]), a2, np.concatenate([room, bounds[1]]))
     if status != "optimal":
         return "none"
-    e.cut += np.clip(x[:n], 0, e.available)
+    e.cut[may] += np.clip(x[:n], 0, bounds[1])
     return "closest"
 
 
@@ -288,14 +289,13 @@ def _events(net: Net, p: pd.DataFrame, outages: list[int]):
     """(outage, event) for each outage that leaves the network whole and a branch over its limit."""
     inject, available, load = (net.vector(p, c) for c in ("p", "available", "load"))
     intact = hosted_cut(net.ptdf, load)
+    before = net.ptdf @ inject
     for e in outages:
-        m = net.outage(e)
-        if m is not None:
-            live = np.ones(len(net.b), bool)
-            live[e] = False
-            event = Event(m @ inject, net.limit, hosted_cut(m, load), available, live, intact)
-            if len(event.over):
-                yield e, event
+        live = np.ones(len(net.b), bool)
+        live[e] = False
+        flow = net.outage_flow(e, before, inject)
+        if flow is not None and ((np.abs(flow) > net.limit * OVER) & live).any():
+            yield e, Event(flow, net.limit, hosted_cut(net.outage(e), load), available, live, intact)
 
 
 SCORED = "case string, outage string, arm string, status string, n_over long, cut_mw double, nodes long, cleared boolean, new long, worsened long, residual double, worst_loading double"
@@ -398,12 +398,12 @@ def cascades(branches: DataFrame, injections: DataFrame, arms: tuple[str, ...] =
 def _parts(net: Net, alive: np.ndarray) -> int:
     """Number of components over all buses with some branches out."""
     root = np.arange(len(net.buses))
-    ends = [np.flatnonzero(net.k[:, e]) for e in np.flatnonzero(alive)]
+    ends = np.array(net.ends)[alive]
     while True:  # the least label of both ends, until nothing changes
         before = root.copy()
-        for x in ends:
-            if len(x) == 2:
-                root[x] = root[x].min()
+        low = np.minimum(root[ends[:, 0]], root[ends[:, 1]])
+        np.minimum.at(root, ends[:, 0], low)
+        np.minimum.at(root, ends[:, 1], low)
         root = root[root]
         if (root == before).all():
             return len(set(root.tolist()))

@@ -6,6 +6,8 @@ factors against a reference) stays relational; the pseudoinverse of a Laplacian
 
 from __future__ import annotations
 
+from functools import cached_property
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -26,9 +28,10 @@ class Net:
             raise ValueError(f"a dense case takes at most {MOST_BUSES} buses")
         at = {b: i for i, b in enumerate(self.buses)}
         self.k = np.zeros((len(self.buses), len(branches)))  # incidence
-        for e, (x, y) in enumerate(zip(self.branches["bus0"], self.branches["bus1"])):
-            self.k[at[x], e] += 1
-            self.k[at[y], e] -= 1
+        self.ends = [(at[x], at[y]) for x, y in zip(self.branches["bus0"], self.branches["bus1"])]
+        for e, (x, y) in enumerate(self.ends):
+            self.k[x, e] += 1
+            self.k[y, e] -= 1
         self.b = self.branches["b"].to_numpy(float)
         self.limit = self.branches["s_nom"].to_numpy(float)
         self.laplacian = (self.k * self.b) @ self.k.T
@@ -60,19 +63,43 @@ class Net:
                 x = root[x]
             return x
 
-        for e in range(self.k.shape[1]):
+        for e, (x, y) in enumerate(self.ends):
             if e != without:
-                x, y = np.flatnonzero(self.k[:, e])[:2] if np.count_nonzero(self.k[:, e]) > 1 else (0, 0)
-                root[find(int(x))] = find(int(y))
+                root[find(x)] = find(y)
         return np.array([find(i) for i in range(len(root))])
 
+    @cached_property
+    def transfer(self) -> np.ndarray:
+        """Flow on each branch for 1 MW sent from end to end of each other, branch by branch."""
+        return self.ptdf @ self.k
+
+    def share_left(self, e: int) -> float:
+        """The part of a transfer between a branch's ends that does not take the branch itself; 0 for a bridge."""
+        return 1 - float(self.transfer[e, e])
+
+    def splits(self, e: int) -> bool:
+        """Whether the loss of a branch splits the network."""
+        return self.share_left(e) <= 1e-3 and len(set(self.parts(e))) > len(set(self.parts()))
+
     def outage(self, e: int) -> np.ndarray | None:
         """PTDF after the loss of a branch, by an exact rank-one update; None where it splits the network."""
-        transfer = self.ptdf @ self.k  # branch by branch
-        rest = 1 - transfer[e, e]
+        if self.splits(e):
+            return None
+        rest = self.share_left(e)
+        if rest <= 1e-3:
+            return self.rebuilt(e)
+        out = self.ptdf + np.outer(self.transfer[:, e] / rest, self.ptdf[e])
+        out[e] = 0
+        return out
+
+    def outage_flow(self, e: int, flow: np.ndarray, p: np.ndarray) -> np.ndarray | None:
+        """Flows after the loss of a branch from those before: its own flow takes the other ways."""
+        if self.splits(e):
+            return None
+        rest = self.share_left(e)
         if rest <= 1e-3:
-            return self.rebuilt(e) if len(set(self.parts(e))) == len(set(self.parts())) else None
-        out = self.ptdf + np.outer(transfer[:, e] / rest, self.ptdf[e])
+            return self.rebuilt(e) @ p
+        out = flow + self.transfer[:, e] * (flow[e] / rest)
         out[e] = 0
         return out
 
@@ -223,9 +250,9 @@ def outage_flows(branches: DataFrame, injections: DataFrame, per_task: int = OUT
         v, frames = n.vector(p), []
         before, names = n.ptdf @ v, n.branches["name"]
         for e in outages:
-            m = n.outage(e)
-            if m is not None:
-                frames.append(pd.DataFrame({"case": case, "outage": names[e], "branch": names, "before": before, "after": m @ v, "s_nom": n.limit}))
+            after = n.outage_flow(e, before, v)
+            if after is not None:
+                frames.append(pd.DataFrame({"case": case, "outage": names[e], "branch": names, "before": before, "after": after, "s_nom": n.limit}))
         return pd.concat(frames) if frames else pd.DataFrame(columns=["case", "outage", "branch", "before", "after", "s_nom"])
 
     return by_outages(branches, injections, run, "case string, outage string, branch string, before double, after double, s_nom double", per_task)
