@@ -239,8 +239,10 @@ def reinforcement_candidates(spark, sf):
 
 
 def _tight(spark, sf):
-    """Half the ratings, so that outages overload something."""
-    return branches(spark, sf).withColumn("s_nom", F.col("s_nom") / 2)
+    """Ratings near the flows of the intact network, some below, so that outages overload something at any scale."""
+    b = branches(spark, sf)
+    f = L.flows(L.ptdf(b), injections(spark, sf).drop("case")).select(F.col("branch").alias("name"), "flow")
+    return b.join(f, "name").withColumn("s_nom", F.greatest(F.lit(0.05), F.abs("flow") * (0.9 + (F.col("bus0") + F.col("bus1")) % 5 / 5))).drop("flow")
 
 
 @rows_only
