@@ -132,12 +132,19 @@ def raised_cosine(x, start, end) -> Column:
     return (1 - F.cos(F.pi() * u)) / 2
 
 
+# What bus names carry besides the station, in the order in which it is taken off.
+STATION_PREFIXES = ("HY_", "W_", "PV_", "BS_", "TEG ", "GEN_")
+STATION_SUFFIXES = ("_CAP", "_SVC", "_PST", "_DUM", "_ZER", " T", " ESS")
+
+
 def station_key(name: Column | str) -> Column:
-    """Upper case, without circuit prefixes, voltage suffixes and trailing bus letters."""
+    """The station of a bus name: upper case, without the prefixes of generators and the suffixes of devices (each once, in
+    order), trailing dashes, and the busbar letter A or B after a digit of a name of more than four characters."""
     x = F.upper(F.trim(F.coalesce(col(name), F.lit(""))))
-    x = F.regexp_replace(x, r"^(T|G|L)[-_ ]", "")
-    x = F.regexp_replace(x, r"[-_ ]*\d{2,3} ?KV$", "")
-    return F.regexp_replace(x, r"(?<=\w{3})\d?[AB]+$", "")
+    x = F.regexp_replace(x, "^" + "".join(f"(?:{p})?" for p in STATION_PREFIXES), "")
+    x = F.regexp_replace(x, "".join(f"(?:{s})?" for s in reversed(STATION_SUFFIXES)) + "$", "")
+    x = F.regexp_replace(x, "-+$", "")
+    return F.trim(F.regexp_replace(x, r"^(.{3,}\d)[AB]$", "$1"))
 
 
 def token_sort_key(x: Column | str) -> Column:

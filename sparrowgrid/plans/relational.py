@@ -350,9 +350,12 @@ def group_ordered_lists(spark, sf):
     return j.groupBy(F.col("n_regionkey").alias("grp")).agg(F.count("*").alias("n"), F.max("s_acctbal").alias("widest"), F.array_join(F.array_sort(F.collect_set("n_name")), ",").alias("names"), F.min_by("s_name", "s_suppkey").alias("first_name"))
 
 
-@query("""SELECT upper(trim(regexp_replace(s_name, '^Supplier#0*', ''))) AS raw, count(*) AS n FROM supplier GROUP BY 1""")
+@query("""SELECT n_nationkey, CASE n_nationkey % 5 WHEN 2 THEN upper(n_name) || '1' ELSE upper(n_name) END AS station FROM nation""")
 def station_keys(spark, sf):
-    return table(spark, sf, "supplier").groupBy(F.upper(F.trim(F.regexp_replace("s_name", "^Supplier#0*", ""))).alias("raw")).agg(F.count("*").alias("n"))
+    """Nations' names decorated as bus names are, and their stations."""
+    n, k = F.col("n_name"), F.col("n_nationkey") % 5
+    raw = F.when(k == 0, F.concat(F.lit("W_"), n)).when(k == 1, F.concat(F.lit(" PV_GEN_"), n, F.lit("_PST "))).when(k == 2, F.concat(n, F.lit("1A-"))).when(k == 3, F.concat(F.lower(n), F.lit(" T_CAP"))).otherwise(n)
+    return table(spark, sf, "nation").select("n_nationkey", S.station_key(raw).alias("station"))
 
 
 @query("""WITH l AS (SELECT p_partkey AS id, p_name, p_brand FROM part WHERE p_size = 1), rr AS (SELECT p_partkey AS match_id, p_name AS k, p_brand AS brand FROM part WHERE p_size = 50),

@@ -226,3 +226,10 @@ def test_lists_and_strict_voltages(spark):
     assert [r[0] for r in d.select(scalars.listed("raw")).collect()] == [["a", "b"], ["x", "y"], ["a", "b"], None]
     v = spark.createDataFrame([("110",), ("38 kV",), ("110;220",), ("yes",), ("-1",), (None,)], "raw string")
     assert [r[0] for r in v.select(scalars.strict_kilovolts("raw")).collect()] == [110.0, 38.0, None, None, None, None]
+
+
+def test_station_keys(spark):
+    # fixed values: names and the stations that the rules give them
+    want = {"HY_ARDN ": "ARDN", "w_pv_x": "X", "CLOGHER_CAP": "CLOGHER", "ENNK_PST": "ENNK", "ANTR1A": "ANTR1", "COOL1-": "COOL1", "CAST1B": "CAST1", "A1B": "A1B", "TEG FOO T": "FOO", "KILL1-CL": "KILL1-CL", "MAGF2-": "MAGF2", "X ESS_SVC": "X", "": ""}
+    d = spark.createDataFrame([(k,) for k in want], "n string").select("n", scalars.station_key("n").alias("s"))
+    assert {r["n"]: r["s"] for r in d.collect()} == want
