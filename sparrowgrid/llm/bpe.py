@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, flat, mix64, release, slices
+from .common import U64, flat, mix64, release, slices, text_batches
 
 CHUNK = 512  # bytes, on average
 WINDOW = 16  # bytes of the rolling hash
@@ -288,6 +288,7 @@ def encode(docs: DataFrame, path: str, decode: bool = True) -> DataFrame:
             _encoders.pop(path, None)
             release()
 
+    text_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, ids binary, decoded string")
 
 

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 U64 = np.uint64
+TEXTS = 1000  # rows to an Arrow batch
 _written: list[tuple[SparkSession, str]] = []
 
 
@@ -70,6 +71,14 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def text_batches(spark: SparkSession) -> None:
+    """Texts may be long: where the session has Spark's own limit of rows to an Arrow batch, it is lowered to TEXTS, which
+    bounds the buffers on both sides of a Python worker. A limit that the user has set stays."""
+    limit = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(limit) == "10000":
+        spark.conf.set(limit, str(TEXTS))
+
+
 def release() -> None:
     """Gives memory that a Python worker no longer uses back to the machine; idle workers stay beside the executor."""
     gc.collect()

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, flat, mix64, release, slices
+from .common import U64, flat, mix64, release, slices, text_batches
 from .fingerprint import _powers
 
 SAMPLE = 8000
@@ -189,6 +189,7 @@ def rated(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
             yield pa.StructArray.from_arrays([pa.array(p1), pa.array(p2)], ["p1", "p2"])
         release()
 
+    text_batches(docs.sparkSession)
     return docs.withColumn("__p", score(F.col(text))).select(*[docs[c] for c in docs.columns], F.col("__p.p1").alias("__p1"), F.col("__p.p2").alias("__p2"))
 
 
