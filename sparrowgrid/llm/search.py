@@ -73,7 +73,9 @@ class Postings:
         out = np.zeros(len(self.ids), np.int64 if small else object)
         for t in terms.tolist():
             i, j = self.at[t], self.at[t + 1]
-            if small:
+            if small and j - i == len(out):  # a posting of every row, in order
+                out += int(row[t]) * self.whole[i:j]
+            elif small:
                 out[self.own[i:j]] += int(row[t]) * self.whole[i:j]
             else:
                 weight = int(row[t])
