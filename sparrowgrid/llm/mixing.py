@@ -46,10 +46,10 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, max_epochs: int
     """doc_id, text, source -> doc_id, size, source, source_size, target, taken; a row for each row of docs.
 
     A null text has size 0 and takes nothing; a null source is a source of its own, the last; rows with a null
-    doc_id are placed by one hash. Repeated rows count as often as they stand there. An empty table gives none.
+    doc_id are placed by the hash of their text. Repeated rows count as often as they stand there. An empty table gives none.
     Other columns of docs are not read. `taken` is at most max_epochs times `size`."""
-    base = docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
-    base = base.withColumn("key", F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))))
+    key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.md5("text"), F.lit(""))))
+    base = docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), key.alias("key"))
     base = base.withColumn("at", F.substring("key", 1, 3)).withColumn("skey", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")))
     base = stash(base, "mix-sizes")
     per = base.groupBy("skey", "at").agg(F.first("source").alias("source"), F.sum("size").alias("part"))
@@ -83,7 +83,7 @@ def op1_mix_sources(spark, sf_dir: str) -> DataFrame:
 OP1_SQL = r"""
 WITH base AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-         md5('17:' || coalesce(doc_id::VARCHAR, '')) AS key FROM documents),
+         md5('17:' || coalesce(doc_id::VARCHAR, md5(text), '')) AS key FROM documents),
 src AS (SELECT source, sum(size)::BIGINT AS source_size FROM base GROUP BY source),
 weighed AS (SELECT *, [3, 1, 2][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT] AS w FROM src),
 levels AS (

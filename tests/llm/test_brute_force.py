@@ -222,7 +222,7 @@ def test_pipeline_against_plain_stages(spark, tmp_path):
         words = math.floor(target + 0.5)
         whole = min(2, words // total[s]) if total[s] else 0
         rest, prior = words - whole * total[s], 0
-        for d in sorted((d for d in one if d[3] == s), key=lambda d: (hashlib.md5(f"17:{'' if d[0] is None else d[0]}".encode()).hexdigest(), d[0] or 0, size(d[1]))):
+        for d in sorted((d for d in one if d[3] == s), key=lambda d: (hashlib.md5(f"17:{hashlib.md5((d[1] or '').encode()).hexdigest() if d[0] is None else d[0]}".encode()).hexdigest(), d[0] or 0, size(d[1]))):
             n = size(d[1])
             taken = whole * n + max(0, min(n, rest - prior))
             prior += n
