@@ -90,6 +90,7 @@ def hub_speed(v, alpha, height: float, reference: float = 100.0) -> Column:
     return col(v) * F.pow(F.lit(height / reference), col(alpha))
 
 
+# Fixed values within: the published Fourier series of the equation of time and of the declination.
 def solar_zenith(ts, lat, lon) -> Column:
     """Degrees, from the fractional year's series for declination and the equation of time; ts in UTC."""
     ts, lat, lon = col(ts), col(lat), col(lon)
@@ -116,6 +117,7 @@ def solar_capacity_factor(irradiance, temperature, nominal: float = 45.0, loss:
     return clip(g / 1000 * (1 - loss * (hot - 25)), 0.0, 1.0)
 
 
+# Fixed values within: the published polynomial of the diffuse fraction by clearness.
 def diffuse_fraction(clearness) -> Column:
     k = col(clearness)
     mid = 0.9511 - 0.1604 * k + 4.388 * k * k - 16.638 * F.pow(k, 3) + 12.336 * F.pow(k, 4)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from sparrowgrid.functions import scalars
 from sparrowgrid.sources import cases, tables
 
+# fixed values: lines as the format has them
 HEAD = "0, 100.00, 35, 0, 1, 50.00 / title\nline two\nline three\n"
 BUSES = "@! comment\n1,'A   ',110.0,1,3,1,1,1.0,0.0\r\n2,\"B,x\",220.0,1,13,1,1,1.0,0.0 / note\n0 / END OF BUS DATA\n"
 LOADS = "1,'1 ',1,3,1,10.0,2.0\n2,'1 ',0,3,1,5.0\n0 / END OF LOAD DATA\n"
@@ -125,6 +126,7 @@ def test_paged_source(spark):
 
 
 def test_volts_and_curves(spark):
+    # fixed values: texts and the voltages they stand for
     cases_ = [(None, None), ("yes", None), ("-1", None), ("10000;20000", 20000.0), ("38000 V", 38000.0), ("110000", 110000.0)]
     d = spark.createDataFrame(cases_, "raw string, want double").withColumn("got", scalars.parse_volts("raw"))
     assert all(r["want"] == r["got"] for r in d.collect())
