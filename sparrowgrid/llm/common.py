@@ -38,11 +38,13 @@ def _path(spark: SparkSession, path: str):
 
 
 def stash(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as a Parquet table in the shared folder and reads it back: cuts lineage, survives lost executors."""
+    """Writes df as a Parquet table in the shared folder and reads it back: cuts lineage, survives lost executors. Not
+    compressed: the compressors' buffers lie outside the heap and are only freed when the heap is collected, which many
+    small tables put off."""
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     schema = df.schema
-    df.write.parquet(path)
+    df.write.option("compression", "none").parquet(path)
     _written.append((spark, path))
     out = spark.read.schema(schema).parquet(path)
     out._stash_path = path
