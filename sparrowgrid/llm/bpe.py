@@ -24,8 +24,8 @@ from .common import U64, flat, mix64, release, slices, text_batches
 
 CHUNK = 512  # bytes, on average
 WINDOW = 16  # bytes of the rolling hash
-CHUNK_TABLE = 2_000_000  # characters of text in one generation of the chunk table
-WORD_TABLE = 60_000  # words in one generation of the word table
+CHUNK_TABLE = 4_000_000  # characters of text in one generation of the chunk table
+WORD_TABLE = 80_000  # words in one generation of the word table
 SLICE = 1_000_000  # bytes of text that a worker takes at once
 TAILS = ".,!?;:"
 BYTES = mix64(np.arange(1, 257, dtype=U64) * U64(0x9E3779B97F4A7C15))
@@ -251,16 +251,17 @@ _encoders: dict[str, Encoder] = {}
 
 
 def encoder(path: str) -> Encoder:
-    """One encoder for each task and file."""
+    """One encoder for each Python worker and file."""
     if path not in _encoders:
         _encoders[path] = Encoder(path)
     return _encoders[path]
 
 
 def dismiss(path: str) -> None:
-    """Forgets a worker's encoder. A function of the module, as a function that is sent to workers has its own copy of the
-    module's tables."""
-    _encoders.pop(path, None)
+    """Empties the tables of a worker's encoder; the tokenizer stays. A function of the module, as a function that is sent
+    to workers has its own copy of the module's names."""
+    if path in _encoders:
+        _encoders[path].clear()
     release()
 
 
@@ -291,7 +292,7 @@ def encode(docs: DataFrame, path: str, decode: bool = True) -> DataFrame:
                     text = pa.array([t if decode else None for _, t in found], pa.string())
                     yield pa.RecordBatch.from_arrays([b.column("doc_id"), packed, text], ["doc_id", "ids", "decoded"])
         finally:
-            e = whole = b = texts = found = packed = text = None  # an idle worker holds nothing
+            e = whole = b = texts = found = packed = text = None  # an idle worker holds the tokenizer only
             dismiss(path)
 
     text_batches(docs.sparkSession)
