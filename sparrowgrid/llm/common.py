@@ -51,6 +51,13 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nothing has written to; what is written there is deleted when the program ends."""
+    path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _written.append((spark, path))
+    return path
+
+
 def unstash(df: DataFrame) -> None:
     """Deletes a table that stash() wrote, once what followed from it has been written itself."""
     path = getattr(df, "_stash_path", None)

@@ -1,6 +1,8 @@
 """The queries of this subpackage by name, and the SQL that states the same result where SQL can."""
 
 from .bpe import op6_bpe
+from .divergence import OP12_SQL, op12_divergence
+from .filters import OP11_SQL, op11_filters
 from .fingerprint import op4_fingerprints
 from .licenses import op9_licenses
 from .lines import OP2_SQL, op2_lines
@@ -10,6 +12,7 @@ from .search import OP8_SQL, op8_topk
 from .sharding import op10_shards
 from .simhash import op7_simhash
 from .suffixes import op3_suffixes
+from .tokenfile import op13_token_files
 
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
@@ -22,5 +25,8 @@ QUERIES = {
     "op8_topk": op8_topk,
     "op9_licenses": op9_licenses,
     "op10_shards": op10_shards,
+    "op11_filters": op11_filters,
+    "op12_divergence": op12_divergence,
+    "op13_token_files": op13_token_files,
 }
-ORACLES = {"op1_mix_sources": OP1_SQL, "op2_lines": OP2_SQL, "op8_topk": OP8_SQL}
+ORACLES = {"op1_mix_sources": OP1_SQL, "op2_lines": OP2_SQL, "op8_topk": OP8_SQL, "op11_filters": OP11_SQL, "op12_divergence": OP12_SQL}
