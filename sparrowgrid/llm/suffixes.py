@@ -14,8 +14,9 @@ the suffixes at anchors are sorted.
 3. A bucket collapses equal byte strings and sorts its suffixes in byte order by multikey sort (eight bytes at a time,
    only ties go on). Suffixes that agree in a whole gram lie together; their windows are sorted the same way, and every
    one that is not the first of its equals is named.
-4. Across boundaries: of a lead that several buckets share, each hands on the strings in which it has a first window;
-   these are compared with one another in the same way.
+4. Across boundaries: of a lead that several buckets share, each hands on the windows that are the first here, a row each
+   with 128 bits of hash; these are dealt by hash, so that a lead of any size is spread over all tasks, and of equal ones
+   (at most one a bucket) all but the first are named.
 5. The named windows return to their documents, are united, and cut out.
 """
 
@@ -91,7 +92,7 @@ def runs(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
 def _key(docs: DataFrame) -> DataFrame:
     """A row's key: doc_id (null before all) and the hash of its text. Rows that agree in both are one document."""
     text = F.coalesce("text", F.lit(""))
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("id"), F.hash(text).alias("th"), text.alias("text"))
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("id"), F.xxhash64(text).alias("th"), text.alias("text"))
 
 
 def _longs(batch: pa.RecordBatch, name: str) -> np.ndarray:
@@ -212,7 +213,7 @@ def _segments(splitters: list[int]):
                 bucket = dealt(_leads(data, p[i]), salt, cut)
                 bucket[k:] = (salt[k:] % U64(len(cut) + 1)).astype(np.int32)
                 yield _batch(
-                    bucket=bucket, id=pa.array([r[0] for r in rows], pa.int64()), th=pa.array([r[1] for r in rows], pa.int32()),
+                    bucket=bucket, id=pa.array([r[0] for r in rows], pa.int64()), th=pa.array([r[1] for r in rows], pa.int64()),
                     lo=pa.array([r[2] for r in rows], pa.int32()), more=pa.array([r[3] for r in rows], pa.int32()), anchor=(p[i] - lo[i]).astype(np.int32),
                     s=pa.array([*best, *[None] * (len(rows) - k)], pa.binary()),
                 )
@@ -243,6 +244,7 @@ class Bucket:
     def __init__(self):
         self.best: dict[tuple, tuple] = {}
         self.removed: tuple[list, list, list, list] = ([], [], [], [])
+        self.marked: list[np.ndarray] = []  # windows that are not the first here: 128 times their row's number, plus their own
 
     def remove(self, *run: int) -> None:
         for column, x in zip(self.removed, run):
@@ -256,19 +258,17 @@ class Bucket:
             if r[:3] != self.best[r[4], r[5]][:3]:
                 self.remove(r[0], r[1], r[2], r[2] + r[3])
 
-    def compare(self) -> np.ndarray:
-        """Sorts the suffixes and names their windows that are not the first of their equals; rows with a window that is
-        the first one here, by their number."""
+    def compare(self) -> None:
+        """Sorts the suffixes and names their windows that are not the first of their equals."""
         rows = list(self.best.values())
         if not rows:
-            return np.empty(0, np.int64)
+            return
         buffer = np.frombuffer(b"".join(r[5] for r in rows) + bytes(8), np.uint8)
         words = big_endian(buffer)
         begin = np.cumsum([0, *(len(r[5]) for r in rows)])[:-1]
         anchor, windows = np.array([r[4] for r in rows]), np.array([r[3] + 1 for r in rows])
         # suffixes from the anchor on, in byte order; those that agree in a gram are one class
         at, group = multikey_sort(words, begin + anchor, np.zeros(len(rows), np.int64), list(range(0, GRAM, 8)))
-        has_first = np.ones(len(rows), bool)
         if len(at):
             load = np.cumsum(windows[at])
             part = load // AT_ONCE  # whole classes, about so many windows at once
@@ -276,11 +276,10 @@ class Bucket:
             last = 0
             for e in ends.tolist():
                 if e == len(at) or part[e] != part[last]:
-                    self._windows(rows, at[last:e], group[last:e], words, begin, anchor, windows, has_first)
+                    self._windows(rows, at[last:e], group[last:e], words, begin, anchor, windows)
                     last = e
-        return np.flatnonzero(has_first)
 
-    def _windows(self, rows, some, group, words, begin, anchor, windows, has_first) -> None:
+    def _windows(self, rows, some, group, words, begin, anchor, windows) -> None:
         n = windows[some]
         which = np.repeat(np.arange(len(some)), n)
         step = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
@@ -305,15 +304,15 @@ class Bucket:
         for a, b in zip(np.flatnonzero(begins).tolist(), np.flatnonzero(ends).tolist()):
             w = which[a]
             self.remove(int(ids[w]), int(ths[w]), int(los[w] + step[a]), int(los[w] + step[b]))
-        has_first[some] = np.bincount(which[~marked], minlength=len(some)) > 0
+        self.marked.append(some[which[marked]] * 128 + step[marked])
 
     def named(self) -> dict:
         i, t, a, b = self.removed
-        return dict(id=pa.array(i, pa.int64()), th=pa.array(t, pa.int32()), first=pa.array(a, pa.int32()), last=pa.array(b, pa.int32()))
+        return dict(id=pa.array(i, pa.int64()), th=pa.array(t, pa.int64()), first=pa.array(a, pa.int32()), last=pa.array(b, pa.int32()))
 
 
-RUN = "id long, th int, first int, last int"
-EDGE = "route long, lead long, id long, th int, lo int, more int, anchor int, s binary, first int, last int"
+RUN = "id long, th long, first int, last int"
+EDGE = "w1 long, w2 long, id long, th long, first int, last int"
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> tuple[Bucket, list[pa.RecordBatch]]:
@@ -336,42 +335,70 @@ def _sorted_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
     yield from [*sure, _batch(**bucket.named())]
 
 
+def window_hashes(words: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent 64-bit hashes of the LENGTH bytes at each place, given the word at each place."""
+    a, b = np.full(len(at), 1, U64), np.full(len(at), 2, U64)
+    for d in [*range(0, LENGTH - 7, 8), LENGTH - 8]:
+        w = words[at + d]
+        a, b = mix64((a ^ w) * STEP[0]), mix64((b + w) * STEP[2] ^ U64(d + 1))
+    return a.view(np.int64), b.view(np.int64)
+
+
 def _sorted_with_edges(shared: list[int]):
-    """The same, and of the leads that several buckets share the rows that have a first window here."""
+    """The same, and of the leads that several buckets share the windows that are the first here."""
     leads = np.array(sorted(set(shared)), np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bucket, sure = _read(batches)
-        first = bucket.compare()
+        bucket.compare()
         for b in [*sure, _batch(**bucket.named())]:
             n = b.num_rows
             if n:
-                none = lambda kind: pa.nulls(n, kind)
-                yield _batch(route=mix64(_longs(b, "id").view(U64)).view(np.int64), lead=none(pa.int64()), id=b.column("id"), th=b.column("th"), lo=none(pa.int32()), more=none(pa.int32()), anchor=none(pa.int32()), s=none(pa.binary()), first=b.column("first"), last=b.column("last"))
+                route = mix64(_longs(b, "id").view(U64)).view(np.int64)
+                yield _batch(w1=route, w2=pa.nulls(n, pa.int64()), id=b.column("id"), th=b.column("th"), first=b.column("first"), last=b.column("last"))
         rows = list(bucket.best.values())
-        rows = [rows[i] for i in first.tolist()]
         lead = np.array([int.from_bytes(r[5][r[4] : r[4] + 8], "big") - (1 << 63) for r in rows], np.int64)
         keep = np.flatnonzero(np.isin(lead, leads)).tolist()
-        if keep:
-            column = lambda c, kind: pa.array([rows[i][c] for i in keep], kind)
-            none = pa.nulls(len(keep), pa.int32())
-            yield _batch(route=mix64(lead[keep].view(U64)).view(np.int64), lead=lead[keep], id=column(0, pa.int64()), th=column(1, pa.int32()), lo=column(2, pa.int32()), more=column(3, pa.int32()), anchor=column(4, pa.int32()), s=column(5, pa.binary()), first=none, last=none)
+        known = np.sort(np.concatenate([np.empty(0, np.int64), *bucket.marked]))
+        for k in range(0, len(keep), 20_000):
+            some = keep[k : k + 20_000]
+            words = big_endian(np.frombuffer(b"".join(rows[i][5] for i in some) + bytes(8), np.uint8))
+            begin = np.cumsum([0, *(len(rows[i][5]) for i in some)])[:-1]
+            n = np.array([rows[i][3] + 1 for i in some])
+            which = np.repeat(np.arange(len(some)), n)
+            step = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
+            new = ~np.isin(np.array(some)[which] * 128 + step, known)
+            which, step = which[new], step[new]
+            w1, w2 = window_hashes(words, begin[which] + step)
+            ids, ths, los = (np.array([rows[i][c] for i in some], np.int64) for c in (0, 1, 2))
+            at = (los[which] + step).astype(np.int32)
+            yield _batch(w1=w1, w2=w2, id=ids[which], th=ths[which], first=at, last=at)
 
     return run
 
 
 def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Passes runs on, and compares what buckets handed on of the leads they share."""
-    edges = Bucket()
+    """Passes runs on; of the windows, sorted by their hashes and then their place, all but the first of equals."""
+    held = None
     for b in batches:
-        runs = b.filter(b.column("s").is_null())
+        runs = b.filter(b.column("w2").is_null())
         if runs.num_rows:
             yield runs.select(["id", "th", "first", "last"])
-        b = b.filter(b.column("s").is_valid())
-        for r in zip(*(b.column(c).to_pylist() for c in ("id", "th", "lo", "more", "anchor", "s"))):
-            edges.add(r)
-    edges.compare()
-    yield _batch(**edges.named())
+        b = b.filter(b.column("w2").is_valid())
+        if not b.num_rows:
+            continue
+        w1, w2, ids, ths, at = (_longs(b, c) for c in ("w1", "w2", "id", "th", "first"))
+        again = np.zeros(len(w1), bool)
+        again[1:] = (w1[1:] == w1[:-1]) & (w2[1:] == w2[:-1])
+        again[0] = held is not None and held[:2] == (w1[0], w2[0])
+        head = np.maximum.accumulate(np.where(again, -1, np.arange(len(w1))))
+        f = np.maximum(head, 0)
+        first = [np.where(head < 0, held[2 + i] if held else 0, c[f]) for i, c in enumerate((ids, ths, at))]
+        same = (first[0] == ids) & (first[1] == ths) & (first[2] == at)  # a row that came twice
+        rows = b.filter(pa.array(again & ~same))
+        if rows.num_rows:
+            yield rows.select(["id", "th", "first", "last"])
+        held = (w1[-1], w2[-1], *(x[-1] for x in first))
 
 
 def _unite(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -423,14 +450,14 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     buckets = max(2 * n, -(-size // BUCKET))
     marks = sorted(lead.agg(F.percentile_approx("lead", [i / buckets for i in range(1, buckets)], 10_000)).first()[0] or [])
     shared = [a for a, b in zip(marks, marks[1:]) if a == b]
-    found = d.mapInArrow(_anchor_rows, "route long, id long, th int, p int, sure boolean").repartition(n, "route").sortWithinPartitions("route")
-    marked = found.mapInArrow(_repeated, "id long, th int, p int").groupBy("id", "th").agg(F.collect_list("p").alias("p"))
+    found = d.mapInArrow(_anchor_rows, "route long, id long, th long, p int, sure boolean").repartition(n, "route").sortWithinPartitions("route")
+    marked = found.mapInArrow(_repeated, "id long, th long, p int").groupBy("id", "th").agg(F.collect_list("p").alias("p"))
     segments = d.join(marked, ["id", "th"], "left").select("id", "th", "text", "p").mapInArrow(
-        _segments(marks), "bucket int, id long, th int, lo int, more int, anchor int, s binary"
+        _segments(marks), "bucket int, id long, th long, lo int, more int, anchor int, s binary"
     )
     segments = segments.repartitionById(len(marks) + 1, F.col("bucket"))
     if shared:
-        edges = segments.mapInArrow(_sorted_with_edges(shared), EDGE).repartition(n, "route")
+        edges = segments.mapInArrow(_sorted_with_edges(shared), EDGE).repartition(n, "w1").sortWithinPartitions("w1", "w2", "id", "th", "first")
         named = edges.mapInArrow(_across, RUN)
     else:
         named = segments.mapInArrow(_sorted_buckets, RUN)

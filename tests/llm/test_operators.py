@@ -272,6 +272,47 @@ def test_suffixes_across_boundaries(spark):
         assert bytes(got[i]["kept"]) == bytes(x for x, m in zip(b, mark) if not m), i
 
 
+def test_suffixes_of_rows_whose_texts_collide(spark):
+    """Texts without an id that agree in a 32-bit hash are documents of their own."""
+    word = F.sha2(F.col("id").cast("string"), 256)
+    texts = spark.range(200_000).select(F.concat(word, F.reverse(word), F.sha2(F.concat(word, F.lit("x")), 256), word).alias("text"))
+    pair = texts.groupBy(F.hash("text")).agg(F.min("text").alias("a"), F.max("text").alias("b")).filter("a <> b").first()
+    rows = [(None, pair["a"]), (None, pair["b"]), (None, pair["a"][:120] + pair["a"])]
+    got = sorted(tuple(r) for r in suffixes.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).select("n_bytes", "n_removed").collect())
+    # the third repeats the first, or the first the third, as their hashes are ordered
+    assert [n for n, _ in got] == [256, 256, 376] and sum(k for _, k in got) in (256 + 120, 376) and sorted(k for n, k in got if n == 256)[0] == 0
+
+
+def test_suffixes_behind_one_notice(spark):
+    """Different texts behind one notice: the windows of its lead are spread over all tasks, and none is cut wrongly."""
+    rng = random.Random(21)
+    hot = "=" * 70
+    texts = [hot + "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=200)) for _ in range(3000)]
+    rows = [*enumerate(texts), *((5000 + i, "new " + texts[7 * i]) for i in range(40))]
+    plain = suffixes._across
+
+    def watched(batches):
+        n = 0
+        for b in batches:
+            n += b.num_rows - b.column("w2").null_count
+            if n > 80_000:
+                raise ValueError(f"a task was given {n} windows")
+            yield from plain(iter([b]))
+
+    held = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    suffixes._across = watched
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000000")
+    try:
+        d = spark.createDataFrame(rows, "doc_id long, text string").repartition(16)
+        got = {r["doc_id"]: bytes(r["kept"]).decode() for r in suffixes.remove_repeats(d).collect()}
+    finally:
+        suffixes._across = plain
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", held)
+    for i, mark in _removed(rows).items():
+        b = dict(rows)[i]
+        assert got[i] == "".join(x for x, m in zip(b, mark) if not m), i
+
+
 def test_suffix_query_brute_force(spark, sf_dir):
     rows = sorted((r["doc_id"], r["text"] or "") for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect())
     got = {r["doc_id"]: tuple(r) for r in suffixes.op3_suffixes(spark, sf_dir).collect()}
