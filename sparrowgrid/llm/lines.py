@@ -15,12 +15,16 @@ different lines have in common are kept, their lines fetched, and pairs are test
 first (bounds on the distance, inside the join), then the banded bit-parallel edit distance.
 
 Only whether a line has an earlier neighbour matters. Every member of a key is first tested against the key's
-earliest lines, which takes as many pairs as members; only lines that this leaves open meet the others.
+earliest lines, which takes as many pairs as members; only lines that this leaves open meet the others. Where a key has
+more than MANY members (lines that differ in their numbers only), these meet by finer segments instead: of PIECES
+segments at most EDITS are hit by the edits, so of any EDITS + 1 of them one is intact. A line is indexed by its rarest
+EDITS + 1 and the others probe with all their substrings at those places, so what such lines have in common brings none
+of them together.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import stash, unstash
@@ -31,21 +35,27 @@ BLOCK = 8  # code points; lines whose lengths lie in one block have segments of
 NULL_ID = -(1 << 63)
 LETTERS = "etaonirshdlu"  # twelve frequent letters
 BROADCAST_KEYS = 100_000  # keys of 8 bytes that may be sent to every executor
+MANY = 64  # members of a key that meet one another as they are
+PIECES = 9  # finer segments of a line
+DIGITS = "0123456789.-"
 HOT = 10_000  # a line with more than this part of all repeats is hot; there are fewer than that
 
 
-def segment_keys(lines: DataFrame, edits: int = EDITS) -> DataFrame:
-    """h1, h2, side, k from h1, h2, line, n: side 0 is indexed and probes, 1 only probes.
+def segment_keys(lines: DataFrame, edits: int = EDITS, pieces: int | None = None) -> DataFrame:
+    """h1, h2, side, k from h1, h2, line, n: side 0 is indexed and probes, 1 only probes. With `pieces` that many segments
+    in place of EDITS + 1, each sought at all places that the edits allow.
 
     Each line meets a constant list of windows (blocks back, segment, shift), and one small compiled expression works out
     the window's place."""
-    places = [(i, shift) for i in range(edits + 1) for shift in range(-min(i, edits - i), min(i, edits - i) + 1)]
-    listed = lambda back: [f"struct({int(shift != 0)} AS side, {k} AS back, {i} AS i, {shift} AS shift)" for k in back for i, shift in places]
+    reach = lambda i: min(i, edits - i) if pieces is None else edits
+    count = pieces or edits + 1
+    places = [(i, shift) for i in range(count) for shift in range(-reach(i), reach(i) + 1)]
+    listed = lambda back: [f"struct({int(shift != 0 or k > 0)} AS side, {k} AS back, {i} AS i, {shift} AS shift)" for k in back for i, shift in places]
     backs = -(-edits // BLOCK)  # blocks that a partner may lie before this one's
     windows = F.expr(f"if(n % {BLOCK} < {edits % BLOCK or BLOCK}, array({', '.join(listed(range(backs + 1)))}), array({', '.join(listed(range(backs)))}))")
     d = lines.withColumn("x", F.explode(windows)).select("h1", "h2", "line", "n", "x.*")
-    d = d.withColumn("w", F.expr(f"(cast(n / {BLOCK} AS int) - back) * {BLOCK}")).filter("w >= 0").withColumn("w", F.expr(f"cast(w / {edits + 1} AS int)"))
-    d = d.withColumn("at", F.expr(f"if(2 * i <= {edits}, i * w, n - ({edits + 1} - i) * w) + shift")).filter("at >= 0 AND at + w <= n")
+    d = d.withColumn("w", F.expr(f"(cast(n / {BLOCK} AS int) - back) * {BLOCK}")).filter("w >= 0").withColumn("w", F.expr(f"cast(w / {count} AS int)"))
+    d = d.withColumn("at", F.expr(f"if(2 * i < {count}, i * w, n - ({count} - i) * w) + shift")).filter("at >= 0 AND at + w <= n")
     return d.select("h1", "h2", "side", F.expr("xxhash64(w, i, substring(line, at + 1, w))").alias("k"))
 
 
@@ -100,17 +110,17 @@ def edit_distance_within(a: Column, b: Column, edits: int = EDITS) -> Column:
     return F.when(F.abs(m - n) > edits, False).when(short, True).when((n == 0) | (m < edits), F.levenshtein(F.array_join(a, ""), F.array_join(b, "")) <= edits).otherwise(run <= edits)
 
 
-def _letters(line: str) -> Column:
-    """Counts of LETTERS in two longs, ten bits each (a larger count stays at 1023, which only loosens the bound)."""
-    n = [F.least(F.lit(1023), F.length(line) - F.length(F.replace(line, F.lit(c), F.lit("")))).cast("long") for c in LETTERS]
+def _letters(line: str, letters: str = LETTERS) -> Column:
+    """Counts of letters, six to a long, ten bits each (a larger count stays at 1023, which only loosens the bound)."""
+    n = [F.least(F.lit(1023), F.length(line) - F.length(F.replace(line, F.lit(c), F.lit("")))).cast("long") for c in letters]
     pack = lambda part: sum((F.shiftleft(x, 10 * i) for i, x in enumerate(part)), F.lit(0).cast("long"))
-    return F.array(pack(n[:6]), pack(n[6:]))
+    return F.array(*[pack(n[i : i + 6]) for i in range(0, len(letters), 6)])
 
 
-def _apart(a: str, b: str) -> Column:
+def _apart(a: str, b: str, letters: str = LETTERS) -> Column:
     """Sum of the differences of the letter counts: at most two for each edit."""
     field = lambda c, w, i: F.shiftright(F.get(F.col(c), F.lit(w)), 10 * i).bitwiseAND(F.lit(1023).cast("long"))
-    return sum((F.abs(field(a, w, i) - field(b, w, i)) for w in (0, 1) for i in range(6)), F.lit(0).cast("long"))
+    return sum((F.abs(field(a, i // 6, i % 6) - field(b, i // 6, i % 6)) for i in range(len(letters))), F.lit(0).cast("long"))
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -135,6 +145,27 @@ def _near(lines: DataFrame, edits: int) -> DataFrame:
     m = stash(m, "line-places")
     unstash(members)
 
+    near = _meet(m, known, edits, LETTERS)
+    unstash(m)
+    unstash(known)
+    return near
+
+
+def _finer(hot: DataFrame, known: DataFrame, edits: int) -> DataFrame:
+    """The members of hot keys (h1, h2) by finer segments: k, side, me."""
+    lines = stash(known.join(hot, ["h1", "h2"], "left_semi").withColumn("bag", _letters("line", LETTERS + DIGITS)), "line-hot")
+    keyed = segment_keys(lines, edits, PIECES)
+    often = keyed.filter("side = 0").groupBy("k").agg(F.count("*").alias("times"))
+    rare = F.row_number().over(Window.partitionBy("h1", "h2").orderBy("times", "k")) <= edits + 1
+    own = stash(keyed.filter("side = 0").distinct().join(often, "k").withColumn("rare", rare).filter("rare").select("k", "h1", "h2"), "line-rare")
+    probes = keyed.select("k", "h1", "h2").distinct().join(own.select("k").distinct(), "k", "left_semi")
+    members = probes.join(own.withColumn("side", F.lit(0)), ["k", "h1", "h2"], "left").withColumn("side", F.coalesce("side", F.lit(1)))
+    return members.join(lines.select("h1", "h2", "at", "n", "bag"), ["h1", "h2"]).select("k", "side", F.struct("at", "h1", "h2", "n", "bag").alias("me"))
+
+
+def _meet(m: DataFrame, known: DataFrame, edits: int, letters: str, many: int | None = MANY) -> DataFrame:
+    """(h1, h2) of the lines that have an earlier neighbour among the members (k, side, me) of one of their keys."""
+
     def tested(pairs: DataFrame) -> DataFrame:
         """(early, late) structs -> (h1, h2) of the late lines of those within the edits."""
         p = pairs.select(F.col("early.h1").alias("e1"), F.col("early.h2").alias("e2"), F.col("late.h1").alias("h1"), F.col("late.h2").alias("h2")).distinct()
@@ -148,21 +179,26 @@ def _near(lines: DataFrame, edits: int) -> DataFrame:
         return out
 
     def allowed(early: str, late: str) -> Column:
-        return (F.col(f"{early}.at") < F.col(f"{late}.at")) & (F.abs(F.col(f"{early}.n") - F.col(f"{late}.n")) <= edits) & (_apart(f"{early}.bag", f"{late}.bag") <= 2 * edits)
+        return (F.col(f"{early}.at") < F.col(f"{late}.at")) & (F.abs(F.col(f"{early}.n") - F.col(f"{late}.n")) <= edits) & (_apart(f"{early}.bag", f"{late}.bag", letters) <= 2 * edits)
 
     # the earliest line of a key, and the earliest that is indexed: one pair for each member
-    first = m.groupBy("k").agg(F.min("me").alias("any"), F.min(F.when(F.col("side") == 0, F.col("me"))).alias("own"))
-    star = m.join(first, "k").select("me", F.when(F.col("side") == 0, F.col("any")).otherwise(F.col("own")).alias("early"))
+    first = m.groupBy("k").agg(F.min("me").alias("any"), F.min(F.when(F.col("side") == 0, F.col("me"))).alias("own"), F.count("*").alias("members"))
+    star = m.join(first.drop("members"), "k").select("me", F.when(F.col("side") == 0, F.col("any")).otherwise(F.col("own")).alias("early"))
     star = star.filter("early IS NOT NULL").filter(allowed("early", "me"))
     done = tested(star.select("early", F.col("me").alias("late")))
     # lines still open meet every earlier member: pairs of an indexed and any member
     gone = done.select(F.col("h1").alias("g1"), F.col("h2").alias("g2"))
     left = m.select("k", "side", F.col("me").alias("late")).join(gone, F.expr("late.h1 = g1 AND late.h2 = g2"), "left_anti")
-    rest = left.alias("l").join(m.select("k", F.col("side").alias("side2"), F.col("me").alias("early")).alias("e"), (F.col("l.k") == F.col("e.k")) & ((F.col("side") == 0) | (F.col("side2") == 0)) & allowed("early", "late"))
-    more = tested(rest.select("early", "late"))
-    unstash(m)
-    unstash(known)
-    return done.union(more)
+    others = m.select("k", F.col("side").alias("side2"), F.col("me").alias("early"))
+    hot = stash(first.filter(F.col("members") > many).select("k"), "line-hot-keys") if many else None
+    if hot is not None and not hot.isEmpty():
+        of_hot = m.join(hot, "k", "left_semi").select("me.h1", "me.h2").distinct()
+        fine = stash(_finer(of_hot, known, edits), "line-finer")
+        done = done.union(_meet(fine, known, edits, LETTERS + DIGITS, None))
+        unstash(fine)
+        left = left.join(hot, "k", "left_anti")
+    rest = left.alias("l").join(others.alias("e"), (F.col("l.k") == F.col("e.k")) & ((F.col("side") == 0) | (F.col("side2") == 0)) & allowed("early", "late"))
+    return done.union(tested(rest.select("early", "late")))
 
 
 def line_flags(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:

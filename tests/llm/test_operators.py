@@ -181,6 +181,45 @@ def test_dedup_lines_brute_force(spark):
         assert got[i]["text"] == "\n".join(kept), i
 
 
+def test_lines_that_differ_in_their_numbers_only(spark):
+    """Keys with many members: the same result as every pair, and pairs in proportion to the lines."""
+    import duckdb
+
+    rng = random.Random(12)
+    number = lambda n: "".join(rng.choices("0123456789", k=n))
+    texts = [f"2024-01-17 reading of station {number(18)}" for _ in range(700)] + [f"page {rng.randrange(500)} of the yearly report 500" for _ in range(300)]
+    for k in range(150):
+        t = list(texts[rng.randrange(700)])
+        for _ in range(rng.randrange(1, 4)):
+            i = rng.randrange(len(t))
+            t[i : i + rng.randrange(2)] = rng.choice(["", "7", "x"])
+        texts.append("".join(t))
+    rng.shuffle(texts)
+    rows = list(enumerate(dict.fromkeys(texts)))
+    con = duckdb.connect()
+    con.execute("CREATE TABLE t (i BIGINT, s VARCHAR)")
+    con.executemany("INSERT INTO t VALUES (?, ?)", rows)
+    want = {r[0] for r in con.execute("SELECT DISTINCT b.i FROM t a JOIN t b ON a.i < b.i AND length(a.s) >= 24 AND length(b.s) >= 24 AND abs(length(a.s) - length(b.s)) <= 2 WHERE levenshtein(a.s, b.s) <= 2").fetchall()}
+    assert len(want) > 100
+    met = []
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    stashed = lines.stash
+
+    def counted(df, name):
+        out = stashed(df, name)
+        if name == "line-pairs":
+            met.append(out.count())
+        return out
+
+    lines.stash = counted
+    try:
+        got = {r["doc_id"] for r in lines.dedup_lines(d).collect() if r["n_near"]}
+    finally:
+        lines.stash = stashed
+    assert got == want
+    assert sum(met) < 12 * len(rows)
+
+
 def test_dedup_documents_keeps_columns_and_null_text(docs, rows):
     clash = docs.withColumn("n_exact", F.lit("mine")).withColumn("n_lines", F.lit(None).cast("date"))
     out = lines.dedup_documents(clash)
