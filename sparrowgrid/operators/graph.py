@@ -1,12 +1,12 @@
 """Graphs as edge tables (a, b, w): adjacency, Laplacians, components, attachment, cuts, and bounded kernels.
 
-Relational steps are joins and aggregations; what needs a whole small network at once (betweenness, spanning
-trees, spectra, flows) runs as one grouped pandas call per network, which checks its size first.
+Relational steps are joins and aggregations; what needs a whole small network at once (spectra, cut trees) runs as one
+grouped pandas call per network, which checks its size first. Spanning trees and bridges are in forest.py, shortest
+paths in paths.py.
 """
 
 from __future__ import annotations
 
-import heapq
 import tempfile
 from collections import deque
 
@@ -148,86 +148,6 @@ def _adjacent(pdf: pd.DataFrame) -> dict:
     return g
 
 
-def betweenness(adj: DataFrame) -> DataFrame:
-    """Share of shortest paths (by w as length) through each node, undirected, normalised; sources summed."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        g = _adjacent(pdf)
-        score = dict.fromkeys(g, 0.0)
-        for s in g:
-            dist, count, before, done = {s: 0.0}, {s: 1.0}, {s: []}, []
-            heap, seen = [(0.0, s)], set()
-            while heap:
-                d, v = heapq.heappop(heap)
-                if v in seen:
-                    continue
-                seen.add(v)
-                done.append(v)
-                for u, w in g[v].items():
-                    n = d + w
-                    if u not in dist or n < dist[u] - 1e-12:
-                        dist[u], count[u], before[u] = n, count[v], [v]
-                        heapq.heappush(heap, (n, u))
-                    elif u not in seen and abs(n - dist[u]) <= 1e-12:
-                        count[u] += count[v]
-                        before[u].append(v)
-            share = dict.fromkeys(done, 0.0)
-            for v in reversed(done):
-                for u in before[v]:
-                    share[u] += count[u] / count[v] * (1 + share[v])
-                if v != s:
-                    score[v] += share[v]
-        n = len(g)
-        scale = (n - 1) * (n - 2) or 1
-        return pd.DataFrame({"node": list(score), "score": [v / scale for v in score.values()]})
-
-    return kernel(adj, run, "node long, score double")
-
-
-def spanning_tree(adj: DataFrame) -> DataFrame:
-    """Edges of the minimum spanning forest, by Kruskal; ties by (a, b)."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        root: dict = {}
-
-        def find(x):
-            while root.setdefault(x, x) != x:
-                root[x] = root[root[x]]
-                x = root[x]
-            return x
-
-        rows = []
-        for w, a, b in sorted(zip(pdf["w"], pdf["a"], pdf["b"])):
-            x, y = find(a), find(b)
-            if x != y:
-                root[max(x, y)] = min(x, y)
-                rows.append((a, b, w))
-        return pd.DataFrame(rows, columns=["a", "b", "w"])
-
-    return kernel(adj.filter("a < b"), run, "a long, b long, w double")
-
-
-def bridges(adj: DataFrame) -> DataFrame:
-    """Edges whose loss splits a component (no parallel edges here: they were added up)."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        g = _adjacent(pdf)
-        rows = []
-        for a, b in [(x, y) for x in g for y in g[x] if x < y]:
-            todo, seen = [a], {a}
-            while todo:
-                v = todo.pop()
-                for u in g[v]:
-                    if u not in seen and (v, u) not in ((a, b), (b, a)):
-                        seen.add(u)
-                        todo.append(u)
-            if b not in seen:
-                rows.append((a, b, len(seen)))
-        return pd.DataFrame(rows, columns=["a", "b", "side"])
-
-    return kernel(adj, run, "a long, b long, side long")
-
-
 def max_flow(g: dict, s, t) -> tuple[float, set]:
     """Value of a maximum flow and the source side of a minimum cut, by shortest augmenting paths."""
     cap = {v: dict(n) for v, n in g.items()}

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..operators import cluster as C
 from ..operators import contingency as X
+from ..operators import forest, paths, solve
 from ..operators import graph as G
 from ..operators import linalg as L
 from ..operators import relational as R
@@ -145,7 +146,7 @@ def laplacian_coo(spark, sf):
 
 @query(f"WITH {RING} SELECT name AS branch, m AS bus, round(v, 7) AS v FROM ptdf")
 def ptdf_values(spark, sf):
-    return L.ptdf(ring(spark, sf)).select("branch", "bus", r("v", 7).alias("v"))
+    return solve.ptdf(ring(spark, sf)).select("branch", "bus", r("v", 7).alias("v"))
 
 
 @query(f"""WITH RECURSIVE {SPARSE}, {POWER}, reach(node, seen) AS (SELECT a, a FROM adj UNION SELECT node, b FROM reach JOIN adj ON seen = a), part AS (SELECT node, min(seen) AS part FROM reach GROUP BY 1)
@@ -153,7 +154,7 @@ SELECT bus, round(p - avg(p) OVER (PARTITION BY part), 5) AS p FROM inj0 JOIN pa
 def ptdf_balance(spark, sf):
     """Net flow out of each bus: the injection, as injections add up to 0 in every component."""
     b = branches(spark, sf)
-    f = L.flows(L.ptdf(b), injections(spark, sf).drop("case")).join(L.incidence(b).withColumnRenamed("v", "s"), "branch")
+    f = L.flows(solve.ptdf(b), injections(spark, sf).drop("case")).join(L.incidence(b).withColumnRenamed("v", "s"), "branch")
     return f.groupBy("bus").agg(r(F.sum(F.col("flow") * F.col("s")), 5).alias("p"))
 
 
@@ -161,20 +162,21 @@ def ptdf_balance(spark, sf):
 def branch_flows(spark, sf):
     """Flows by PTDF and by angles."""
     b, p = ring(spark, sf), _power(spark, sf)
-    a = L.angle_flows(b, p).select("branch", r("flow", 6).alias("by_angles"), r("loading", 6).alias("loading"))
-    return L.flows(L.ptdf(b), p.drop("case")).select("branch", r("flow", 6).alias("by_factors")).join(a, "branch")
+    a = solve.branch_flows(b, solve.angles(b, p)).select("branch", r("flow", 6).alias("by_angles"), r("loading", 6).alias("loading"))
+    return L.flows(solve.ptdf(b), p.drop("case")).select("branch", r("flow", 6).alias("by_factors")).join(a, "branch")
 
 
 @query(f"WITH {RING} SELECT name AS branch, round(t - (sum(x * t + CASE WHEN i % 4 = 1 THEN 2.0 ELSE 0 END) OVER ()) / xs, 6) AS flow FROM base")
 def phase_shifter_flows(spark, sf):
-    return L.angle_flows(ring(spark, sf, True), _power(spark, sf)).select("branch", r("flow", 6).alias("flow"))
+    b = ring(spark, sf, True)
+    return solve.branch_flows(b, solve.angles(b, _power(spark, sf))).select("branch", r("flow", 6).alias("flow"))
 
 
 @query(f"""WITH {RING}, w AS (SELECT name, sum(v * d) / sum(d) AS m FROM ptdf JOIN p0 ON m = bus GROUP BY 1), e AS (SELECT name, avg(v) AS m FROM ptdf GROUP BY 1), o AS (SELECT name, v AS m FROM ptdf WHERE m = 7)
 SELECT name AS branch, m.m AS bus, round(v - w.m, 7) AS by_load, round(v - e.m, 7) AS by_bus_mean, round(v - o.m, 7) AS by_bus FROM ptdf m JOIN w USING (name) JOIN e USING (name) JOIN o USING (name)""")
 def shift_factors(spark, sf):
     """Factors against the load, the mean of all buses, and one bus."""
-    f, p = L.ptdf(ring(spark, sf)), _power(spark, sf)
+    f, p = solve.ptdf(ring(spark, sf)), _power(spark, sf)
     key = ["branch", "bus"]
     load = L.shift_factors(f, p.select("bus", F.col("load").alias("w"))).select(*key, r("v", 7).alias("by_load"))
     even = L.shift_factors(f, p.select("bus", F.lit(1.0).alias("w"))).select(*key, r("v", 7).alias("by_bus_mean"))
@@ -185,7 +187,7 @@ def shift_factors(spark, sf):
 @query(f"""WITH {RING}, c AS (SELECT s_nationkey AS m, sum(greatest(s_acctbal, 1)) AS c FROM supplier GROUP BY 1) SELECT name AS branch, bus, round(e, 6) AS effect FROM (SELECT name, m AS bus, v - (sum(v * c) OVER (PARTITION BY name)) / (sum(c) OVER (PARTITION BY name)) AS e FROM ptdf JOIN c USING (m)) WHERE abs(e) >= 0.05""")
 def effectiveness_relative(spark, sf):
     cap = table(spark, sf, "supplier").groupBy(F.col("s_nationkey").cast("long").alias("bus")).agg(F.sum(F.greatest("s_acctbal", F.lit(1.0))).alias("capacity"))
-    return L.relative_effectiveness(L.ptdf(ring(spark, sf)), cap).select("branch", "bus", r("effect", 6).alias("effect"))
+    return L.relative_effectiveness(solve.ptdf(ring(spark, sf)), cap).select("branch", "bus", r("effect", 6).alias("effect"))
 
 
 @query(f"WITH {RING} SELECT outage, name AS branch, round(before, 6) AS before, round(f, 6) AS after FROM lost")
@@ -227,15 +229,15 @@ def remedy_score(spark, sf):
 @query(f"WITH {RING} SELECT e.name AS branch, j.name AS changed, round(j.f / (j.xs * j.b * j.b), 6) AS v FROM base e, base j")
 def susceptibility_values(spark, sf):
     """Change of each flow with each susceptance; tests hold it against a finite difference."""
-    return L.susceptibility(ring(spark, sf), _power(spark, sf)).select("branch", "changed", r("v", 6).alias("v"))
+    return solve.susceptibility(ring(spark, sf), _power(spark, sf)).select("branch", "changed", r("v", 6).alias("v"))
 
 
 @query(f"""WITH {RING}, c AS (SELECT e.name AS branch, j.name AS changed, -sign(e.f) * j.f / (j.xs * j.b * j.b) AS relief FROM base e, base j), k AS (SELECT *, row_number() OVER (PARTITION BY branch ORDER BY round(abs(relief), 9) DESC, changed) AS rank FROM c)
 SELECT branch, changed, round(relief, 6) AS relief, rank::INT AS rank FROM k WHERE rank <= 3""")
 def reinforcement_candidates(spark, sf):
     b, p = ring(spark, sf), _power(spark, sf)
-    s = L.susceptibility(b, p).withColumn("v", F.round("v", 9))
-    return L.candidates(s, L.flows(L.ptdf(b), p.drop("case"))).filter("rank <= 3").select("branch", "changed", r("relief", 6).alias("relief"), "rank")
+    s = solve.susceptibility(b, p).withColumn("v", F.round("v", 9))
+    return L.candidates(s, solve.branch_flows(b, solve.angles(b, p))).filter("rank <= 3").select("branch", "changed", r("relief", 6).alias("relief"), "rank")
 
 
 def _tight(spark, sf):
@@ -295,7 +297,7 @@ n AS (SELECT DISTINCT a AS v FROM adj), c AS (SELECT v, count(*) AS c FROM n JOI
 SELECT v AS node, round(coalesce(c, 0) / ((SELECT count(*) FROM n) - 1) / ((SELECT count(*) FROM n) - 2)::DOUBLE, 8) AS score FROM n LEFT JOIN c USING (v)""")
 def betweenness(spark, sf):
     """Lengths differ here, so a pair has one shortest path."""
-    return G.betweenness(adj(spark, sf).withColumn("w", 1e6 / F.col("w"))).select("node", r("score", 8).alias("score"))
+    return paths.betweenness(adj(spark, sf).withColumn("w", 1e6 / F.col("w"))).select("node", r("score", 8).alias("score"))
 
 
 ONE = SPARSE.replace("k <= 3", "k <= 1")
@@ -311,21 +313,21 @@ def cut_tree(spark, sf):
 
 @query(f"""WITH RECURSIVE {SPARSE}, e AS (SELECT a, b FROM pairs) SELECT (SELECT count(DISTINCT n) FROM (SELECT a AS n FROM e UNION SELECT b FROM e)) - 1 AS edges""")
 def spanning_tree_size(spark, sf):
-    return G.spanning_tree(adj(spark, sf)).agg(F.count("*").alias("edges"))
+    return forest.spanning_tree(adj(spark, sf)).agg(F.count("*").alias("edges"))
 
 
 @query(f"""WITH RECURSIVE {SPARSE}, reach(ea, eb, ew, node) AS (SELECT a, b, w, a FROM pairs UNION SELECT ea, eb, ew, adj.b FROM reach JOIN adj ON adj.a = node WHERE (adj.w, least(adj.a, adj.b), greatest(adj.a, adj.b)) < (ew, ea, eb))
 SELECT count(*) AS edges, round(sum(w), 2) AS length FROM pairs WHERE NOT EXISTS (SELECT 1 FROM reach WHERE ea = a AND eb = b AND node = b)""")
 def mst_length(spark, sf):
     """A branch is in the tree unless lesser ones connect its ends."""
-    return G.spanning_tree(adj(spark, sf)).agg(F.count("*").alias("edges"), r(F.sum("w"), 2).alias("length"))
+    return forest.spanning_tree(adj(spark, sf)).agg(F.count("*").alias("edges"), r(F.sum("w"), 2).alias("length"))
 
 
 @query(f"""WITH RECURSIVE {TWO}, reach(ea, eb, node) AS (SELECT a, b, a FROM pairs UNION SELECT ea, eb, adj.b FROM reach JOIN adj ON adj.a = node WHERE NOT (least(adj.a, adj.b) = ea AND greatest(adj.a, adj.b) = eb))
 SELECT ea AS a, eb AS b, NOT bool_or(node = eb) AS islands FROM reach GROUP BY 1, 2""")
 def islanding_screen(spark, sf):
     p = pairs(spark, sf, 2)
-    return p.select("a", "b").join(G.bridges(G.adjacency(p)), ["a", "b"], "left").select("a", "b", F.col("side").isNotNull().alias("islands"))
+    return p.select("a", "b").join(forest.bridges(G.adjacency(p)), ["a", "b"], "left").select("a", "b", F.col("side").isNotNull().alias("islands"))
 
 
 @query(f"""WITH RECURSIVE {SPARSE}, d AS (SELECT a, sum(w) AS d FROM adj GROUP BY 1), t AS (SELECT adj.a, b, w / d AS t FROM adj JOIN d ON adj.a = d.a),
