@@ -36,7 +36,7 @@ from .common import flat, new_folder, partitions, release, slices, stash, text_b
 END_ID = 0
 FILE_BYTES = 48_000_000  # of text to a file, about
 SLICE = 2_000_000  # bytes of text that are encoded at once
-PIECES, WORDS, LONGEST = 300_000, 200_000, 64  # entries of the two tables of a worker; characters of a piece that is kept
+PIECES, WORDS, LONGEST = 200_000, 300_000, 64  # entries of a generation of a worker's two tables; characters of a piece that is kept
 HEAD, BODY = struct.Struct("<QI"), struct.Struct("<BqB")
 FRAME = HEAD.size + 5  # bytes of a record besides its payload
 PLAIN = "A-Za-zÀ-ÖØ-öø-ÿ"
@@ -80,6 +80,25 @@ def records(data: bytes, verify: bool = True) -> Iterator[tuple[int, int, int |
         at = end
 
 
+class Table(dict):
+    """What was worked out before, in two generations of `most` entries; keys of up to LONGEST characters are kept."""
+
+    def __init__(self, work, most: int):
+        super().__init__()
+        self.work, self.most, self.old = work, most, {}
+
+    def __missing__(self, key: str) -> bytes:
+        found = self.old.get(key)
+        if found is None:
+            found = self.work(key)
+        if len(key) <= LONGEST:
+            if len(self) >= self.most:
+                self.old = dict(self)
+                self.clear()
+            self[key] = found
+        return found
+
+
 class Encoder:
     """Packed ids of texts by a byte-level BPE file of the tokenizers library, the same as its encode().
 
@@ -98,42 +117,37 @@ class Encoder:
         self.plain = pre.get("type") == "ByteLevel" and pre["use_regex"] and not pre["add_prefix_space"] and spec["normalizer"] is None and post["type"] == "ByteLevel"
         self.plain = self.plain and not spec["model"].get("dropout")
         self.special = [t["content"] for t in spec["added_tokens"]]
-        self.width = 2 if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 65536 else 4
-        self.kind = np.dtype(f"<u{self.width}")
-        self.pieces: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
+        n = self.tokenizer.get_vocab_size(with_added_tokens=True)
+        self.width = 2 if n <= 65536 else 4
+        self.packed = [i.to_bytes(self.width, "little") for i in range(n)]
+        self.forget()
+
+    def forget(self) -> None:
+        """Empties the tables."""
+        self.pieces, self.words = Table(self.after_blank, PIECES), Table(self.word, WORDS)
 
     def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
+        return b"".join(map(self.packed.__getitem__, self.tokenizer.encode(text, add_special_tokens=False).ids))
 
     def word(self, w: str) -> bytes:
-        found = self.words.get(w)
-        if found is None:
-            ids = [t.id for t in self.tokenizer.model.tokenize(w.encode().decode("latin-1").translate(ALPHABET))]
-            found = np.array(ids, self.kind).tobytes()
-            if len(w) <= LONGEST:
-                self.words[w] = found
-        return found
+        if w.isascii() and "\n" not in w:
+            w = w.replace(" ", chr(ALPHABET[32]))
+        else:
+            w = w.encode().decode("latin-1").translate(ALPHABET)
+        packed = self.packed
+        return b"".join([packed[t.id] for t in self.tokenizer.model.tokenize(w)])
+
+    def after_blank(self, p: str) -> bytes:
+        return self.words[" " + p] if p.isascii() and p.isalpha() else self.piece(" " + p)
 
     def piece(self, p: str) -> bytes:
-        if EASY.fullmatch(p):
-            found = b"".join(map(self.word, SPLIT.findall(p)))
-        else:
-            found = self.whole(p)
-        if len(p) <= LONGEST:
-            self.pieces[p] = found
-        return found
+        return b"".join(map(self.words.__getitem__, SPLIT.findall(p))) if EASY.fullmatch(p) else self.whole(p)
 
     def encode(self, text: str) -> bytes:
         if not self.plain or any(s in text for s in self.special):
             return self.whole(text)
-        if len(self.pieces) > PIECES:
-            self.pieces.clear()
-        if len(self.words) > WORDS:
-            self.words.clear()
         first, *rest = CUT.split(text)
-        known, new = self.pieces.get, self.piece
-        return b"".join([known(p) or new(p) for p in [first, *[" " + r for r in rest]]])
+        return self.piece(first) + b"".join(map(self.pieces.__getitem__, rest))
 
 
 _encoders: dict[str, Encoder] = {}
@@ -149,7 +163,7 @@ def encoder(path: str) -> Encoder:
 def dismiss(path: str) -> None:
     """An idle worker keeps the tokenizer only."""
     if path in _encoders:
-        _encoders[path].pieces, _encoders[path].words = {}, {}
+        _encoders[path].forget()
     release()
 
 
@@ -164,7 +178,7 @@ def write_records(docs: DataFrame, folder: str, path: str, end: int = END_ID, fi
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(path)
-        last = np.array([end], e.kind).tobytes()
+        last = end.to_bytes(e.width, "little")
         try:
             for whole in batches:
                 for b in slices(whole, "text", SLICE):
