@@ -7,30 +7,47 @@ paths in paths.py.
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 from collections import deque
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .relational import runner_up, top
 
 MOST_NODES = 2000
 MOST_ROWS = 1_000_000
+_saved: list[tuple[SparkSession, str]] = []
 
 
 def saved(df: DataFrame) -> DataFrame:
-    """Cuts the lineage with a reliable checkpoint in spark.checkpoint.dir (a temporary folder where it is unset, locally)."""
+    """Cuts the lineage by a table in spark.checkpoint.dir (a temporary folder where it is unset, locally). A table that is
+    read back has a known size and brings no constraints along, which rounds of self-joins would double each time."""
     spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None):
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not folder:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a shared folder")
-        folder = tempfile.mkdtemp(prefix="sparrowgrid-")
+        folder = "file://" + tempfile.mkdtemp(prefix="sparrowgrid-")
         spark.conf.set("spark.checkpoint.dir", folder)
-        spark.sparkContext.setCheckpointDir(folder)
-    return df.checkpoint()
+    path = f"{folder.rstrip('/')}/saved-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    _saved.append((spark, path))
+    return spark.read.schema(df.schema).parquet(path)
+
+
+@atexit.register
+def _clean() -> None:
+    for spark, path in _saved:
+        try:
+            p = spark._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+        except Exception:  # the session has ended; the folder's owner cleans up
+            return
 
 
 def kernel(df: DataFrame, f, schema: str, by: str | None = None) -> DataFrame:
