@@ -214,7 +214,7 @@ def _below(marks: list[int], x: Column) -> Column:
 def versions(docs: DataFrame) -> DataFrame:
     """doc_id, text -> doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
 
-    The following document is the next by doc_id (null first, rows of one doc_id by text), and the first after the
+    The following document is the next by doc_id (null first, rows of one doc_id by the hash of their text), and the first after the
     last; a single document follows itself. Null text counts as empty; two empty texts are alike (1). Repeated rows
     follow each other like any rows. An empty table gives none. Other columns are not read.
 

@@ -151,11 +151,14 @@ def fit(doc: np.ndarray, feature: np.ndarray, grade: np.ndarray, penalty: float
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """docs: doc_id, text; labels: doc_id, quality, toxic. Labels with a null are left out; of several labels for a
-    document the lowest grade holds; of rows that share a doc_id each is a case. The sample's size is `sample`."""
+    document the lowest grade holds; of rows that share a doc_id the one whose text has the least hash is the case (a null
+    text before all others), so that at most `sample` documents are fitted, however often an id repeats."""
     grade = F.when(F.col("quality") == 0, 0).when(F.col("toxic") == 1, 1).otherwise(2)
     g = labels.filter("doc_id IS NOT NULL AND quality IS NOT NULL AND toxic IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), grade.alias("grade"))
     g = g.groupBy("doc_id").agg(F.min("grade").alias("grade")).orderBy(F.md5(F.col("doc_id").cast("string"))).limit(sample)
     cases = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(g), "doc_id")
+    least = F.min_by(F.struct("text", "grade"), F.struct(F.when(F.col("text").isNotNull(), F.xxhash64("text")), F.md5("text")))
+    cases = cases.groupBy("doc_id").agg(least.alias("c")).select("doc_id", "c.text", "c.grade")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:

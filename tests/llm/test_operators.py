@@ -444,6 +444,20 @@ def test_quality_edges(spark, docs, rows):
     assert quality.keep_good(docs, labels).columns == docs.columns
 
 
+def test_quality_fits_one_row_of_an_id(spark):
+    """An id that repeats without end adds one case to the fit, the same whatever the order of rows."""
+    rows = [(i % 3, f"words of text {i} " * (1 + i % 5)) for i in range(300)] + [(3, None), (3, "x")]
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(4)], "doc_id long, quality int, toxic int")
+    seen, plain = [], quality.fit
+    quality.fit = lambda doc, feature, grade: seen.append((len(grade), sorted(set(doc.tolist())), feature.tolist())) or plain(doc, feature, grade)
+    try:
+        for k in (1, 7):
+            quality.train(spark.createDataFrame(rows if k == 1 else rows[::-1], "doc_id long, text string").repartition(k), labels)
+    finally:
+        quality.fit = plain
+    assert seen[0][0] == 4 and seen[0] == seen[1]
+
+
 # 6
 
 
