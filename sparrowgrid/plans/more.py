@@ -12,11 +12,12 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import cluster as C
+from ..operators import draws as D
 from ..operators import linalg as L
 from ..operators import relational as R
 from ..operators import spatial as P
 from .network import SPARSE, adj, branches, injections, nodes, pairs, rows_only
-from .relational import HOURLY, TRADE, hourly, query, r, table, trade
+from .relational import HOURLY, TRADE, hourly, places, query, r, table, trade
 
 
 @query("""SELECT event_type, round(avg(CASE WHEN hub < 3 OR hub >= 25 THEN 0 WHEN hub >= 12 THEN 1 ELSE (pow(hub, 3) - 27) / (1728 - 27) END * 0.95), 6) AS cf FROM (
@@ -220,17 +221,24 @@ def token_sort_ratio(spark, sf):
     return R.runner_up(scored, ["name"], [F.desc("score"), "best"], "score")
 
 
-def _weibull(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for b in batches:
-        p = b["z"].map(lambda z: 0.5 * (1 + math.erf(z / math.sqrt(2)))).clip(0, 1 - 1e-12)
-        yield pd.DataFrame({"event_id": b["event_id"], "speed": 8.0 * (-((1 - p).map(math.log))) ** (1 / 2.0)})
-
-
-@rows_only
+@query("""WITH s AS (SELECT event_id, (value - 50) / 50 AS z, abs(value - 50) / 50 / sqrt(2::DOUBLE) AS x FROM events),
+p AS (SELECT event_id, 0.5 + sign(z) * CASE WHEN x = 0 THEN 0 ELSE exp(-x * x) * list_sum(list_transform(range(0, 120), lambda k: exp((2 * k + 1) * ln(x) - lgamma(k + 1.5)))) / 2 END AS p FROM s)
+SELECT event_id, round(8 * sqrt(-ln(1 - least(p, 1 - 1e-12))), 3) AS speed FROM p""")
 def weibull_copula(spark, sf):
     """Normal scores to Weibull speeds (scale 8, shape 2)."""
     e = table(spark, sf, "events").select("event_id", ((F.col("value") - 50) / 50).alias("z"))
-    return e.mapInPandas(_weibull, "event_id long, speed double")
+    return e.select("event_id", r(S.weibull_speed("z", 8.0, 2.0), 3).alias("speed"))
+
+
+@rows_only
+def correlated_speeds(spark, sf):
+    """Wind speeds of all nations in every hour with events: correlated by distance (a tenth for every 200 km), Weibull."""
+    p = places(spark, sf)
+    x, y = p.toDF("a", "lat1", "lon1"), p.toDF("b", "lat2", "lon2")
+    km = S.haversine_km("lat1", "lon1", "lat2", "lon2")
+    near = x.join(y, F.col("a") < F.col("b")).select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"), F.exp(-km * math.log(10) / 200).alias("r"))
+    hours = table(spark, sf, "events").select(F.date_trunc("hour", "ts").alias("hour")).distinct()
+    return D.correlated(near, hours, "hour", seed=30).withColumn("speed", S.weibull_speed("z", 8.0, 2.0))
 
 
 @query(f"""WITH {HOURLY}, k AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY snapshot) AS t FROM hourly)

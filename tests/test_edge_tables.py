@@ -156,3 +156,32 @@ def test_susceptibility_is_the_derivative(spark):
         up, down = ([*rows[:j], (a, b, w + h), *rows[j + 1 :]] for h in (1e-5, -1e-5))
         d = (flow(up) - flow(down)) / 2e-5
         assert [got[f"{x}-{y}", f"{a}-{b}"] for x, y, _ in rows] == pytest.approx(d, abs=1e-6)
+
+
+def test_correlated_draws(spark):
+    """A factor of given correlations, of contradictory ones, and the same numbers in every run and partitioning."""
+    from sparrowgrid.operators import draws
+
+    pairs = [(1, 2, 0.8), (2, 5, 0.3), (1, 5, 0.1)]
+    d = spark.createDataFrame(pairs, "a long, b long, r double")
+    low = np.array([r["row"] for r in sorted(draws.factor(d).collect(), key=lambda r: r["i"])])
+    assert low @ low.T == pytest.approx(np.array([[1, 0.8, 0.1], [0.8, 1, 0.3], [0.1, 0.3, 1]]), abs=1e-12)
+    odd = spark.createDataFrame([(1, 2, 0.95), (2, 5, 0.95), (1, 5, -0.95)], "a long, b long, r double")
+    low = np.array([r["row"] for r in sorted(draws.factor(odd).collect(), key=lambda r: r["i"])])
+    assert (low**2).sum(axis=1) == pytest.approx([1, 1, 1])
+    times = spark.range(4000).withColumnRenamed("id", "t")
+    got = {(r["t"], r["site"]): r["z"] for r in draws.correlated(d, times, "t", 3).collect()}
+    again = {(r["t"], r["site"]): r["z"] for r in draws.correlated(d, times.repartition(3), "t", 3).collect()}
+    assert got == again and len(got) == 12_000
+    z = np.array([[got[t, s] for t in range(4000)] for s in (1, 2, 5)])
+    assert np.corrcoef(z)[0, 1] == pytest.approx(0.8, abs=0.03) and np.corrcoef(z)[1, 2] == pytest.approx(0.3, abs=0.08)
+
+
+def test_normal_distribution_function(spark):
+    import math
+
+    from sparrowgrid.functions import scalars
+
+    z = [-40.0, -8.1, -7.9, -5.0, -1.3, -1e-9, 0.0, 0.4, 3.0, 6.5, 8.5, 40.0]
+    got = [r[0] for r in spark.createDataFrame([(i, x) for i, x in enumerate(z)], "i int, z double").orderBy("i").select(scalars.normal_cdf("z")).collect()]
+    assert got == pytest.approx([0.5 * math.erfc(-x / math.sqrt(2)) for x in z], abs=1e-14)

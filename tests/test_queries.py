@@ -139,18 +139,28 @@ def check_token_sort(rows, spark, sf):
         assert (r["best"], r["score"], r["runner_up"]) == (found[0][1], pytest.approx(-found[0][0]), pytest.approx(-found[1][0]))
 
 
-def check_weibull(rows, spark, sf):
-    value = {r["event_id"]: r["value"] for r in spark.read.parquet(f"{sf}/events.parquet").select("event_id", "value").collect()}
+def check_correlated(rows, spark, sf):
+    """Means, deviations and correlations within five standard errors of what is asked for."""
+    z = {}
     for r in rows:
-        p = min(1 - 1e-12, 0.5 * math.erfc(-(value[r["event_id"]] - 50) / 50 / math.sqrt(2)))
-        assert r["speed"] == pytest.approx(8 * math.sqrt(-math.log(1 - p)), rel=1e-6, abs=1e-6)
+        z.setdefault(r["site"], {})[r["hour"]] = r["z"]
+    hours = sorted(next(iter(z.values())))
+    m = np.array([[z[s][h] for h in hours] for s in sorted(z)])
+    n = len(hours)
+    assert abs(m.mean(axis=1)).max() < 5 / n**0.5 and abs(m.std(axis=1) - 1).max() < 5 / (2 * n) ** 0.5
+    want = {(r["a"], r["b"]): 10 ** (-r["km"] / 200) for r in QUERIES["haversine_pairs"](spark, sf).collect()}
+    got = np.corrcoef(m)
+    for (a, b), x in want.items():
+        assert abs(np.arctanh(got[a, b]) - np.arctanh(x)) < 5 / (n - 3) ** 0.5
+    for r in rows[:200]:
+        assert r["speed"] == pytest.approx(8 * math.sqrt(-math.log(0.5 * math.erfc(r["z"] / math.sqrt(2)))), rel=1e-9)
 
 
 CHECKS = {
     "remedies": check_remedies, "arm_headline": check_headline, "node_usage": check_usage, "cascade": check_cascade, "reinforcement_loop": check_reinforcement,
     "spectral_zones": lambda *a: covers(*a, "zone", 4), "walk_zones": lambda *a: covers(*a, "zone", 4), "bisected_zones": lambda *a: covers(*a, "part", 4), "peeled_zones": lambda *a: covers(*a, "part", 4),
     "cheeger_zones": lambda *a: covers(*a, "part", 4), "cut_tree_zones": check_cut_tree_zones, "fiedler_bisection": check_bisection, "lowest_eigenpairs": check_eigenpairs, "week_alignment": check_alignment,
-    "token_sort_ratio": check_token_sort, "weibull_copula": check_weibull,
+    "token_sort_ratio": check_token_sort, "correlated_speeds": check_correlated,
 }
 
 
