@@ -113,13 +113,11 @@ def expand_map(df: DataFrame, json: str, keys: dict[str, str]) -> DataFrame:
 
 def similar_pairs(left: DataFrame, right: DataFrame, key: str, other: str, least: float) -> DataFrame:
     """Every pair of rows whose texts have an edit similarity of `least` or more (1 less the distance over the longer
-    length), with `score`. A text can only be that similar to one whose length lies between least times its own and its own
-    over least, so the sides meet by length: an equi-join that leaves no pair out."""
-    n = F.char_length(key)
-    reach = F.sequence(F.greatest(F.lit(0), F.ceil(n * least - 1e-9)).cast("int"), F.floor(n / least + 1e-9).cast("int"))
-    l = left.withColumn("__n", F.explode(reach))
-    score = 1 - F.levenshtein(key, other) / F.nullif(F.greatest(F.char_length(key), F.char_length(other)), F.lit(0))
-    return l.join(right.withColumn("__m", F.char_length(other)), F.col("__n") == F.col("__m")).withColumn("score", F.coalesce(score, F.lit(1.0))).filter(F.col("score") >= least).drop("__n", "__m")
+    length), with `score`. The texts, each once, meet by their rarest q-grams; rows follow by equality."""
+    from .textindex import similar_texts
+
+    pairs = similar_texts(left, right, key, other, least).withColumnRenamed(key, "__key").withColumnRenamed(other, "__other")
+    return left.join(pairs, F.col(key) == F.col("__key")).join(right, F.col("__other") == F.col(other)).drop("__key", "__other")
 
 
 def every_pair(left: DataFrame, right: DataFrame, blocks: int = 16) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import relational as R
+from ..operators.textindex import nearest_texts
 from ..operators import series as T
 
 QUERIES: dict = {}
@@ -211,8 +212,7 @@ k AS (SELECT *, lead(d) OVER w AS runner_up, row_number() OVER w AS i FROM j WIN
 SELECT p_name, best, d::INT AS d, runner_up::INT AS runner_up, (d - runner_up)::INT AS margin FROM k WHERE i = 1""")
 def levenshtein_top1_margin(spark, sf):
     n = table(spark, sf, "part").select("p_name").distinct()
-    j = R.every_pair(n, n.withColumnRenamed("p_name", "best")).filter("p_name <> best")
-    return R.runner_up(j.withColumn("d", F.levenshtein("p_name", "best")), ["p_name"], ["d", "best"], "d")
+    return R.runner_up(nearest_texts(n, n.withColumnRenamed("p_name", "best"), "p_name", "best"), ["p_name"], ["d", "best"], "d")
 
 
 @query("""SELECT array_to_string(list_sort(list_filter(string_split_regex(lower(p_name), '[^a-z0-9]+'), lambda w: w <> '')), ' ') AS token_key, count(*) AS n, count(DISTINCT p_name) AS names FROM part GROUP BY 1""")
