@@ -70,3 +70,34 @@ def in_polygon(points: DataFrame, polygons: DataFrame, size: float, edge_width:
     e = e.withColumn("t", F.coalesce(along, F.lit(0.0)))
     on = F.expr("sqrt(pow(x - px - t * (qx - px), 2) + pow(y - py - t * (qy - py), 2))") <= edge_width
     return e.groupBy("id", "name").agg(F.count_if(crossed).alias("n"), F.count_if(on).alias("on")).filter("n % 2 = 1 OR on > 0").select("id", "name")
+
+
+def coupled(places: DataFrame, links: DataFrame) -> DataFrame:
+    """Places (node, x, y; NULL where unknown) with those of nodes that links without impedance (a, b) join to a placed one:
+    node, x, y, origin (the node they come from), links (steps to it; 0 for its own place). The nearest placed node by
+    links counts, of several the smallest; each round goes one link on from what the last one placed, until nothing
+    changes. Nodes that no placed one reaches keep NULL."""
+    from .graph import saved
+
+    e = saved(links.select("a", "b").union(links.select("b", "a")).filter("a <> b").distinct())
+    own = F.when(F.col("x").isNotNull() & F.col("y").isNotNull(), F.col("node"))
+    start = saved(places.select("node", "x", "y", own.alias("origin")).withColumn("links", F.when(F.col("origin").isNotNull(), 0)))
+    now, step = start.select("node", "origin", "links"), 0
+    while True:
+        front = e.join(now.filter(F.col("links") == step), F.col("b") == F.col("node")).groupBy("a").agg(F.min("origin").alias("__o"))
+        now = saved(now.join(front, F.col("node") == F.col("a"), "left").select("node", F.coalesce("origin", "__o").alias("origin"), F.coalesce("links", F.when(F.col("__o").isNotNull(), step + 1)).alias("links")))
+        step += 1
+        if now.filter(F.col("links") == step).isEmpty():
+            break
+    at = start.filter("links = 0").select(F.col("node").alias("origin"), "x", "y")
+    return now.join(at, "origin", "left").select("node", "x", "y", "origin", "links")
+
+
+def same_site(places: DataFrame, site: str) -> DataFrame:
+    """Places (node, x, y, site) where an unplaced node of a site takes the mean of the site's placed ones; `shared` says
+    which did. Nodes without a site share nothing."""
+    mean = places.filter(F.col(site).isNotNull() & F.col("x").isNotNull() & F.col("y").isNotNull()).groupBy(F.col(site).alias("__s")).agg(F.avg("x").alias("__x"), F.avg("y").alias("__y"))
+    own = F.col("x").isNotNull() & F.col("y").isNotNull()
+    j = places.join(mean, F.col(site) == F.col("__s"), "left")
+    pick = lambda c: F.when(own, F.col(c)).otherwise(F.col(f"__{c}")).alias(c)
+    return j.select("node", pick("x"), pick("y"), site, (~own & F.col("__x").isNotNull()).alias("shared"))

@@ -16,7 +16,7 @@ from ..operators import draws as D
 from ..operators import linalg as L
 from ..operators import relational as R
 from ..operators import spatial as P
-from .network import SPARSE, adj, branches, injections, nodes, pairs, rows_only
+from .network import SPARSE, TREE, adj, branches, injections, nodes, pairs, rows_only
 from .relational import HOURLY, TRADE, hourly, places, query, r, table, trade
 
 
@@ -145,6 +145,28 @@ def neighbour_mean(spark, sf):
     return x.select("n", r("v", 6).alias("v"))
 
 
+SOME = "CASE WHEN n_nationkey % 6 = 1 THEN n_nationkey * 1.5::DOUBLE END AS x, CASE WHEN n_nationkey % 6 = 1 THEN 50 - n_nationkey * 0.5::DOUBLE END AS y"
+
+
+def some_places(spark, sf: str) -> DataFrame:
+    k, has = F.col("n_nationkey").cast("long"), F.col("n_nationkey") % 6 == 1
+    return table(spark, sf, "nation").select(k.alias("node"), F.when(has, k * 1.5).alias("x"), F.when(has, 50 - k * 0.5).alias("y"), "n_regionkey")
+
+
+@query(f"""WITH RECURSIVE {TREE}, e AS (SELECT a, b FROM pairs UNION SELECT b, a FROM pairs), p AS (SELECT n_nationkey::BIGINT AS node, {SOME} FROM nation),
+walk(node, origin, links) AS (SELECT node, node, 0 FROM p WHERE x IS NOT NULL UNION SELECT e.b, origin, links + 1 FROM walk JOIN e ON node = e.a WHERE links < 25),
+best AS (SELECT node, min((links, origin)) AS m FROM walk GROUP BY 1)
+SELECT p.node, o.x, o.y, o.node AS origin, CASE WHEN o.node IS NOT NULL THEN m[1] END::INT AS links FROM p LEFT JOIN best USING (node) LEFT JOIN p o ON o.node = m[2]""")
+def coupled_places(spark, sf):
+    return P.coupled(some_places(spark, sf), pairs(spark, sf, 1))
+
+
+@query(f"""WITH p AS (SELECT n_nationkey::BIGINT AS node, n_regionkey, {SOME} FROM nation), m AS (SELECT n_regionkey, avg(x) AS mx, avg(y) AS my FROM p WHERE x IS NOT NULL GROUP BY 1)
+SELECT node, round(coalesce(x, mx), 6) AS x, round(coalesce(y, my), 6) AS y, n_regionkey, x IS NULL AND mx IS NOT NULL AS shared FROM p LEFT JOIN m USING (n_regionkey)""")
+def same_site_places(spark, sf):
+    return P.same_site(some_places(spark, sf), "n_regionkey").withColumn("x", r("x", 6)).withColumn("y", r("y", 6))
+
+
 @query(f"""WITH {SPARSE}, kv AS (SELECT n_nationkey AS n, n_nationkey * 10 % 250 AS kv FROM nation), legs AS (SELECT a AS star, count(*) FILTER (kv >= 110) AS kept FROM adj JOIN kv ON adj.b = kv.n WHERE adj.a % 5 = 0 GROUP BY 1)
 SELECT n::BIGINT AS bus FROM kv WHERE kv >= 110 AND n % 5 <> 0 UNION ALL SELECT star FROM legs WHERE kept >= 2""")
 def retained_star_rule(spark, sf):
