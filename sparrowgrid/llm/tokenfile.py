@@ -154,19 +154,12 @@ _encoders: dict[str, Encoder] = {}
 
 
 def encoder(path: str) -> Encoder:
-    """One encoder for each Python worker and file."""
+    """One encoder for each Python worker and file, with its tables: most words of a task were met in the one before."""
     if path not in _encoders:
         _encoders[path] = Encoder(path)
     return _encoders[path]
 
 
-def dismiss(path: str) -> None:
-    """An idle worker keeps the tokenizer only."""
-    if path in _encoders:
-        _encoders[path].forget()
-    release()
-
-
 def write_records(docs: DataFrame, folder: str, path: str, end: int = END_ID, file_bytes: int = FILE_BYTES) -> None:
     """doc_id, text -> files of records in `folder`, with the id `end` after each text.
 
@@ -186,8 +179,8 @@ def write_records(docs: DataFrame, folder: str, path: str, end: int = END_ID, fi
                     rows = [record(i, e.encode(t) + last, e.width) for i, t in zip(b.column("doc_id").to_pylist(), texts)]
                     yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary())], ["record"])
         finally:
-            e = whole = b = texts = rows = None
-            dismiss(path)
+            e = whole = b = texts = rows = None  # the tables stay for the worker's next task
+            release()
 
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     size = d.agg(F.sum(F.octet_length("text"))).first()[0] or 0
