@@ -99,8 +99,17 @@ def before_marker(df: DataFrame, order: str, marker) -> tuple[DataFrame, DataFra
 
 
 def interned(df: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:
-    """A column replaced by the rank of its value, and the dictionary."""
-    words = df.select(column).distinct().withColumn(f"{column}_id", F.dense_rank().over(Window.orderBy(column)) - 1)
+    """A column replaced by the rank of its value, from 0, and the dictionary. The values are sorted in ranges, a task each; a
+    rank is the place in its range and the number of values in the ranges before. Rows with NULL are left out."""
+    from ..operators.graph import saved
+
+    d = df.select(column).filter(F.col(column).isNotNull()).distinct().repartitionByRange(F.col(column)).sortWithinPartitions(column)
+    d = saved(d.withColumn("__at", F.monotonically_increasing_id()))  # the range's number, and the place in it in the lower 33 bits
+    d = d.withColumn("__range", F.shiftright("__at", 33))
+    sizes = d.groupBy("__range").agg(F.count("*").alias("__n"))  # a row a range
+    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select("__range", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    words = d.join(sizes, "__range").select(column, (F.col("__before") + F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))).cast("int").alias(f"{column}_id"))
     return df.join(words, column).drop(column), words
 
 

@@ -235,3 +235,13 @@ def test_station_keys(spark):
     want = {"HY_ARDN ": "ARDN", "w_pv_x": "X", "CLOGHER_CAP": "CLOGHER", "ENNK_PST": "ENNK", "ANTR1A": "ANTR1", "COOL1-": "COOL1", "CAST1B": "CAST1", "A1B": "A1B", "TEG FOO T": "FOO", "KILL1-CL": "KILL1-CL", "MAGF2-": "MAGF2", "X ESS_SVC": "X", "": ""}
     d = spark.createDataFrame([(k,) for k in want], "n string").select("n", scalars.station_key("n").alias("s"))
     assert {r["n"]: r["s"] for r in d.collect()} == want
+
+
+def test_interned_ranks_in_ranges(spark):
+    from sparrowgrid.sources import tables
+
+    rows = [(i, f"w{i * 7919 % 1000:04d}") for i in range(3000)] + [(5000, None)]
+    coded, words = tables.interned(spark.createDataFrame(rows, "i int, name string").repartition(5), "name")
+    names = sorted({w for _, w in rows if w})
+    assert {r["name"]: r["name_id"] for r in words.collect()} == {w: k for k, w in enumerate(names)}
+    assert {r["i"]: r["name_id"] for r in coded.collect()} == {i: names.index(w) for i, w in rows if w}
