@@ -11,6 +11,7 @@ known already are not encoded again. Nothing is shuffled and the tables are boun
 
 from __future__ import annotations
 
+import os
 import re
 import struct
 from collections.abc import Iterator
@@ -24,8 +25,8 @@ from .common import U64, flat, mix64, release, slices, text_batches
 
 CHUNK = 512  # bytes, on average
 WINDOW = 16  # bytes of the rolling hash
-CHUNK_TABLE = 4_000_000  # characters of text in one generation of the chunk table
-WORD_TABLE = 80_000  # words in one generation of the word table
+CHUNK_TABLE = 1_000_000  # characters of text in one generation of the chunk table
+WORD_TABLE = 40_000  # words in one generation of the word table
 SLICE = 1_000_000  # bytes of text that a worker takes at once
 TAILS = ".,!?;:"
 BYTES = mix64(np.arange(1, 257, dtype=U64) * U64(0x9E3779B97F4A7C15))
@@ -251,7 +252,9 @@ _encoders: dict[str, Encoder] = {}
 
 
 def encoder(path: str) -> Encoder:
-    """One encoder for each Python worker and file."""
+    """One encoder for each Python worker and file. A task has one core, so the tokenizer starts no threads of its own;
+    each thread would keep a heap beside the worker's. A setting that the user has made stays."""
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     if path not in _encoders:
         _encoders[path] = Encoder(path)
     return _encoders[path]
