@@ -269,9 +269,10 @@ pick AS (SELECT d, i, (('0x' || substr(md5(d || '/' || i), 1, 8))::BIGINT % c) A
 SELECT round((SELECT 100 * (1 - sum(two) / sum(one)) FROM a), 6) AS saving, round(quantile_cont(saving, 0.025), 6) AS low, round(quantile_cont(saving, 0.975), 6) AS high, (SELECT count(*) FROM a WHERE two < one) AS wins, (SELECT round(median(one - two), 6) FROM a) AS median_gain FROM s""")
 def paired_saving_ci(spark, sf):
     a = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("k")).agg(F.sum("l_quantity").alias("one"), F.sum(F.col("l_quantity") * (1 - F.col("l_discount"))).alias("two"))
-    n = a.withColumn("i", F.row_number().over(Window.orderBy("k")) - 1).withColumn("c", F.count("*").over(Window.partitionBy()))
-    pick = n.select("c", "i", F.explode(F.sequence(F.lit(0), F.lit(DRAWS - 1))).alias("d")).select("d", (F.conv(F.substring(F.md5(F.concat_ws("/", "d", "i")), 1, 8), 16, 10).cast("long") % F.col("c")).alias("j"))
-    s = pick.join(n.select("i", "one", "two"), F.col("j") == F.col("i")).groupBy("d").agg((100 * (1 - F.sum("two") / F.sum("one"))).alias("s"))
+    a, c = R.numbered(a, ["k"], "i")
+    i = spark.range(0, c, 1, 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))).select(F.col("id").alias("at"))  # a row's place
+    pick = i.select("at", F.explode(F.sequence(F.lit(0), F.lit(DRAWS - 1))).alias("d")).select("d", (F.conv(F.substring(F.md5(F.concat_ws("/", "d", "at")), 1, 8), 16, 10).cast("long") % c).alias("j"))
+    s = pick.join(a.select("i", "one", "two").hint("shuffle_hash"), F.col("j") == F.col("i")).groupBy("d").agg((100 * (1 - F.sum("two") / F.sum("one"))).alias("s"))
     ci = s.agg(r(F.percentile("s", 0.025), 6).alias("low"), r(F.percentile("s", 0.975), 6).alias("high"))
     whole = a.agg(r(100 * (1 - F.sum("two") / F.sum("one")), 6).alias("saving"), F.count_if(F.col("two") < F.col("one")).alias("wins"), r(F.percentile(F.col("one") - F.col("two"), 0.5), 6).alias("median_gain"))
     return whole.crossJoin(ci)
