@@ -366,7 +366,7 @@ def corroborated_match(spark, sf):
     p = table(spark, sf, "part")
     left = p.filter("p_size = 1").select(F.col("p_partkey").alias("id"), "p_name", "p_brand")
     right = p.filter("p_size = 50").select(F.col("p_partkey").alias("match_id"), F.col("p_name").alias("k"), F.col("p_brand").alias("brand"))
-    best = R.top(R.similar_pairs(left, right, "p_name", "k", 0.4), ["id"], [F.desc("score"), "match_id"])
+    best = R.best_similar(left, right, "p_name", "k", "match_id", 0.4)
     return R.corroborated(best, F.col("p_brand") == F.col("brand"), 0.95, 0.4).select("id", "match_id", r("score").alias("score"), "agrees", "accepted")
 
 
