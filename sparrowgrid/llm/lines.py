@@ -110,6 +110,34 @@ def edit_distance_within(a: Column, b: Column, edits: int = EDITS) -> Column:
     return F.when(F.abs(m - n) > edits, False).when(short, True).when((n == 0) | (m < edits), F.levenshtein(F.array_join(a, ""), F.array_join(b, "")) <= edits).otherwise(run <= edits)
 
 
+def may_be_two_apart(a: Column, b: Column) -> Column:
+    """Whether two strings can lie within two edits of each other, without a step for each character: less what they share at
+    either end, one edit is at the front and one at the back, and what lies between is equal."""
+    bind = lambda c, f: F.get(F.transform(F.array(c), f), F.lit(0))
+    n = F.char_length
+
+    def shared(s: Column) -> Column:
+        """Characters that s.a and s.b have in common at the front, by halving steps."""
+        a, b = s["a"], s["b"]
+        fits = lambda k, w: (k + w <= F.least(n(a), n(b))) & (F.substring(a, k + 1, w) == F.substring(b, k + 1, w))
+        return F.aggregate(F.array(*[F.lit(1 << i) for i in range(29, -1, -1)]), F.lit(0), lambda k, w: F.when(fits(k, w), k + w).otherwise(k))
+
+    def rest(s: Column) -> Column:
+        return bind(shared(s), lambda k: F.struct(F.reverse(F.substring(s["a"], k + 1, n(s["a"]))).alias("a"), F.reverse(F.substring(s["b"], k + 1, n(s["b"]))).alias("b")))
+
+    def between(s: Column) -> Column:
+        a, b = s["a"], s["b"]
+        out = F.greatest(n(a), n(b)) <= 2
+        ends = [(1, 0), (0, 1), (1, 1)]
+        for i, j in ends:
+            for k, l in ends:
+                u, v = n(a) - i - k, n(b) - j - l
+                out = out | ((u == v) & (u >= 0) & (F.substring(a, F.lit(i + 1), u) == F.substring(b, F.lit(j + 1), v)))
+        return out
+
+    return bind(bind(bind(F.struct(a.alias("a"), b.alias("b")), rest), rest), between)
+
+
 def _letters(line: str, letters: str = LETTERS) -> Column:
     """Counts of letters, six to a long, ten bits each (a larger count stays at 1023, which only loosens the bound)."""
     n = [F.least(F.lit(1023), F.length(line) - F.length(F.replace(line, F.lit(c), F.lit("")))).cast("long") for c in letters]
@@ -172,6 +200,8 @@ def _meet(m: DataFrame, known: DataFrame, edits: int, letters: str, many: int |
         chars = lambda c: F.filter(F.split(c, ""), lambda x: x != "")
         texts = known.select("h1", "h2", "line")
         p = p.join(texts, ["h1", "h2"]).join(texts.select(F.col("h1").alias("e1"), F.col("h2").alias("e2"), F.col("line").alias("other")), ["e1", "e2"])
+        if edits == 2:  # most pairs end here, before the steps for each character of those that are left
+            p = p.filter(may_be_two_apart(F.col("line"), F.col("other")))
         # written, so that the characters of a line are worked out once and only for lines of a pair
         p = stash(p.select("h1", "h2", chars("line").alias("chars"), chars("other").alias("others")), "line-pairs")
         out = stash(p.filter(edit_distance_within(F.col("others"), F.col("chars"), edits)).select("h1", "h2").distinct(), "line-near")
