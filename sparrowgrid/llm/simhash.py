@@ -162,11 +162,23 @@ def _classes(fps: DataFrame, links: Callable[[DataFrame], DataFrame]) -> DataFra
     return fps.join(classes, "fp").select("doc_id", "th", "fp", F.col("first.doc_id").alias("component_id"), (me == F.col("first")).alias("stays"))
 
 
-def similar_documents(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """As near_duplicates(), with links between texts whose sets of shingles have a Jaccard similarity of `percent`
-    hundredths or more; fp is a hash of the set. Texts without words are linked with one another."""
+def similar_documents(docs: DataFrame, words: int = 5, percent: int = 80, radius: int = 2) -> DataFrame:
+    """As near_duplicates(), with its links (SimHash fingerprints within the radius, by covering masks) and those between
+    texts whose sets of shingles have a Jaccard similarity of `percent` hundredths or more; fp is a hash of the set. Texts
+    without words are linked with one another."""
     sets = stash(minhash.shingle_sets(docs, shingle_hashes, words), "shingle-sets")
-    return _classes(sets.select("doc_id", "th", "fp"), lambda distinct: minhash.similar_links(sets, percent))
+    prints = fingerprints(docs).select("th", F.col("fp").alias("print")).dropDuplicates(["th"])
+    both = stash(sets.select("th", "fp").distinct().join(prints, "th").select("fp", "print").distinct(), "simhash")
+
+    def links(distinct: DataFrame) -> DataFrame:
+        # the least set of a fingerprint stands for it
+        low = stash(both.groupBy("print").agg(F.min("fp").alias("low")), "simhash-lows")
+        equal = both.join(low, "print").select(F.col("low").alias("a"), F.col("fp").alias("b")).filter("a <> b")
+        near = near_links(low.select(F.col("print").alias("fp")), radius)
+        near = near.join(low.toDF("a", "low_a"), "a").join(low.toDF("b", "low_b"), "b").select(F.col("low_a").alias("a"), F.col("low_b").alias("b"))
+        return minhash.similar_links(sets, percent).union(equal).union(near)
+
+    return _classes(sets.select("doc_id", "th", "fp"), links)
 
 
 def keep_one(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
