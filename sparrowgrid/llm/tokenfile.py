@@ -36,7 +36,7 @@ from .common import flat, new_folder, partitions, release, slices, stash, text_b
 END_ID = 0
 FILE_BYTES = 48_000_000  # of text to a file, about
 SLICE = 2_000_000  # bytes of text that are encoded at once
-PIECES, WORDS, LONGEST = 200_000, 300_000, 64  # entries of a generation of a worker's two tables; characters of a piece that is kept
+WORDS, LONGEST = 300_000, 64  # entries of a generation of a worker's table; characters of a word that is kept
 HEAD, BODY = struct.Struct("<QI"), struct.Struct("<BqB")
 FRAME = HEAD.size + 5  # bytes of a record besides its payload
 PLAIN = "A-Za-zÀ-ÖØ-öø-ÿ"
@@ -46,6 +46,7 @@ SPLIT = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{PLAIN}]+| ?[0-9]+| ?[^\\s0-9{PL
 # The byte-level alphabet: printable bytes stand for themselves, the others follow from 256 on in order.
 PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
 ALPHABET = {b: b if b in PRINTED else 256 + i - sum(p < b for p in PRINTED) for i, b in enumerate(range(256))}
+BLANK = chr(ALPHABET[32])
 
 
 def masked(data: bytes) -> int:
@@ -102,9 +103,10 @@ class Table(dict):
 class Encoder:
     """Packed ids of texts by a byte-level BPE file of the tokenizers library, the same as its encode().
 
-    Texts are cut before blanks; pieces that are known already are looked up. A new piece of plain characters is cut into
-    the pattern's words, and a word is put to the library's model; any other piece to the whole tokenizer, and texts that
-    hold a special token, or all texts where the file is not plainly byte-level, are encoded whole."""
+    Texts of plain characters are cut into the pattern's words at once; other texts before blanks, and their pieces of
+    plain characters into words. Words that are known already are looked up; a new word is put to the library's model and
+    a piece of other characters to the whole tokenizer. Texts that hold a special token, or all texts where the file is
+    not plainly byte-level, are encoded whole."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -112,6 +114,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.model = self.tokenizer.model
         spec = json.loads(self.tokenizer.to_str())
         pre, post = spec["pre_tokenizer"] or {}, spec["post_processor"] or {"type": "ByteLevel"}
         self.plain = pre.get("type") == "ByteLevel" and pre["use_regex"] and not pre["add_prefix_space"] and spec["normalizer"] is None and post["type"] == "ByteLevel"
@@ -123,38 +126,46 @@ class Encoder:
         self.forget()
 
     def forget(self) -> None:
-        """Empties the tables."""
-        self.pieces, self.words = Table(self.after_blank, PIECES), Table(self.word, WORDS)
+        """Empties the table."""
+        self.words = Table(self.word, WORDS)
 
     def whole(self, text: str) -> bytes:
         return b"".join(map(self.packed.__getitem__, self.tokenizer.encode(text, add_special_tokens=False).ids))
 
     def word(self, w: str) -> bytes:
-        if w.isascii() and "\n" not in w:
-            w = w.replace(" ", chr(ALPHABET[32]))
-        else:
+        if w.isascii() and w.isprintable() and " " not in w[1:]:
+            w = w.replace(" ", BLANK)
+        elif EASY.fullmatch(w):
             w = w.encode().decode("latin-1").translate(ALPHABET)
+        else:
+            return self.whole(w)
         packed = self.packed
-        return b"".join([packed[t.id] for t in self.tokenizer.model.tokenize(w)])
-
-    def after_blank(self, p: str) -> bytes:
-        return self.words[" " + p] if p.isascii() and p.isalpha() else self.piece(" " + p)
+        return b"".join([packed[t.id] for t in self.model.tokenize(w)])
 
-    def piece(self, p: str) -> bytes:
-        return b"".join(map(self.words.__getitem__, SPLIT.findall(p))) if EASY.fullmatch(p) else self.whole(p)
+    def cut(self, text: str) -> list[str]:
+        """The words of a text in order, and pieces that hold other characters."""
+        if EASY.fullmatch(text):
+            return SPLIT.findall(text)
+        first, *rest = CUT.split(text)
+        out = []
+        for p in (first, *[" " + p for p in rest]):
+            if EASY.fullmatch(p):
+                out += SPLIT.findall(p)
+            else:
+                out.append(p)
+        return out
 
     def encode(self, text: str) -> bytes:
         if not self.plain or any(s in text for s in self.special):
             return self.whole(text)
-        first, *rest = CUT.split(text)
-        return self.piece(first) + b"".join(map(self.pieces.__getitem__, rest))
+        return b"".join(map(self.words.__getitem__, self.cut(text)))
 
 
 _encoders: dict[str, Encoder] = {}
 
 
 def encoder(path: str) -> Encoder:
-    """One encoder for each Python worker and file, with its tables: most words of a task were met in the one before."""
+    """One encoder for each Python worker and file, with its table: most words of a task were met in the one before."""
     if path not in _encoders:
         _encoders[path] = Encoder(path)
     return _encoders[path]
@@ -179,7 +190,7 @@ def write_records(docs: DataFrame, folder: str, path: str, end: int = END_ID, fi
                     rows = [record(i, e.encode(t) + last, e.width) for i, t in zip(b.column("doc_id").to_pylist(), texts)]
                     yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary())], ["record"])
         finally:
-            e = whole = b = texts = rows = None  # the tables stay for the worker's next task
+            e = whole = b = texts = rows = None  # the table stays for the worker's next task
             release()
 
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
