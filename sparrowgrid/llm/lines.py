@@ -16,10 +16,11 @@ first (bounds on the distance, inside the join), then the banded bit-parallel ed
 
 Only whether a line has an earlier neighbour matters. Every member of a key is first tested against the key's
 earliest lines, which takes as many pairs as members; only lines that this leaves open meet the others. Where a key has
-more than MANY members (lines that differ in their numbers only), these meet by finer segments instead: of PIECES
-segments at most EDITS are hit by the edits, so of any EDITS + 1 of them one is intact. A line is indexed by its rarest
-EDITS + 1 and the others probe with all their substrings at those places, so what such lines have in common brings none
-of them together.
+more than MANY members (copies of a line, lines that differ in their numbers only), these meet by all that two edits
+leave: of COMBINED segments two hold the edits, and the others together are a key, with what lies between the two sought
+one place to either side. Members of such a key that are still more than CROWD meet in the same way by the two segments
+that are left of them, and so on; so a line meets at most CROWD others for each of its keys, however many copies there are.
+(For more than two edits: of PIECES segments at most EDITS are hit, and a line is indexed by its rarest EDITS + 1.)
 """
 
 from __future__ import annotations
@@ -36,7 +37,9 @@ NULL_ID = -(1 << 63)
 LETTERS = "etaonirshdlu"  # twelve frequent letters
 BROADCAST_KEYS = 100_000  # keys of 8 bytes that may be sent to every executor
 MANY = 64  # members of a key that meet one another as they are
-PIECES = 9  # finer segments of a line
+COMBINED = 7  # segments of a line of which all but two are a key
+CROWD = 256  # members of such a key that meet one another as they are
+PIECES = 9  # finer segments of a line, for more than two edits
 DIGITS = "0123456789.-"
 HOT = 10_000  # a line with more than this part of all repeats is hot; there are fewer than that
 
@@ -173,7 +176,7 @@ def _near(lines: DataFrame, edits: int) -> DataFrame:
     m = stash(m, "line-places")
     unstash(members)
 
-    near = _meet(m, known, edits, LETTERS)
+    near = _meet(m, known, edits, LETTERS).distinct()
     unstash(m)
     unstash(known)
     return near
@@ -191,6 +194,30 @@ def _finer(hot: DataFrame, known: DataFrame, edits: int) -> DataFrame:
     return members.join(lines.select("h1", "h2", "at", "n", "bag"), ["h1", "h2"]).select("k", "side", F.struct("at", "h1", "h2", "n", "bag").alias("me"))
 
 
+def combined_keys(parts: DataFrame) -> DataFrame:
+    """k, side, me, part (what is not known to be equal) -> the same by finer keys: all of a part but two of its segments;
+    part becomes what the two hold. The first of them is counted from the start, what follows the second from the end, and
+    what lies between them is sought up to one place away. A part under BLOCK characters keeps its key."""
+    places = [(i, j, shift) for i in range(COMBINED) for j in range(i + 1, COMBINED) for shift in ((0,) if j == i + 1 else (-1, 0, 1))]
+    listed = lambda back: ", ".join(f"struct({int(shift != 0 or b > 0)} AS probe, {b} AS back, {i} AS i, {j} AS j, {shift} AS shift)" for b in back for i, j, shift in places)
+    d = parts.withColumn("n", F.char_length("part")).withColumn("x", F.explode(F.expr(f"if(n % {BLOCK} < 2, array({listed((0, 1))}), array({listed((0,))}))")))
+    d = d.select("k", F.expr("greatest(side, x.probe)").alias("side"), "me", "part", "n", "x.i", "x.j", "x.shift", F.expr(f"(cast(n / {BLOCK} AS int) - x.back) * {BLOCK}").alias("w"))
+    d = d.filter("w >= 0").withColumn("w", F.expr(f"cast(w / {COMBINED} AS int)")).filter("w > 0 OR (i = 0 AND j = 1)")
+    d = d.withColumn("a", F.expr("(i + 1) * w + shift")).withColumn("b", F.expr("j * w + shift")).withColumn("e", F.expr(f"n - ({COMBINED - 1} - j) * w")).filter("e >= b")
+    k = F.expr("xxhash64(k, w, i, j, substring(part, 1, i * w), substring(part, a + 1, b - a), substring(part, e + 1, n - e))")
+    left = F.expr("if(j = i + 1, substring(part, i * w + 1, e - i * w), concat(substring(part, i * w + 1, a - i * w), '\n', substring(part, b + 1, e - b)))")
+    return d.select(k.alias("k"), "side", "me", left.alias("part"))
+
+
+def _combined(parts: DataFrame) -> DataFrame:
+    """The members of combined keys that two different lines have in common."""
+    keyed = stash(combined_keys(parts), "line-combined")
+    live = keyed.groupBy("k").agg(F.min("me.h1").alias("a"), F.max("me.h1").alias("b"), F.min("side").alias("s")).filter("a <> b AND s = 0").select("k")
+    out = stash(keyed.join(live, "k", "left_semi").groupBy("k", "me").agg(F.min("side").alias("side"), F.first("part").alias("part")), "line-finer")
+    unstash(keyed)
+    return out
+
+
 def _meet(m: DataFrame, known: DataFrame, edits: int, letters: str, many: int | None = MANY) -> DataFrame:
     """(h1, h2) of the lines that have an earlier neighbour among the members (k, side, me) of one of their keys."""
 
@@ -212,22 +239,33 @@ def _meet(m: DataFrame, known: DataFrame, edits: int, letters: str, many: int |
         return (F.col(f"{early}.at") < F.col(f"{late}.at")) & (F.abs(F.col(f"{early}.n") - F.col(f"{late}.n")) <= edits) & (_apart(f"{early}.bag", f"{late}.bag", letters) <= 2 * edits)
 
     # the earliest line of a key, and the earliest that is indexed: one pair for each member
-    first = m.groupBy("k").agg(F.min("me").alias("any"), F.min(F.when(F.col("side") == 0, F.col("me"))).alias("own"), F.count("*").alias("members"))
+    parts = F.min(F.char_length("part")) if "part" in m.columns else F.lit(BLOCK)  # shorter parts have no finer keys
+    members = F.when(parts >= BLOCK, F.count("*")).otherwise(0)
+    first = m.groupBy("k").agg(F.min("me").alias("any"), F.min(F.when(F.col("side") == 0, F.col("me"))).alias("own"), members.alias("members"))
     star = m.join(first.drop("members"), "k").select("me", F.when(F.col("side") == 0, F.col("any")).otherwise(F.col("own")).alias("early"))
     star = star.filter("early IS NOT NULL").filter(allowed("early", "me"))
     done = tested(star.select("early", F.col("me").alias("late")))
     # lines still open meet every earlier member: pairs of an indexed and any member
     gone = done.select(F.col("h1").alias("g1"), F.col("h2").alias("g2"))
-    left = m.select("k", "side", F.col("me").alias("late")).join(gone, F.expr("late.h1 = g1 AND late.h2 = g2"), "left_anti")
-    others = m.select("k", F.col("side").alias("side2"), F.col("me").alias("early"))
+    left = m.select("k", "side", F.col("me").alias("late"), *[c for c in m.columns if c == "part"]).join(gone, F.expr("late.h1 = g1 AND late.h2 = g2"), "left_anti")
+    others = m.select("k", F.col("side").alias("side2"), F.col("me").alias("early"), *[F.col(c).alias("part2") for c in m.columns if c == "part"])
     hot = stash(first.filter(F.col("members") > many).select("k"), "line-hot-keys") if many else None
     if hot is not None and not hot.isEmpty():
-        of_hot = m.join(hot, "k", "left_semi").select("me.h1", "me.h2").distinct()
-        fine = stash(_finer(of_hot, known, edits), "line-finer")
-        done = done.union(_meet(fine, known, edits, LETTERS + DIGITS, None))
+        of_hot = m.join(hot, "k", "left_semi")
+        if edits > 2:
+            fine = stash(_finer(of_hot.select("me.h1", "me.h2").distinct(), known, edits), "line-finer")
+        elif "part" in m.columns:  # a line that has its verdict takes part for the others' sake
+            fine = _combined(of_hot.select("k", "side", "me", "part"))
+        else:
+            hot_lines = known.join(of_hot.select("me.h1", "me.h2").distinct(), ["h1", "h2"], "left_semi").withColumn("bag", _letters("line", LETTERS + DIGITS))
+            fine = _combined(hot_lines.select(F.lit(0).cast("long").alias("k"), F.lit(0).alias("side"), F.struct("at", "h1", "h2", "n", "bag").alias("me"), F.col("line").alias("part")))
+        done = done.union(_meet(fine, known, edits, LETTERS + DIGITS, CROWD if edits <= 2 else None))
         unstash(fine)
         left = left.join(hot, "k", "left_anti")
-    rest = left.alias("l").join(others.alias("e"), (F.col("l.k") == F.col("e.k")) & ((F.col("side") == 0) | (F.col("side2") == 0)) & allowed("early", "late"))
+    fits = (F.col("l.k") == F.col("e.k")) & ((F.col("side") == 0) | (F.col("side2") == 0)) & allowed("early", "late")
+    if "part" in m.columns:  # what is not known to be equal is as near as the lines
+        fits = fits & (F.levenshtein("part", "part2", edits) >= 0)
+    rest = left.alias("l").join(others.alias("e"), fits)
     return done.union(tested(rest.select("early", "late")))
 
 
