@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, components, release, slices, stash, text_batches, unstash
+from .common import U64, components, release, settle, slices, stash, text_batches, unstash
 
 BANDS, ROWS = 24, 4
 SALTS = 64
@@ -67,6 +67,7 @@ def _alike(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     j = p.join(one("b"), "b").join(left, ["a", "s"]).withColumn("i", F.size(F.array_intersect("a_set", "b_set")))
     out = stash(j.filter(F.col("i") * 100 >= (F.size("a_set") + F.size("b_set") - F.col("i")) * percent).select("a", "b"), "minhash-links")
     unstash(p)
+    settle(sets.sparkSession)
     return out
 
 
